@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, token_files
+from . import packing, quality, simhash, token_counts, token_files
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
 def op5_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), end_id=2)
 
@@ -18,6 +22,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), sequence=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_files, op8_packing)}
+def op9_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_token_files, op8_packing, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
