@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, token_counts, token_files
+from . import packing, pii, quality, simhash, token_counts, token_files
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op6_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), sequence=2048, end_id=0)
 
@@ -26,6 +30,6 @@ def op9_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_token_files, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_token_files, op6_pii, op8_packing, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
