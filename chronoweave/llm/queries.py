@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, simhash, token_counts, token_files
+from . import packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 from .common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=100, with_kept=False).drop("kept")
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35, with_kept=False).drop("kept")
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,6 @@ def op9_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_token_files, op6_pii, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op8_packing, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

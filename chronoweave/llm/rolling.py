@@ -33,17 +33,23 @@ def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """of(start, end): the hash of data[start:end], wherever it stands."""
+    """of(start, end): the hash of data[start:end], wherever it stands. data: bytes, or numbers that stand for words."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         base = int(_letters(seed + 100)[0]) | 1
         up, self.down = _powers(max(16, int(len(data)).bit_length()), base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(seed)[data] * up[: len(data)], out=self.sums[1:])
+        values = _letters(seed)[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def each(self, size: int) -> np.ndarray:
+        """The hashes, less well mixed, of all stretches of `size`."""
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
