@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
+from . import line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), sequence=2048, end_id=0)
 
@@ -38,6 +42,6 @@ def op9_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op7_line_dedup, op8_packing, op9_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.REPORT_SQL}
