@@ -54,6 +54,12 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is (left_anti: is not) among ids, null equal to null; columns as they are."""
+    ids = ids.select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), how).select(*docs.columns)
+
+
 def slices(batch: pa.RecordBatch, limit: int = 2 << 20, column: str = "text"):
     """Cut a batch so that each part holds about `limit` bytes of text (one row at least), to bound a task's memory."""
     n = batch.num_rows

@@ -108,6 +108,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """The documents less the lines that go, n_chars brought up to date; a document that lost lines and has no word left goes, too."""
+    out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that stays; null for a null text)."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

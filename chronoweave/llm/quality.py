@@ -210,7 +210,17 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     return texts(docs).mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns as they are."""
-    kept = score(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, with their columns as they are; judged and passed on in one scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def judge(batches):
+        for whole in batches:
+            for b in slices(whole):
+                t = Texts(b.column("text"))
+                ok = ~t.base()["base_failed"]
+                if shared.value:
+                    ok &= shared.value.probability(t) >= threshold
+                yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(judge, docs.schema)
