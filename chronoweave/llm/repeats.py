@@ -27,7 +27,7 @@ from .rolling import Prefix, mix
 NO_ID = -(2**63)
 TUPLES = "a long, b long, doc long, pos long, done boolean, more binary"
 #: Bytes of text that a task looks at together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def pack_pos(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

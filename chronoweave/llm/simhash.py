@@ -101,6 +101,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
         own = F.struct((c * 2 + half).alias("cell"), F.lit(True).alias("own"))
         up = [F.when(F.shiftrightunsigned(c, 2 * i).bitwiseAND(F.lit(3)) < 2, F.struct(((c + (1 << 2 * i)) * 2 + half).alias("cell"), F.lit(False).alias("own"))) for i in range(16)]
         cells += [own, *up]
+    # few bytes become many rows here, so the rows are dealt out in full first
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     visits = prints.select("fp", F.explode(F.array_compact(F.array(*cells))).alias("v")).select("fp", "v.cell", "v.own")
     # cells where somebody lives and somebody else comes by; large ones in blocks
     full = visits.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("lived_in")).where("n > 1 AND lived_in")
@@ -136,7 +138,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     linked = distinct.join(tree.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("head").alias("least"))
     named = tree.withColumnRenamed("node", "fp").join(least, "root").select("fp", "least")
-    heads = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
+    # written, so that the last join is of two plain shuffles, whose hot fingerprints Spark may split
+    heads = stash(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")), "heads")
     return each.join(heads, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
