@@ -17,18 +17,21 @@ from .common import stash
 
 #: Shorter lines are left alone: one changed word makes them another line, and equal ones are common.
 MIN_WORDS = 8
-#: Up to so many lines (of 24 bytes) are broadcast to find their words again; beyond, Spark joins by shuffle.
+#: How a line meets another under a key: with a word changed, as the one with a word more, as the one with a word less.
+CHANGED, LONGER, SHORTER = 0, 1, 2
+#: Tables of up to so many short rows (some 30 MB) are broadcast, after they have been counted; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t-\\r]+"), lambda w: w != "")
+    """A line without any word gives one empty word."""
+    return F.split(F.btrim(line, F.lit(_BLANK)), "[ \\t-\\r]+")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), words, of all lines long enough."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return each.select("doc_id", "line", _words(F.col("body")).alias("words")).where(F.size("words") >= MIN_WORDS)
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is short; df is cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _halves(words: Column) -> Column:
@@ -56,35 +59,44 @@ def _distance_at_most_1(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line: the lines that go. docs: doc_id, text. Lines at the same place of equal doc_ids are one."""
     words = F.col("words")
-    own = F.array_join(words, " ")
-    lines = stash(_lines(docs).select("doc_id", "line", F.xxhash64(own).alias("h"), F.hash(own).alias("g"), _halves(words).alias("halves")), "lines")
-    first = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    # lines that share a half with another line
-    halves = lines.select("h", F.explode("halves").alias("half")).distinct()
-    shared = halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half")
-    partners = halves.join(shared, "half").select("h").distinct()
-    at = stash(first.join(partners, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "first"), "partners")
-    small = at.count() <= BROADCAST_ROWS
-    chosen = stash(_lines(docs).join(F.broadcast(at) if small else at, ["doc_id", "line"]).select("h", "first", "words").dropDuplicates(["h"]), "words")
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", "line", _words(F.col("body")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    lines = stash(each.select("doc_id", "line", F.xxhash64(words).alias("h"), F.hash(words).alias("g"), _halves(words).alias("halves")), "lines")
+    first = stash(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "first")
+    # lines that share a half with another line; which half says where they may differ
+    halves = lines.select("h", F.posexplode("halves").alias("which", "half"))
+    shared = stash(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half"), "halves")
+    sharing = halves.join(_small(shared), "half").groupBy("h").agg(*(F.max(F.col("which") == k).alias(n) for k, n in enumerate(("same_first", "same_last", "short_first", "short_last"))))
+    at = stash(first.join(sharing, "h").select("h", "first", "same_first", "same_last", (F.col("short_first") | F.col("short_last")).alias("short")), "partners")
+    # their words: only of the documents and lines in question
+    wanted = stash(at.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "first", "same_first", "same_last", "short")).alias("wanted")), "wanted")
+    found = docs.join(_small(wanted), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    chosen = stash(found.select("w.*", _words(F.get("parts", F.col("w.line"))).alias("words")).where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "words")
     # the variants, by running exclusive-or of the hashes of words and their places
-    w = Window.partitionBy("h")
-    up_to = w.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spread = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    w = Window.partitionBy("h").orderBy("i")
+    up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here, moved = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    walk = chosen.select("h", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).select("h", "first", "n", "i", here.alias("x"), moved.alias("y"))
-    walk = walk.select("h", "first", "n", "i", "x", F.bit_xor("x").over(w).alias("all"), F.bit_xor("x").over(up_to).alias("x_to"), F.bit_xor("y").over(w).bitwiseXOR(F.bit_xor("y").over(up_to)).alias("y_after"))
-    changed = F.struct(F.xxhash64(F.lit("changed"), "n", "i", F.col("all").bitwiseXOR(F.col("x"))).alias("key"), F.lit("changed").alias("role"))
-    missing = F.struct(F.xxhash64(F.lit("missing"), F.col("n") - 1, F.col("x_to").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y_after"))).alias("key"), F.lit("longer").alias("role"))
-    whole = F.when(F.col("i") == 0, F.struct(F.xxhash64(F.lit("missing"), "n", "all").alias("key"), F.lit("shorter").alias("role")))
-    variants = walk.select("h", "first", F.explode(F.array_compact(F.array(changed, missing, whole))).alias("v")).select("h", "first", "v.key", "v.role")
-    met = variants.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.struct("first", "h"))).alias(r) for r in ("changed", "longer", "shorter"))).where("n > 1")
-    met = met.withColumnsRenamed({r: f"of_{r}" for r in ("changed", "longer", "shorter")})
-    earliest = F.when(F.col("role") == "changed", F.col("of_changed")).when(F.col("role") == "longer", F.col("of_shorter")).otherwise(F.col("of_longer"))
-    pairs = variants.join(met, "key").select("h", "first", earliest.alias("e")).where(F.col("e.first") < F.col("first")).select("h", F.col("e.h").alias("other")).distinct()
+    walk = spread.select("h", "same_first", "same_last", "short", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).select("h", "same_first", "same_last", "short", "n", "i", here.alias("x"), moved.alias("y"))
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    walk = walk.select("h", "same_first", "same_last", "short", "n", "i", "x", F.bit_xor("x").over(everything).alias("all"), F.bit_xor("x").over(up_to).alias("x_to"), F.bit_xor("y").over(everything).bitwiseXOR(F.bit_xor("y").over(up_to)).alias("y_after"))
+    half = F.floor(F.col("n") / 2)
+    here_may_differ = (F.col("same_first") & (F.col("i") >= half)) | (F.col("same_last") & (F.col("i") < F.col("n") - half))
+    changed = F.struct(F.xxhash64(F.lit("changed"), "n", "i", F.col("all").bitwiseXOR(F.col("x"))).alias("key"), F.lit(CHANGED).alias("role"))
+    missing = F.struct(F.xxhash64(F.lit("missing"), F.col("n") - 1, F.col("x_to").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y_after"))).alias("key"), F.lit(LONGER).alias("role"))
+    whole = F.struct(F.xxhash64(F.lit("missing"), "n", "all").alias("key"), F.lit(SHORTER).alias("role"))
+    keys = F.array_compact(F.array(F.when(here_may_differ, changed), F.when(here_may_differ, missing), F.when((F.col("i") == 0) & F.col("short"), whole)))
+    variants = stash(walk.select("h", F.explode(keys).alias("v")).select("h", "v.key", "v.role"), "variants")
+    # most keys are one line's alone; for the others, the earliest line in each role
+    common = stash(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    met = stash(variants.join(_small(common), "key").join(chosen.select("h", "first"), "h"), "met")
+    least = met.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, F.struct("first", "h"))).alias(f"e{r}") for r in (CHANGED, LONGER, SHORTER)))
+    earliest = F.when(F.col("role") == CHANGED, F.col(f"e{CHANGED}")).when(F.col("role") == LONGER, F.col(f"e{SHORTER}")).otherwise(F.col(f"e{LONGER}"))
+    pairs = met.join(least, "key").select("h", "first", earliest.alias("e")).where(F.col("e.first") < F.col("first")).select("h", F.col("e.h").alias("other")).distinct()
     mine, theirs = chosen.select("h", F.col("words").alias("a")), chosen.select(F.col("h").alias("other"), F.col("words").alias("b"))
     near = pairs.join(mine, "h").join(theirs, "other").where(_distance_at_most_1(F.col("a"), F.col("b"))).select("h").distinct()
     # a line goes if an equal one stands before it, or a near one before the first of its equals
-    verdict = first.join(near.withColumn("near", F.lit(True)), "h", "left")
-    gone = lines.select("doc_id", "line", "h", "g").join(verdict, ["h", "g"]).where(F.col("near") | (F.struct("doc_id", "line") > F.col("first")))
+    verdict = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 OR near")
+    gone = lines.select("doc_id", "line", "h", "g").join(verdict, ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line") > F.col("first")))
     return gone.select("doc_id", "line")
 
 
@@ -99,11 +111,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # nulls must meet in joins: they become the smallest id, which no document has
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    per_doc = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    per_doc = _small(stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone"))
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = keyed.join(per_doc, "__id", "left").withColumns({"n_lines": F.coalesce(F.size(F.filter(parts, lambda x: F.lit(True))), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    out = keyed.join(per_doc, "__id", "left").withColumns({"n_lines": n_lines, "n_removed": n_removed})
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(kept))
     return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
