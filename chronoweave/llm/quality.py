@@ -21,7 +21,7 @@ SAMPLE = 2000
 #: Hash bins of each of the three kinds of n-grams.
 BINS = 1 << 14
 #: A document is kept if its calibrated probability of being good is at least this.
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _SPACES = np.zeros(256, bool)
