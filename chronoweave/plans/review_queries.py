@@ -42,8 +42,9 @@ def stale_corrections(spark, d):
     return _rounded(rv.stale_corrections(ad.removals(spark, d), off).select("job_id", "t_in"), "t_in")
 
 
-@_q(sql("""SELECT job_id, round(t_in, 6) AS t_in, round(t_out, 6) AS t_out, CASE coalesce(max(rank), 2) WHEN 0 THEN 'optional' WHEN 1 THEN 'supporting' ELSE 'essential' END AS tier FROM
-  (SELECT h.job_id, h.t_in, h.t_out, CASE s.tier WHEN 'optional' THEN 0 WHEN 'supporting' THEN 1 WHEN 'essential' THEN 2 END AS rank FROM hit h LEFT JOIN tier_segments s ON s.job_id = h.job_id AND (abs(s.t_out - h.t_in) <= 1e-6 OR abs(s.t_in - h.t_out) <= 1e-6)) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY job_id, t_in, t_out").replace("SELECT job_id, round(t_in, 6) AS t_in, round(t_out, 6) AS t_out, CASE", "SELECT job_id, round(a, 6) AS t_in, round(b, 6) AS t_out, CASE").replace("h.t_in, h.t_out, CASE", "h.t_in AS a, h.t_out AS b, CASE").replace("GROUP BY job_id, t_in, t_out", "GROUP BY job_id, a, b"), **_CORR))
+@_q(sql("""SELECT job_id, round(a, 6) AS t_in, round(b, 6) AS t_out, CASE coalesce(max(rank), 2) WHEN 0 THEN 'optional' WHEN 1 THEN 'supporting' ELSE 'essential' END AS tier FROM
+  (SELECT h.job_id, h.t_in AS a, h.t_out AS b, CASE s.tier WHEN 'optional' THEN 0 WHEN 'supporting' THEN 1 WHEN 'essential' THEN 2 END AS rank FROM hit h
+   LEFT JOIN tier_segments s ON s.job_id = h.job_id AND (abs(s.t_out - h.t_in) <= 1e-6 OR abs(s.t_in - h.t_out) <= 1e-6)) GROUP BY job_id, a, b""", **_CORR))
 def reinstated_tier(spark, d):
     hit = rv.matched_removals(ad.removals(spark, d), _corrections(spark, d))
     return _rounded(rv.reinstated_segments(hit, ad.tier_segments(spark, d)), "t_in", "t_out")
@@ -172,7 +173,7 @@ def windowed_median(spark, d):
     return _rounded(rv.windowed_median(_prices(spark, d), 10, 5), "middle")
 
 
-@_q("SELECT o_orderkey % 1000 AS key, max_by(o_orderstatus, o_orderkey) AS status, min(o_orderdate)::VARCHAR[:10] AS created FROM orders GROUP BY 1".replace("min(o_orderdate)::VARCHAR[:10]", "strftime(min(o_orderdate), '%Y-%m-%d')"))
+@_q("SELECT o_orderkey % 1000 AS key, max_by(o_orderstatus, o_orderkey) AS status, strftime(min(o_orderdate), '%Y-%m-%d') AS created FROM orders GROUP BY 1")
 def upsert_jobs(spark, d):
     o = ad.read(spark, d, "orders").select((F.col("o_orderkey") % 1000).alias("key"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"))
     newest = rv.latest(o, ["key"], ["id"])
@@ -209,7 +210,8 @@ def budget_findings(spark, d):
     return checks.budget(_overruns(spark, d), F.col("job_id") % 2 == 0)
 
 
-_FACTS = "SELECT o_orderkey AS job_id, -14.0 + (o_orderkey % 7 - 3) * 0.5 AS integrated, -3.0 + (o_orderkey % 5) * 0.75 AS peak, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 9 * 0.1 + 10 END AS actual FROM orders"
+_FACTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 17 <> 0 THEN -14.0::DOUBLE + (o_orderkey % 7 - 3) * 0.5::DOUBLE END AS integrated, -3.0::DOUBLE + (o_orderkey % 5) * 0.75::DOUBLE AS peak,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 9 * 0.1::DOUBLE + 10 END AS actual FROM orders"""
 
 
 def _facts(spark, d):
@@ -217,7 +219,6 @@ def _facts(spark, d):
     return ad.read(spark, d, "orders").select(k.alias("job_id"), F.when(k % 17 != 0, -14.0 + (k % 7 - 3) * 0.5).alias("integrated"), (-3.0 + (k % 5) * 0.75).alias("peak"), F.when(k % 13 != 0, (k % 9) * 0.1 + 10).alias("actual"))
 
 
-_FACTS = _FACTS.replace("-14.0 + (o_orderkey % 7 - 3) * 0.5 AS", "CASE WHEN o_orderkey % 17 <> 0 THEN -14.0::DOUBLE + (o_orderkey % 7 - 3) * 0.5::DOUBLE END AS").replace("-3.0 + (o_orderkey % 5) * 0.75", "-3.0::DOUBLE + (o_orderkey % 5) * 0.75::DOUBLE").replace("o_orderkey % 9 * 0.1 + 10", "o_orderkey % 9 * 0.1::DOUBLE + 10")
 _LOUD = """SELECT job_id, 'loudness' AS "check", 'WARN' AS severity, 'not measured' AS message, CAST(NULL AS DOUBLE) AS value, 1.0::DOUBLE AS "limit" FROM facts WHERE integrated IS NULL
   UNION ALL SELECT job_id, 'loudness', 'FAIL', 'off target', abs(integrated + 14.0), 1.0 FROM facts WHERE abs(integrated + 14.0) > 1.0 UNION ALL SELECT job_id, 'true_peak', 'FAIL', 'over the ceiling', peak, -1.0 FROM facts WHERE peak > -1.0"""
 

@@ -92,7 +92,7 @@ def first_of_kind(spark, d):
     return _rounded(frames.one_pill(ad.overlays(spark, d), ad.durations(spark, d)), "t_in", "t_out")
 
 
-@_q("SELECT conv_id * 1000 + turn AS job_id, ix, ix IN (2, 5) AND turn % 2 = 0 AS emphasis FROM w".join(["WITH " + f"turn_words AS ({ad.CTES['turn_words']}), w AS (SELECT * FROM turn_words) ", ""]))
+@_q(f"WITH w AS ({ad.CTES['turn_words']}) SELECT conv_id * 1000 + turn AS job_id, ix, ix IN (2, 5) AND turn % 2 = 0 AS emphasis FROM w")
 def word_emphasis(spark, d):
     w = ad.turn_words(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), "turn", "ix")
     chosen = w.where("turn % 2 = 0").select("job_id", F.explode(F.array(F.lit(2), F.lit(5), F.lit(5), F.lit(99999))).alias("ix")).distinct()

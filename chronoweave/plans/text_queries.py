@@ -63,13 +63,13 @@ def trim_proposals(spark, d):
     return _rounded(ts.trim_proposals(ad.silences(spark, d), words, ad.fillers(spark, d), ad.durations(spark, d)), "t_in", "t_out")
 
 
-_BLOCKS = """WITH RECURSIVE {0},
-rows_ AS (SELECT *, length(text) AS n, coalesce(regexp_matches(text, '[.!?…][''")\\]]*$') AND lead(t_in) OVER w IS NOT NULL OR lead(t_in) OVER w - t_out >= 0.45, false) AS stops, row_number() OVER w AS r FROM said WINDOW w AS (PARTITION BY job_id ORDER BY ix)),
+_BLOCKS = r"""WITH RECURSIVE {0},
+rows_ AS (SELECT *, length(text) AS n, coalesce(regexp_matches(text, '[.!?…][''")\]]*$') AND lead(t_in) OVER w IS NOT NULL OR lead(t_in) OVER w - t_out >= 0.45, false) AS stops, row_number() OVER w AS r FROM said WINDOW w AS (PARTITION BY job_id ORDER BY ix)),
 state AS (SELECT job_id, r, ix, 0 AS own, 0 AS block, n AS size, 1 AS k FROM rows_ WHERE r = 1
   UNION ALL SELECT job_id, r, ix, own, CASE WHEN stop THEN own + 1 ELSE own END, CASE WHEN stop THEN 0 ELSE size END, CASE WHEN stop THEN 0 ELSE k END FROM
     (SELECT w.job_id, w.r, w.ix, CASE WHEN s.k > 0 AND s.size + 1 + w.n > 42 THEN s.block + 1 ELSE s.block END AS own, CASE WHEN s.k = 0 OR s.size + 1 + w.n > 42 THEN w.n ELSE s.size + 1 + w.n END AS size,
       CASE WHEN s.k > 0 AND s.size + 1 + w.n > 42 THEN 1 ELSE s.k + 1 END AS k, NOT (s.k > 0 AND s.size + 1 + w.n > 42) AND s.k + 1 >= 2 AND w.stops AS stop FROM state s JOIN rows_ w ON w.job_id = s.job_id AND w.r = s.r + 1))
-SELECT job_id, ix, own AS block FROM state""".replace("\\\\", "\\")
+SELECT job_id, ix, own AS block FROM state"""
 
 
 @_q(_BLOCKS.format(",\n".join(f"{k} AS ({v})" for k, v in {"turn_words": ad.CTES["turn_words"], "said": _TURNS["said"]}.items())))
@@ -81,7 +81,7 @@ _LINES = """WITH RECURSIVE {0},
 rows_ AS (SELECT *, length(text) AS n, ix AS r FROM said),
 state AS (SELECT job_id, r, 0 AS line, n AS size FROM rows_ WHERE r = 0
   UNION ALL SELECT w.job_id, w.r, CASE WHEN s.size + 1 + w.n <= 42 THEN s.line ELSE s.line + 1 END, CASE WHEN s.size + 1 + w.n <= 42 THEN s.size + 1 + w.n ELSE w.n END FROM state s JOIN rows_ w ON w.job_id = s.job_id AND w.r = s.r + 1)
-SELECT job_id, line, string_agg(text, ' ' ORDER BY ix) AS text FROM state JOIN said ON said.job_id = state.job_id AND said.ix = state.r GROUP BY ALL""".replace("SELECT job_id, line", "SELECT state.job_id AS job_id, line")
+SELECT state.job_id AS job_id, line, string_agg(text, ' ' ORDER BY ix) AS text FROM state JOIN said ON said.job_id = state.job_id AND said.ix = state.r GROUP BY ALL"""
 
 
 @_q(_LINES.format(",\n".join(f"{k} AS ({v})" for k, v in {"turn_words": ad.CTES["turn_words"], "said": _TURNS["said"]}.items())))
