@@ -77,3 +77,19 @@ def wrapped(words: Column, max_chars: int) -> Column:
         return F.when(acc["line"].isNull(), F.struct(acc["lines"].alias("lines"), w.alias("line"))).when(fits, F.struct(acc["lines"].alias("lines"), F.concat_ws(" ", acc["line"], w).alias("line"))).otherwise(F.struct(F.concat(acc["lines"], F.array(acc["line"])).alias("lines"), w.alias("line")))
 
     return F.aggregate(words, zero, add, lambda acc: F.array_compact(F.concat(acc["lines"], F.array(acc["line"]))))
+
+
+def marked(words: Column, active: int | None, emphasized: Column, lit: tuple[str, str], strong: tuple[str, str]) -> Column:
+    """The words as one line: the active one between the lit marks, else emphasized places (an array) between the strong ones."""
+
+    def one(w: Column, i: Column) -> Column:
+        plain = F.when(F.array_contains(emphasized, i), F.concat(F.lit(strong[0]), w, F.lit(strong[1]))).otherwise(w)
+        return plain if active is None else F.when(i == active, F.concat(F.lit(lit[0]), w, F.lit(lit[1]))).otherwise(plain)
+
+    return F.array_join(F.transform(words, one), " ")
+
+
+def first_and_more(items: Column, n: int) -> Column:
+    """The first n of an array as lines, and how many more there are."""
+    more = F.when(F.size(items) > n, F.array(F.format_string("... and %d more", F.size(items) - n))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.slice(items, 1, n), more), "\n")

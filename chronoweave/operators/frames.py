@@ -65,3 +65,15 @@ def per_profile(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
 def stage_log(log: DataFrame) -> DataFrame:
     """job_id, n_ran, n_cached of (job_id, stage, cached)."""
     return log.groupBy("job_id").agg(F.count_if(~F.col("cached")).alias("n_ran"), F.count_if("cached").alias("n_cached"))
+
+
+def least_capacity(profiles: DataFrame, key: str) -> DataFrame:
+    """key, capacity: the fewest characters that a block may have in any of the profiles (max_chars, max_lines), 64 without any."""
+    return profiles.groupBy(key).agg(F.coalesce(F.min(F.col("max_chars") * F.col("max_lines")), F.lit(64)).alias("capacity"))
+
+
+def with_path(docs: DataFrame, path: str, value: Column) -> DataFrame:
+    """Set a dotted path that exists; an unknown one is an error, no level is made."""
+    docs.select(path)
+    head, _, rest = path.partition(".")
+    return docs.withColumn(head, F.col(head).withField(rest, value) if rest else value)

@@ -113,3 +113,22 @@ def stage_runs_per_profile(spark, d):
     log = ad.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), (F.col("event_type") == "view").alias("cached"))
     counted = frames.stage_log(log).where("n_ran > 0").drop("n_cached")
     return frames.per_profile(counted, spark.createDataFrame([("shorts_9x16",), ("demo_16x9",)], "name string")).select("job_id", "name", "n_ran")
+
+
+@_q("SELECT n_regionkey AS region, min(n_nationkey * 3 + 20) AS capacity FROM nation GROUP BY 1")
+def least_capacity(spark, d):
+    n = ad.read(spark, d, "nation").select(F.col("n_regionkey").alias("region"), (F.col("n_nationkey") * 3 + 20).alias("max_chars"), F.lit(1).alias("max_lines"))
+    return frames.least_capacity(n, "region")
+
+
+@_q("SELECT o_orderkey AS job_id, 'checked' AS status, o_custkey AS customer FROM orders")
+def dotted_path_set(spark, d):
+    o = ad.read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).alias("head"))
+    return frames.with_path(o, "head.status", F.lit("checked")).select("job_id", "head.status", "head.customer")
+
+
+@_q("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'voice-' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'take-' || o_orderkey END AS narration FROM orders")
+def narration_source(spark, d):
+    k = F.col("o_orderkey")
+    name = lambda x: F.concat(F.lit(x), k.cast("string"))
+    return ad.read(spark, d, "orders").select(k.alias("job_id"), frames.narration_path(k, k % 3 == 0, k % 3 == 1, name("voice-"), name("take-")).alias("narration"))

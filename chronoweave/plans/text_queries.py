@@ -155,3 +155,28 @@ def plain_tokens_and_escape(spark, d):
 def word_keys(spark, d):
     w = F.col("text")
     return _said(spark, d).select("job_id", "ix", tx.edge_normalized(w).alias("edge"), tx.alignment_key(w).alias("key"))
+
+
+@_q(sql("""SELECT job_id, string_agg(CASE WHEN ix = 2 THEN '<' || text || '>' WHEN ix IN (2, 5) THEN '*' || text || '*' ELSE text END, ' ' ORDER BY ix) AS line FROM said GROUP BY job_id""", **_TURNS))
+def markup_tokens(spark, d):
+    c = ad.read(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).where("size(w) > 0")
+    return c.select("job_id", tx.marked(F.col("w"), 2, F.array(F.lit(2), F.lit(5)), ("<", ">"), ("*", "*")).alias("line"))
+
+
+@_q(sql("""SELECT job_id, string_agg(text, chr(10) ORDER BY ix) || CASE WHEN max(n) > 20 THEN chr(10) || '... and ' || (max(n) - 20) || ' more' ELSE '' END AS report FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM said) WHERE ix < 20 GROUP BY job_id""", **_TURNS))
+def truncated_report(spark, d):
+    c = ad.read(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).where("size(w) > 0")
+    return c.select("job_id", tx.first_and_more(F.col("w"), 20).alias("report"))
+
+
+@_q(None)
+def plain_wer(spark, d):
+    none = spark.createDataFrame([], "job_id long, cut double")
+    return ts.word_error_rate(_said(spark, d), _heard(spark, d), none).select("job_id", F.round("wer", 4).alias("wer"))
+
+
+@_q(None)
+def transcript_findings(spark, d):
+    from ..operators import checks
+
+    return checks.transcript(ts.word_error_rate(_said(spark, d), _heard(spark, d), spark.createDataFrame([], "job_id long, cut double")))

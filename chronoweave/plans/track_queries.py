@@ -196,3 +196,10 @@ def duck_envelope(spark, d):
 def output_duration(spark, d):
     s = ad.spans(spark, d).groupBy("job_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("source_out") - F.col("source_in")).alias("seconds"))
     return _rounded(s, "seconds")
+
+
+@_q(_walk("""SELECT job_id, 'crop_step' AS "check", 'FAIL' AS severity, 'path jumps' AS message, round(max(step), 3) AS value, 0.005::DOUBLE AS "limit" FROM path GROUP BY job_id HAVING max(step) > 0.005 + 1e-9"""))
+def crop_continuity_findings(spark, d):
+    from ..operators import checks
+
+    return checks.crop_continuity(tr.max_step(_path(spark, d)), 0.005).withColumn("value", F.round("value", 3))
