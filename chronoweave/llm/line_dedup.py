@@ -19,8 +19,8 @@ from .common import stash
 MIN_WORDS = 8
 #: How a line meets another under a key: with a word changed, as the one with a word more, as the one with a word less.
 CHANGED, LONGER, SHORTER = 0, 1, 2
-#: Tables of up to so many short rows (some 30 MB) are broadcast, after they have been counted; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables that name up to so many lines or keys (100 bytes each at most) are broadcast, after these have been counted; larger ones are joined by shuffle.
+BROADCAST_ITEMS = 500_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -29,9 +29,9 @@ def _words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(_BLANK)), "[ \\t-\\r]+")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is short; df is cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, items: int) -> DataFrame:
+    """df, to be broadcast if it names few things."""
+    return F.broadcast(df) if items <= BROADCAST_ITEMS else df
 
 
 def _halves(words: Column) -> Column:
@@ -65,11 +65,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # lines that share a half with another line; which half says where they may differ
     halves = lines.select("h", F.posexplode("halves").alias("which", "half"))
     shared = stash(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half"), "halves")
-    sharing = halves.join(_small(shared), "half").groupBy("h").agg(*(F.max(F.col("which") == k).alias(n) for k, n in enumerate(("same_first", "same_last", "short_first", "short_last"))))
+    sharing = halves.join(_small(shared, shared.count()), "half").groupBy("h").agg(*(F.max(F.col("which") == k).alias(n) for k, n in enumerate(("same_first", "same_last", "short_first", "short_last"))))
     at = stash(first.join(sharing, "h").select("h", "first", "same_first", "same_last", (F.col("short_first") | F.col("short_last")).alias("short")), "partners")
     # their words: only of the documents and lines in question
     wanted = stash(at.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "first", "same_first", "same_last", "short")).alias("wanted")), "wanted")
-    found = docs.join(_small(wanted), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    found = docs.join(_small(wanted, at.count()), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     chosen = stash(found.select("w.*", _words(F.get("parts", F.col("w.line"))).alias("words")).where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "words")
     # the variants, by running exclusive-or of the hashes of words and their places
     spread = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
@@ -88,7 +88,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     variants = stash(walk.select("h", F.explode(keys).alias("v")).select("h", "v.key", "v.role"), "variants")
     # most keys are one line's alone; for the others, the earliest line in each role
     common = stash(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    met = stash(variants.join(_small(common), "key").join(chosen.select("h", "first"), "h"), "met")
+    met = stash(variants.join(_small(common, common.count()), "key").join(chosen.select("h", "first"), "h"), "met")
     least = met.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, F.struct("first", "h"))).alias(f"e{r}") for r in (CHANGED, LONGER, SHORTER)))
     earliest = F.when(F.col("role") == CHANGED, F.col(f"e{CHANGED}")).when(F.col("role") == LONGER, F.col(f"e{SHORTER}")).otherwise(F.col(f"e{LONGER}"))
     pairs = met.join(least, "key").select("h", "first", earliest.alias("e")).where(F.col("e.first") < F.col("first")).select("h", F.col("e.h").alias("other")).distinct()
@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # nulls must meet in joins: they become the smallest id, which no document has
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    per_doc = _small(stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone"))
+    per_doc = stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone")
+    per_doc = _small(per_doc, per_doc.agg(F.sum(F.size("__gone"))).first()[0] or 0)
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
