@@ -34,6 +34,11 @@ def _small(df: DataFrame, items: int) -> DataFrame:
     return F.broadcast(df) if items <= BROADCAST_ITEMS else df
 
 
+def _with_texts(per_doc: DataFrame) -> DataFrame:
+    """A table that grows with the documents, to be joined to their texts by shuffle at every size, so that small inputs cost in proportion what large ones do."""
+    return per_doc.hint("merge")
+
+
 def _halves(words: Column) -> Column:
     """Four names: first and last half for a partner with at most as many words, and for one with a word more."""
     n = F.size(words)
@@ -69,7 +74,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     at = stash(first.join(sharing, "h").select("h", "first", "same_first", "same_last", (F.col("short_first") | F.col("short_last")).alias("short")), "partners")
     # their words: only of the documents and lines in question
     wanted = stash(at.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "first", "same_first", "same_last", "short")).alias("wanted")), "wanted")
-    found = docs.join(_small(wanted, at.count()), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    found = docs.join(_with_texts(wanted), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     chosen = stash(found.select("w.*", _words(F.get("parts", F.col("w.line"))).alias("words")).where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "words")
     # the variants, by running exclusive-or of the hashes of words and their places
     spread = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
@@ -112,12 +117,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
     per_doc = stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone")
-    per_doc = _small(per_doc, per_doc.agg(F.sum(F.size("__gone"))).first()[0] or 0)
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    out = keyed.join(per_doc, "__id", "left").withColumns({"n_lines": n_lines, "n_removed": n_removed})
+    out = keyed.join(_with_texts(per_doc), "__id", "left").withColumns({"n_lines": n_lines, "n_removed": n_removed})
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(kept))
     return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
