@@ -61,10 +61,12 @@ class Texts:
         n_symbols = sums(_SYMBOLS[self.data].astype(np.int8), self.bounds)
         # lines: each text's stretches between new lines
         breaks = np.flatnonzero(self.data == 10)
-        line_start = np.sort(np.concatenate([self.bounds[:-1], breaks + 1]), kind="stable")
-        line_end = np.sort(np.concatenate([self.bounds[1:], breaks]), kind="stable")
+        # by owner, then start: the empty last line of a text that ends in a line break starts at the same byte as the next text's first line
         owner = np.concatenate([np.arange(self.n), np.searchsorted(self.bounds, breaks, side="right") - 1])
-        owner = owner[np.argsort(np.concatenate([self.bounds[:-1], breaks + 1]), kind="stable")]
+        order = np.lexsort((np.concatenate([self.bounds[:-1], breaks + 1]), owner))
+        line_start = np.concatenate([self.bounds[:-1], breaks + 1])[order]
+        line_end = np.concatenate([self.bounds[1:], breaks])[np.lexsort((np.concatenate([self.bounds[1:], breaks]), owner))]
+        owner = owner[order]
         has_word = np.searchsorted(self.start, line_end) > np.searchsorted(self.start, line_start)
         line_start, line_end, owner = line_start[has_word], line_end[has_word], owner[has_word]
         _, later = _repeated(_mixed(self.prefix.of(line_start, line_end), owner))

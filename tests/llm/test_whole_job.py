@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 from edge_cases import documents
 
+from chronoweave.llm import quality
+
 
 def shingles(text):
     w = text.lower().split()
@@ -31,3 +33,10 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark):
     edges = documents(spark, ["a b c d", "A b  c d", "q w e r t", None, "", "one"], [3, 1, 2, 8, None, 9])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, edges, "").collect()) == [1, 2, 8, 9]
     assert corpus_pipeline.drop_near_duplicates(spark, documents(spark, []), "").count() == 0
+
+
+def test_quality_counts_a_line_under_its_own_text(spark):
+    texts = ["a\n", "b\nb", "x\n\n", "\n", "y\nx\ny"]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.score(documents(spark, texts).coalesce(1), labels).collect()
+    assert {r.doc_id: r.n_dup_lines for r in got} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
