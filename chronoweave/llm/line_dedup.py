@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stash
 
-#: Shorter lines are left alone: one changed word makes them another line, and equal ones are common.
+#: Shorter lines go only if an equal one stands before them: one changed word makes them another line.
 MIN_WORDS = 8
 #: How a line meets another under a key: with a word changed, as the one with a word more, as the one with a word less.
 CHANGED, LONGER, SHORTER = 0, 1, 2
@@ -64,8 +64,9 @@ def _distance_at_most_1(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line: the lines that go. docs: doc_id, text. Lines at the same place of equal doc_ids are one."""
     words = F.col("words")
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", "line", _words(F.col("body")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    lines = stash(each.select("doc_id", "line", F.xxhash64(words).alias("h"), F.hash(words).alias("g"), _halves(words).alias("halves")), "lines")
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("doc_id", "line", _words(F.col("body")).alias("words")).where(F.get("words", F.lit(0)) != "")
+    # short lines have no halves, so they meet equal lines only
+    lines = stash(each.select("doc_id", "line", F.xxhash64(words).alias("h"), F.hash(words).alias("g"), F.when(F.size(words) >= MIN_WORDS, _halves(words)).alias("halves")), "lines")
     first = stash(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "first")
     # lines that share a half with another line; which half says where they may differ
     halves = lines.select("h", F.posexplode("halves").alias("which", "half"))
@@ -108,8 +109,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with `text` less the lines that go, and n_lines, n_removed; other columns stay as they are.
 
-    A line goes if it has MIN_WORDS words or more and an earlier line (smaller doc_id, or earlier in the same text) is
-    within one word of it. Lines are judged on the input, not on what is left. Null texts stay null, with no lines;
+    A line with a word goes if an earlier line (smaller doc_id, or earlier in the same text) has the same words or, where both have
+    MIN_WORDS words or more, is within one word of it. Lines are judged on the input, not on what is left. Null texts stay null, with no lines;
     a null doc_id is below all others. Rows with one doc_id are one document, so they do not remove each other's lines. Input
     columns called n_lines or n_removed are replaced. An empty table gives no rows.
     """

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from edge_cases import documents
 
-from chronoweave.llm import quality
+from chronoweave.llm import line_dedup, quality
 
 
 def shingles(text):
@@ -40,3 +40,9 @@ def test_quality_counts_a_line_under_its_own_text(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.score(documents(spark, texts).coalesce(1), labels).collect()
     assert {r.doc_id: r.n_dup_lines for r in got} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_equal_short_lines_go(spark):
+    texts = ["chapter one\nab\n\n \nab", "ab\nchapter two", " ab \nChapter one", None, "chapter  one\nx y"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert got == {0: ("chapter one\nab\n\n ", 1), 1: ("chapter two", 1), 2: ("Chapter one", 1), 3: (None, 0), 4: ("x y", 1)}
