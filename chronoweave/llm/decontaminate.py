@@ -3,7 +3,7 @@
 Words become template tokens: numbers, units and capitalised words (names) are typed placeholders, everything else is
 itself in lower case without the punctuation around it. Windows of tokens are hash-joined with the benchmark's. Where
 windows meet, the match is grown along its diagonal, and the slots are compared: the words behind placeholders must be the same as
-the benchmark's (an exact copy), or replaced one for one throughout (a re-parameterised copy). Anything else is no match.
+the benchmark's in a run of a window's length (an exact copy), or replaced one for one throughout (a re-parameterised copy). Anything else is no match.
 """
 
 from __future__ import annotations
@@ -159,25 +159,24 @@ class Benchmark:
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     if e - s < min(WINDOW, a1 - a0):
                         continue
-                    kind = self._slots(range(lo + s, lo + e), d, words, at)
-                    if kind and (kind == "exact" or e - s >= REPLACED_SHARE * (a1 - a0)):
-                        got = (kind == "exact", e - s, -(lo + s + d - int(bounds[text])))
-                        best = max(best, got) if best else got
+                    for kind, i, j in self._judged(lo + s, lo + e, min(WINDOW, a1 - a0), d, words, at):
+                        if kind == "exact" or j - i >= REPLACED_SHARE * (a1 - a0):
+                            got = (kind == "exact", j - i, -(i + d - int(bounds[text])))
+                            best = max(best, got) if best else got
             if best:
                 yield text, self.ids[item], "exact" if best[0] else "replaced", best[1], -best[2]
 
-    def _slots(self, places, d: int, words: list[str], at: np.ndarray) -> str | None:
-        """exact, replaced (one for one), or None."""
+    def _judged(self, begin: int, end: int, least: int, d: int, words: list[str], at: np.ndarray) -> list[tuple[str, int, int]]:
+        """(exact, begin, end) of the runs of `least` tokens or more whose slots are equal, too; where there is none, (replaced, begin, end) if slots are replaced one for one throughout."""
+        slots = [(j, slot(self.words[j]), slot(words[at[j + d]])) for j in range(begin, end) if self.number[j] in _PLACEHOLDERS]
+        cuts = [begin - 1, *(j for j, a, b in slots if a != b), end]
+        runs = [("exact", i + 1, j) for i, j in zip(cuts, cuts[1:]) if j - i - 1 >= least]
+        if runs:
+            return runs
         there: dict[str, str] = {}
         back: dict[str, str] = {}
-        exact = True
-        for j in places:
-            if self.number[j] in _PLACEHOLDERS:
-                a, b = slot(self.words[j]), slot(words[at[j + d]])
-                exact &= a == b
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    return None
-        return "exact" if exact else "replaced"
+        one_for_one = all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for _, a, b in slots)
+        return [("replaced", begin, end)] if one_for_one else []
 
 
 RESULT = "doc_id long, item_id long, kind string, n_matched int, first_token int"

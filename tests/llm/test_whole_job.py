@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import pytest
 from edge_cases import documents
 
-from chronoweave.llm import line_dedup, quality
+from chronoweave.llm import decontaminate, line_dedup, quality
 
 
 def shingles(text):
@@ -46,3 +47,15 @@ def test_equal_short_lines_go(spark):
     texts = ["chapter one\nab\n\n \nab", "ab\nchapter two", " ab \nChapter one", None, "chapter  one\nx y"]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
     assert got == {0: ("chapter one\nab\n\n ", 1), 1: ("chapter two", 1), 2: ("Chapter one", 1), 3: (None, 0), 4: ("x y", 1)}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_TOKENS, 0])
+def test_partial_quotes_are_exact(spark, limit):
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    words[30] = "Alice"
+    quote = " ".join(["so", "it", "says", *words[10:30], "Later", "comes", "more"])
+    changed = " ".join(["Bob" if w == "Alice" else w for w in words[5:40]])
+    short = " ".join(words[20:32]).replace("Alice", "Bob")  # eleven tokens only
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.leaks(documents(spark, [quote, changed, short]), bench, limit).collect())
+    assert got == [(0, 1, "exact", 20, 3), (1, 1, "exact", 25, 0)]
