@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import keep_ids, slices, stash, texts
 from .rolling import Prefix, mix
 
-#: Tokens of a window; a shorter item is one window, if it has at least SHORTEST tokens.
+#: Tokens of a window; a shorter item is one window. Items under SHORTEST tokens are found as exact copies only.
 WINDOW, SHORTEST = 13, 6
-#: At least this share of a window's tokens are words, not placeholders.
+#: At least this share of a window's tokens are words, not placeholders; other windows meet under their own words, as exact copies only.
 LITERAL = 0.5
 #: A re-parameterised match must reach over this share of the item.
 REPLACED_SHARE = 0.6
@@ -91,11 +91,13 @@ def canonical(some: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.nd
     return n[at], np.searchsorted(at, np.concatenate([[0], np.cumsum(counts)])), words, at
 
 
+#: Tells names by own words from names by template.
+_OWN = 1 << 32
 _PLACEHOLDERS = np.array(sorted(map(_number, (NUMBER, UNIT, NAME, MEASURE))), np.uint64)
 
 
-def windows(number: np.ndarray, bounds: np.ndarray, size: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(place, name) of the windows of `size` tokens with enough words in them. whole: only those that are a whole text."""
+def windows(number: np.ndarray, bounds: np.ndarray, size: int, words: list[str], word_at: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(place, name) of the windows of `size` tokens: named by their template, or by their own words if few are literal. whole: only those that are a whole text."""
     p = Prefix(number, 11)
     n = len(number) - size + 1
     if n <= 0:
@@ -104,14 +106,24 @@ def windows(number: np.ndarray, bounds: np.ndarray, size: int, whole: bool = Fal
     for k in range(1, size):  # not across texts
         cut = bounds[1:-1] - k
         ok[cut[(cut >= 0) & (cut < n)]] = False
-    words = np.concatenate([[0], np.cumsum(~np.isin(number, _PLACEHOLDERS))])
-    ok &= (words[size:] - words[:-size]) >= LITERAL * size
+    literal = np.concatenate([[0], np.cumsum(~np.isin(number, _PLACEHOLDERS))])
+    template = (literal[size:] - literal[:-size]) >= LITERAL * size if size >= SHORTEST else np.zeros(n, bool)
     if whole:
         full = np.zeros(n, bool)
         full[bounds[:-1][np.diff(bounds) == size]] = True
         ok &= full
     at = np.flatnonzero(ok)
-    return at, mix(p.each(size)[at] ^ np.uint64(size))
+    name = p.each(size)[at] ^ np.uint64(size)
+    mine = ~template[at]
+    if mine.any():
+        step = np.zeros(len(number) + 1, np.int64)
+        step[at[mine]] += 1
+        np.subtract.at(step, at[mine] + size, 1)
+        own = np.zeros(len(number), np.uint64)
+        where = np.flatnonzero(np.cumsum(step[:-1]))
+        own[where] = [_number(slot(words[k])) for k in word_at[where].tolist()]
+        name[mine] = Prefix(own, 11).each(size)[at[mine]] ^ np.uint64(size + _OWN)
+    return at, mix(name)
 
 
 class Benchmark:
@@ -122,11 +134,11 @@ class Benchmark:
         self.number, self.bounds, words, at = canonical(some)
         self.words = [words[i] for i in at]
         size = np.diff(self.bounds)
-        self.sizes = sorted({WINDOW} | {int(s) for s in size if SHORTEST <= s < WINDOW})
+        self.sizes = sorted({WINDOW} | {int(s) for s in size if 0 < s < WINDOW})
         places, names = [], []
         for s in self.sizes:
-            a, h = windows(self.number, self.bounds, s, whole=s < WINDOW)
-            places.append(a)
+            place, h = windows(self.number, self.bounds, s, words, at, whole=s < WINDOW)
+            places.append(place)
             names.append(h)
         self.place, self.name = np.concatenate(places), np.concatenate(names)
         order = np.argsort(self.name, kind="stable")
@@ -139,7 +151,7 @@ class Benchmark:
         number, bounds, words, at = canonical(some)
         found: dict[tuple[int, int], set[int]] = {}  # (text, item) -> diagonals
         for s in self.sizes:
-            place, name = windows(number, bounds, s)
+            place, name = windows(number, bounds, s, words, at)
             maybe = np.flatnonzero(self.screen[(name >> np.uint64(44)).astype(np.int64)])
             left = np.searchsorted(self.name, name[maybe], side="left")
             right = np.searchsorted(self.name, name[maybe], side="right")
@@ -192,7 +204,7 @@ def _rows(found, ids: pa.Array) -> pa.RecordBatch:
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """doc_id, item_id, kind (exact or replaced), n_matched (tokens), first_token: each benchmark item that a document holds.
 
-    Null texts hold nothing and null or too short items (under SHORTEST tokens) are nowhere. Repeated items and rows are matched
+    Null texts hold nothing and null items or ones without a token are nowhere. Items under SHORTEST tokens are found as exact copies only. Repeated items and rows are matched
     one by one. An empty table on either side gives no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
@@ -210,22 +222,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCA
         return docs.mapInArrow(scan, RESULT)
 
     # a large benchmark: windows meet in a join, and only texts and items that share one are compared
-    lengths = [r[0] for r in items.select(F.least(F.size(F.split(F.trim("text"), r"\s+")), F.lit(WINDOW)).alias("n")).distinct().collect() if r[0] >= SHORTEST]
+    def lengths(batches):
+        for whole in batches:
+            for b in slices(whole):
+                n = np.diff(canonical(b.column("text").to_pylist())[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, WINDOW).astype(np.int32))], names=["n"])
 
     def named(sizes, of_items):
         def run(batches):
             for whole in batches:
                 for b in slices(whole):
-                    number, bounds, _, _ = canonical([x or "" for x in b.column("text").to_pylist()])
+                    number, bounds, words, word_at = canonical([x or "" for x in b.column("text").to_pylist()])
                     ids = np.asarray(b.column(0))
                     for s in sizes:
-                        at, name = windows(number, bounds, s, whole=of_items and s < WINDOW)
+                        at, name = windows(number, bounds, s, words, word_at, whole=of_items and s < WINDOW)
                         owner = np.searchsorted(bounds, at, side="right") - 1
                         yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(name.view(np.int64))], names=["key", "name"])
 
         return run
 
-    sizes = sorted(set(range(SHORTEST, WINDOW)) | set(lengths) | {WINDOW})
+    # at most WINDOW + 1 rows
+    sizes = sorted({r[0] for r in items.select("text").mapInArrow(lengths, "n int").distinct().collect() if r[0]} | {WINDOW})
     numbered = stash(docs.where("text IS NOT NULL").withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text"), "docs")
     listed = stash(items.withColumn("key", F.monotonically_increasing_id()).select("key", "item_id", "text"), "items")
     left = numbered.select("key", "text").mapInArrow(named(sizes, False), "key long, name long").distinct()

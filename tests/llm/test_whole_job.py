@@ -59,3 +59,13 @@ def test_partial_quotes_are_exact(spark, limit):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = sorted(tuple(r) for r in decontaminate.leaks(documents(spark, [quote, changed, short]), bench, limit).collect())
     assert got == [(0, 1, "exact", 20, 3), (1, 1, "exact", 25, 0)]
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_TOKENS, 0])
+def test_exact_copies_of_items_without_literal_words(spark, limit):
+    sums = " ".join(f"{k} {k * k} {k + 3} =" for k in range(2, 12))
+    items = [sums, "Great Big Lakes Of Northern America By Size And Depth In Metres", "Paris Is Nice", "..."]
+    texts = [f"see {sums} there", f"see {sums.replace('9', '8')} there", f"he said: {items[1]}", "so Paris is nice", "so Paris Is Nice!", "Small Big Lakes Of Northern America By Size And Depth In Feet", "..."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(tuple(r)[:3] for r in decontaminate.leaks(documents(spark, texts), bench, limit).collect())
+    assert got == [(0, 0, "exact"), (2, 1, "exact"), (4, 2, "exact")]
