@@ -265,7 +265,7 @@ UNION ALL SELECT job_id, 'caption_display', 'WARN', 'too brief', briefest, 0.8 F
 def caption_checks(spark, d):
     c = ad.read(spark, d, "conversations")
     t = F.col("turn") * 2.0
-    blocks = c.select((F.col("conv_id") * 100).alias("job_id"), t.alias("t_in"), (t + F.when(F.col("turn") % 5 == 4, 2.5).when(F.col("turn") % 3 == 0, 0.5).otherwise(2.0)).alias("t_out"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60).alias("text"))
+    blocks = c.select((F.col("conv_id") * 100).alias("job_id"), t.alias("t_in"), (t + F.when(F.col("turn") % 5 == 4, 2.5).when(F.col("turn") % 3 == 0, 0.5).otherwise(2.0)).alias("t_out"), F.regexp_replace("text", r"\s+", " ").alias("text"))
     return checks.captions(blocks, 0.8, 200, 9)
 
 
