@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep_ids, slices, stash, texts
-from .rolling import Prefix, mix
+from .common import slices, stash, texts
+from .rolling import each, mix
 
 #: Tokens of a window; a shorter item is one window. Items under SHORTEST tokens are found as exact copies only.
 WINDOW, SHORTEST = 13, 6
@@ -23,8 +23,8 @@ WINDOW, SHORTEST = 13, 6
 LITERAL = 0.5
 #: A re-parameterised match must reach over this share of the item.
 REPLACED_SHARE = 0.6
-#: Benchmarks with up to so many tokens (8 bytes of hash each) are broadcast to the scan; beyond, windows are joined by shuffle.
-BROADCAST_TOKENS = 4_000_000
+#: Benchmarks with up to so many bytes of text are broadcast to the scan (about 20 bytes in a worker for each); beyond, windows are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Words whose tokens a worker remembers.
 _MEMORY = 500_000
 
@@ -98,7 +98,6 @@ _PLACEHOLDERS = np.array(sorted(map(_number, (NUMBER, UNIT, NAME, MEASURE))), np
 
 def windows(number: np.ndarray, bounds: np.ndarray, size: int, words: list[str], word_at: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(place, name) of the windows of `size` tokens: named by their template, or by their own words if few are literal. whole: only those that are a whole text."""
-    p = Prefix(number, 11)
     n = len(number) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -113,7 +112,7 @@ def windows(number: np.ndarray, bounds: np.ndarray, size: int, words: list[str],
         full[bounds[:-1][np.diff(bounds) == size]] = True
         ok &= full
     at = np.flatnonzero(ok)
-    name = p.each(size)[at] ^ np.uint64(size)
+    name = each(number, size, 11)[at] ^ np.uint64(size)
     mine = ~template[at]
     if mine.any():
         step = np.zeros(len(number) + 1, np.int64)
@@ -122,7 +121,7 @@ def windows(number: np.ndarray, bounds: np.ndarray, size: int, words: list[str],
         own = np.zeros(len(number), np.uint64)
         where = np.flatnonzero(np.cumsum(step[:-1]))
         own[where] = [_number(slot(words[k])) for k in word_at[where].tolist()]
-        name[mine] = Prefix(own, 11).each(size)[at[mine]] ^ np.uint64(size + _OWN)
+        name[mine] = each(own, size, 11)[at[mine]] ^ np.uint64(size + _OWN)
     return at, mix(name)
 
 
@@ -201,25 +200,44 @@ def _rows(found, ids: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "kind", "n_matched", "first_token"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def _small(items: DataFrame, broadcast_bytes: int):
+    """The benchmark as a broadcast, if its texts are that small. Repeated rows of one item are one."""
+    items = items.distinct()
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
+        return None
+    some = items.orderBy("item_id", "text").collect()
+    return items.sparkSession.sparkContext.broadcast(Benchmark([r["item_id"] for r in some], [r["text"] for r in some]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, kind (exact or replaced), n_matched (tokens), first_token: each benchmark item that a document holds.
 
-    Null texts hold nothing and null items or ones without a token are nowhere. Items under SHORTEST tokens are found as exact copies only. Repeated items and rows are matched
-    one by one. An empty table on either side gives no rows.
+    Null texts hold nothing and null items or ones without a token are nowhere. Items under SHORTEST tokens are found as exact copies
+    only. Rows of documents are searched one by one, whether their doc_id is null or repeated; repeated rows of an item (same id and text)
+    are one, those with one id and several texts are items of their own. Of several places the longest exact match is told, else the longest replaced one, the first on ties. An empty table on
+    either side gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    spark = docs.sparkSession
+    items = _items(benchmark)
     docs = texts(docs)
-    if (items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) <= broadcast_tokens:
-        some = items.orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in some], [r["text"] for r in some]))
+    shared = _small(items, broadcast_bytes)
+    if shared is None:
+        return _joined(docs.withColumn("key", F.lit(None).cast("long")), items).drop("key")
 
-        def scan(batches):
-            for whole in batches:
-                for b in slices(whole):
-                    yield _rows(shared.value.matches([x or "" for x in b.column("text").to_pylist()]), b.column("doc_id"))
+    def scan(batches):
+        for whole in batches:
+            for b in slices(whole):
+                yield _rows(shared.value.matches([x or "" for x in b.column("text").to_pylist()]), b.column("doc_id"))
+
+    return docs.mapInArrow(scan, RESULT)
 
-        return docs.mapInArrow(scan, RESULT)
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """leaks() for a large benchmark, and each row's key (one is made where it is null)."""
+    items = items.distinct()
 
     # a large benchmark: windows meet in a join, and only texts and items that share one are compared
     def lengths(batches):
@@ -243,22 +261,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCA
 
     # at most WINDOW + 1 rows
     sizes = sorted({r[0] for r in items.select("text").mapInArrow(lengths, "n int").distinct().collect() if r[0]} | {WINDOW})
-    numbered = stash(docs.where("text IS NOT NULL").withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text"), "docs")
-    listed = stash(items.withColumn("key", F.monotonically_increasing_id()).select("key", "item_id", "text"), "items")
+    numbered = stash(docs.where("text IS NOT NULL").withColumn("key", F.coalesce("key", F.monotonically_increasing_id())).select("key", "doc_id", "text"), "docs")
+    listed = stash(items.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "text"), "items")
     left = numbered.select("key", "text").mapInArrow(named(sizes, False), "key long, name long").distinct()
-    right = listed.select("key", "text").mapInArrow(named(sizes, True), "key long, name long").distinct().withColumnRenamed("key", "item")
-    pairs = left.join(right, "name").select("key", "item").distinct()
-    both = pairs.join(numbered, "key").join(listed.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item").select("doc_id", "text", "item_id", "item_text")
+    right = listed.select("item", "text").mapInArrow(named(sizes, True), "key long, name long").distinct().withColumnRenamed("key", "item")
+    pairs = stash(left.join(right, "name").select("key", "item").distinct(), "pairs")
+    both = numbered.join(pairs, "key").join(listed.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "doc_id", "text", "item_id", "item_text")
 
     def compare(batches):
         for b in batches:
-            for doc, text, item, other in zip(*(b.column(c).to_pylist() for c in range(4))):
-                yield _rows(Benchmark([item], [other]).matches([text]), pa.array([doc], pa.int64()))
+            for key, doc, text, item, other in zip(*(b.column(c).to_pylist() for c in range(5))):
+                found = _rows(Benchmark([item], [other]).matches([text]), pa.array([doc], pa.int64()))
+                yield found.append_column("key", pa.array([key] * found.num_rows, pa.int64()))
+
+    return both.mapInArrow(compare, RESULT + ", key long")
 
-    return both.mapInArrow(compare, RESULT)
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that hold no benchmark item, with their columns as they are. Rows are judged one by one, as leaks() does: a row's
+    doc_id, null or repeated, says nothing about another's. With a small benchmark one scan judges and passes on."""
+    shared = _small(_items(benchmark), broadcast_bytes)
+    if shared is None:
+        keyed = stash(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+        held = _joined(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__key").alias("key")), _items(benchmark))
+        return keyed.join(held.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+
+    def judge(batches):
+        for whole in batches:
+            for b in slices(whole):
+                held = {t for t, *_ in shared.value.matches([x or "" for x in b.column("text").cast("string").to_pylist()])}
+                yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_()))
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns as they are."""
-    held = leaks(docs, benchmark, broadcast_tokens).select("doc_id").distinct()
-    return keep_ids(docs, held, "left_anti")
+    return docs.mapInArrow(judge, docs.schema)

@@ -1,8 +1,9 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression over hashed word and character n-grams.
 
-Features are the shares of a text's words, word pairs and four-byte strings that fall into each hash bin. The regression
+Features are the shares of a text's words, word pairs and strings of four characters that fall into each hash bin. The regression
 is fitted on a bounded sample of labelled rows (SAMPLE, chosen by a hash of doc_id), Platt-calibrated on a
-held-out quarter of it, and scored in Arrow batches on every document against a fixed threshold.
+held-out quarter of it, and scored in Arrow batches on every document against a fixed threshold. Texts of any length are scored in
+steps of CHUNK bytes.
 """
 
 from __future__ import annotations
@@ -14,18 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import buffer_of, slices, texts
-from .rolling import Prefix, mix, sums, words
+from .rolling import eights, mix, of_bytes, sums, words
 
 #: At most so many labelled rows are fitted on. Every document is scored.
 SAMPLE = 2000
-#: Hash bins of each of the three kinds of n-grams.
+#: Hash bins of each of the three kinds of n-grams. The driver holds 6 bytes for each row and bin that occurs in it: 295 MB at most.
 BINS = 1 << 14
+#: Bytes of text whose character n-grams are looked at together.
+CHUNK = 1 << 18
 #: A document is kept if its calibrated probability of being good is at least this.
 THRESHOLD = 0.7
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
+_STARTS = np.array([(b & 0xC0) != 0x80 for b in range(256)]) & ~_SPACES
+#: By the first byte of a character in UTF-8: which bits of the four bytes from there on are its own.
+_OWN_BITS = np.array([0xFF if b < 0xC0 else 0xFFFF if b < 0xE0 else 0xFFFFFF if b < 0xF0 else 0xFFFFFFFF for b in range(256)], np.uint32)
 
 
 def _mixed(h: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -50,15 +56,14 @@ class Texts:
         self.data, self.bounds = buffer_of(column)
         self.n = len(column)
         self.start, self.end, self.first = words(self.data, self.bounds)
-        self.prefix = Prefix(self.data)
-        self.word = self.prefix.of(self.start, self.end)
+        self.view = eights(self.data)
+        self.word = of_bytes(self.data, self.start, self.end, view=self.view)
         self.n_words = np.diff(self.first)
         self.owner = np.repeat(np.arange(self.n), self.n_words)
 
     def base(self) -> dict[str, np.ndarray]:
-        lead = (self.data & 0xC0) != 0x80
-        word_chars = sums((lead & ~_SPACES[self.data]).astype(np.int8), self.bounds)
-        n_symbols = sums(_SYMBOLS[self.data].astype(np.int8), self.bounds)
+        word_chars = sums(_STARTS[self.data], self.bounds)
+        n_symbols = sums(_SYMBOLS[self.data], self.bounds)
         # lines: each text's stretches between new lines
         breaks = np.flatnonzero(self.data == 10)
         # by owner, then start: the empty last line of a text that ends in a line break starts at the same byte as the next text's first line
@@ -69,7 +74,7 @@ class Texts:
         owner = owner[order]
         has_word = np.searchsorted(self.start, line_end) > np.searchsorted(self.start, line_start)
         line_start, line_end, owner = line_start[has_word], line_end[has_word], owner[has_word]
-        _, later = _repeated(_mixed(self.prefix.of(line_start, line_end), owner))
+        _, later = _repeated(_mixed(of_bytes(self.data, line_start, line_end, 2, self.view), owner))
         n_dup_lines = np.bincount(owner[later], minlength=self.n)
         # windows of three words
         n_repeat = np.zeros(self.n, np.int64)
@@ -84,26 +89,27 @@ class Texts:
         failed = (self.n_words < 50) | (100 * n_repeat > 50 * self.n_words)
         return {"n_words": self.n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat, "base_failed": failed}
 
-    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For words, word pairs and four-byte strings: (bins, bounds of each text's part)."""
+    def grams(self):
+        """(kind, bins, bounds of each text's part): words, word pairs, then characters, these in several parts."""
         mask = np.uint64(BINS - 1)
-        one = (self.word & mask).astype(np.int32)
+        yield 0, (self.word & mask).astype(np.int32), self.first
         at = np.flatnonzero(self.owner[:-1] == self.owner[1:])
-        two = (mix(self.word[at] * np.uint64(3) + self.word[at + 1]) & mask).astype(np.int32)
-        d = self.data.astype(np.uint32)
-        if len(d) > 3:
-            four = (d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24) * np.uint32(0x9E3779B1)
-            four = (four >> np.uint32(32 - 14)).astype(np.int32)
-        else:
-            four = np.zeros(0, np.int32)
-        stop = np.maximum(self.bounds[1:] - 3, self.bounds[:-1])
-        ok = np.ones(len(four), bool)
-        for k in range(3):  # not across texts
-            cut = self.bounds[1:] - 1 - k
-            cut = cut[(cut >= 0) & (cut < len(four))]
-            ok[cut] = False
-        inside = np.concatenate([[0], np.cumsum(ok)])
-        return [(one, self.first), (two, np.searchsorted(at, self.first)), (four[ok], inside[np.minimum(self.bounds, len(four))])]
+        yield 1, (mix(self.word[at] * np.uint64(3) + self.word[at + 1]) & mask).astype(np.int32), np.searchsorted(at, self.first)
+        for lo in range(0, len(self.data), CHUNK):
+            some = self.data[lo : lo + CHUNK + 16]  # three more characters are sure to be in
+            place = np.flatnonzero((some & 0xC0) != 0x80)
+            char = self.view[lo + place].astype(np.uint32) & _OWN_BITS[some[place]]
+            own = int(np.searchsorted(place, CHUNK))
+            place = place[: min(own, max(0, len(place) - 3)) + 3] + lo
+            n = max(0, len(place) - 3)
+            h = char[:n]
+            for k in (1, 2, 3):
+                h = h * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+                h += char[k : n + k]
+            h *= np.uint32(0x85EBCA77)
+            inside = place[3:] < self.bounds[np.searchsorted(self.bounds, place[:n], side="right")]
+            yield 2, (h[inside] >> np.uint32(32 - 14)).astype(np.int32), np.searchsorted(place[:n][inside], self.bounds)
 
 
 @dataclass
@@ -114,9 +120,11 @@ class Model:
 
     def probability(self, t: Texts) -> np.ndarray:
         """The calibrated probability of being good."""
-        z = np.zeros(t.n)
-        for w, (bins, bounds) in zip(self.weights, t.grams()):
-            z += sums(w[bins], bounds) / np.maximum(np.diff(bounds), 1)
+        total, n = np.zeros((3, t.n)), np.zeros((3, t.n))
+        for kind, bins, bounds in t.grams():
+            total[kind] += sums(self.weights[kind][bins], bounds)
+            n[kind] += np.diff(bounds)
+        z = (total / np.maximum(n, 1)).sum(axis=0)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
 
 
@@ -127,16 +135,19 @@ def _rows(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for b in slices(whole):
                 t = Texts(b.column("text"))
-                parts = t.grams()
+                counts: list[dict[int, np.ndarray]] = [{} for _ in range(t.n)]
+                for kind, x, bounds in t.grams():
+                    for i in np.flatnonzero(np.diff(bounds)).tolist():
+                        own = np.bincount(x[bounds[i] : bounds[i + 1]], minlength=BINS).astype(np.int32)
+                        counts[i][kind] = counts[i][kind] + own if kind in counts[i] else own
                 bins, shares = [], []
-                for i in range(t.n):
-                    own_bins, own_shares = [], []
-                    for k, (x, bounds) in enumerate(parts):
-                        u, c = np.unique(x[bounds[i] : bounds[i + 1]], return_counts=True)
-                        own_bins.append(u + k * BINS)
-                        own_shares.append(c / max(1, c.sum()))
-                    bins.append(np.concatenate(own_bins).astype("<i4").tobytes())
-                    shares.append(np.concatenate(own_shares).astype("<f4").tobytes())
+                for own in counts:
+                    c = np.zeros((3, BINS))
+                    for kind, x in own.items():
+                        c[kind] = x / x.sum()
+                    seen = np.flatnonzero(c)
+                    bins.append(seen.astype("<u2").tobytes())
+                    shares.append(c.ravel()[seen].astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(bins), pa.array(shares)], names=["doc_id", "quality", "bins", "shares"])
 
     return docs.mapInArrow(features, "doc_id long, quality int, bins binary, shares binary")
@@ -175,13 +186,16 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` labelled rows. Without rows of both classes there is nothing to learn: None."""
-    some = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = _rows(texts(docs).join(F.broadcast(some), "doc_id")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    """Fit on at most `sample` labelled rows. Without rows of both classes there is nothing to learn: None. A doc_id labelled both ways counts as bad; of documents with one doc_id, one is taken."""
+    labelled = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    some = labelled.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # one row for each label, however often its document is there
+    one = _rows(texts(docs).join(F.broadcast(some), "doc_id")).groupBy("doc_id").agg(F.min(F.struct("quality", "bins", "shares")).alias("r"))
+    got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id")
     y = got["quality"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None
-    rows = [(np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4")) for b, s in zip(got["bins"], got["shares"])]
+    rows = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(s, "<f4")) for b, s in zip(got["bins"], got["shares"])]
     held = np.arange(len(rows)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(rows), bool)
@@ -194,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged one by one. Where the labels
-    teach nothing, the base rules alone decide.
+    A null or empty text has no words and fails the base rules. Repeated rows, and rows with a null doc_id, are judged one by one. Where
+    the labels teach nothing, the base rules alone decide. Texts may be of any length; an empty table gives no rows.
     """
     model = fit(docs, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -213,7 +227,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass, with their columns as they are; judged and passed on in one scan."""
+    """The documents that pass, with their columns as they are; judged and passed on in one scan.
+
+    Nulls, repeated rows and empty tables are as in score(); other columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     def judge(batches):

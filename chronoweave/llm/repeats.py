@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, stash, texts
-from .rolling import Prefix, mix
+from .common import ramp, slices, stash, texts
+from .rolling import mix
 
 NO_ID = -(2**63)
 TUPLES = "a long, b long, doc long, pos long, done boolean, more binary"
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 19
+#: Undecided runs that a task cuts up together.
+RUNS = 1 << 13
 
 
 def pack_pos(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ def settled_here(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     key = a ^ mix(b)
     order = np.argsort(key, kind="stable")
     i, j = order[1:], order[:-1]
-    same = np.concatenate([[False], (key[i] == key[j]) & ((doc[i] != doc[j]) | (pos[i] != pos[j]))])
+    same = np.concatenate([[False], (a[i] == a[j]) & (b[i] == b[j]) & ((doc[i] != doc[j]) | (pos[i] != pos[j]))])
     later, sure = np.zeros(len(a), bool), np.zeros(len(a), bool)
     later[order] = same
     sure |= later
@@ -110,11 +112,11 @@ def dealt(t: DataFrame) -> DataFrame:
     return t.repartition("a").sortWithinPartitions("a", "b", "doc", "pos")
 
 
-def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, sequence: Callable, both: bool) -> DataFrame:
+def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, sequence: Callable, name: Callable, both: bool) -> DataFrame:
     """doc, runs: for every document with repeated windows, their packed (first, last) starts as int32 pairs.
 
-    anchors(batch) yields tuples; sequence(texts) gives (numbers or bytes of all texts, each text's bounds) for naming
-    windows again. step: so many neighbouring offsets go together on the second level. docs: doc_id (no nulls), text.
+    anchors(batches) yields tuples; sequence(texts) gives (numbers or bytes of all texts, each text's bounds), and name(values, starts, ends,
+    seed) names stretches of them. step: so many neighbouring offsets go together on the second level. docs: doc_id (no nulls), text.
     """
     first = stash(resolve(dealt(docs.mapInArrow(anchors, TUPLES)), both).select("doc", "pos", "done"), "runs")
     open_ = first.where("NOT done").groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("open"))
@@ -123,34 +125,33 @@ def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, seq
         for whole in batches:
             for batch in slices(whole, SLICE):
                 data, bounds = sequence(batch.column("text"))
-                p1, p2 = Prefix(data, 3), Prefix(data, 4)
                 lists = batch.column("open")
                 n_open = np.asarray(lists.value_lengths())
-                base = np.repeat(bounds[:-1], n_open)
-                doc = np.repeat(np.asarray(batch.column("doc_id")), n_open)
-                pos = np.asarray(lists.flatten())
-                lo, hi = unpack_pos(pos)
-                at = pos >> 16
-                # groups of `step` offsets from the anchor: offset o = at - start, group o // step
-                g_first, g_last = (at - hi) // step, (at - lo) // step
-                n = g_last - g_first + 1
-                rep = lambda x: np.repeat(x, n)
-                ends = np.cumsum(n)
-                g = np.arange(ends[-1] if len(ends) else 0) - rep(ends - n) + rep(g_first)
-                top, low = rep(at) - g * step, rep(at) - g * step - (step - 1)  # all starts of the group
-                s0, s1 = np.maximum(low, rep(lo)), np.minimum(top, rep(hi))
-                off = rep(base)
-                core = p1.of(off + top, off + low + window) + g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                union = mix(p2.of(off + s0, off + s1 + window) + (top - s1).astype(np.uint64) * np.uint64(64) + (s0 - low).astype(np.uint64))
-                # the names of its single windows, for the last level
-                k = np.arange(step)
-                starts = s0[:, None] + k
-                inside = starts <= s1[:, None]
-                single = np.zeros(starts.shape, np.uint64)
-                x = (off[:, None] + starts)[inside]
-                single[inside] = p2.of(x, x + window)
-                more = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * step), len(g), [None, pa.py_buffer(np.ascontiguousarray(single).tobytes())]).cast(pa.binary()) if len(g) else pa.array([], pa.binary())
-                yield tuples(mix(core), union, rep(doc), pack_pos(s0, np.zeros(len(g)), s1 - s0), None, more)
+                bases = np.repeat(bounds[:-1], n_open)
+                docs = np.repeat(np.asarray(batch.column("doc_id")), n_open)
+                all_pos = np.asarray(lists.flatten())
+                for part in range(0, len(all_pos), RUNS):
+                    base, doc, pos = (x[part : part + RUNS] for x in (bases, docs, all_pos))
+                    lo, hi = unpack_pos(pos)
+                    at = pos >> 16
+                    # groups of `step` offsets from the anchor: offset o = at - start, group o // step
+                    g_first, g_last = (at - hi) // step, (at - lo) // step
+                    n = g_last - g_first + 1
+                    rep = lambda x: np.repeat(x, n)  # noqa: E731, B023
+                    g = ramp(n) + rep(g_first)
+                    top, low = rep(at) - g * step, rep(at) - g * step - (step - 1)  # all starts of the group
+                    s0, s1 = np.maximum(low, rep(lo)), np.minimum(top, rep(hi))
+                    off = rep(base)
+                    core = name(data, off + top, off + low + window, 3) + g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    union = mix(name(data, off + s0, off + s1 + window, 4) + (top - s1).astype(np.uint64) * np.uint64(64) + (s0 - low).astype(np.uint64))
+                    # the names of its single windows, for the last level
+                    starts = s0[:, None] + np.arange(step)
+                    inside = starts <= s1[:, None]
+                    single = np.zeros(starts.shape, np.uint64)
+                    x = (off[:, None] + starts)[inside]
+                    single[inside] = name(data, x, x + window, 4)
+                    more = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * step), len(g), [None, pa.py_buffer(np.ascontiguousarray(single).tobytes())]).cast(pa.binary())
+                    yield tuples(mix(core), union, rep(doc), pack_pos(s0, np.zeros(len(g)), s1 - s0), None, more)
 
     second = resolve(dealt(docs.join(open_.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "open").mapInArrow(finer, TUPLES)), both)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import buffer_of, slices
 from .repeats import SLICE, cover, id_column, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
-from .rolling import Prefix, mix, words
+from .rolling import cut_long, each, mix, of_bytes, of_numbers, words
 
 #: Bits of the filter: 16 MB, whatever the corpus.
 FILTER_BITS = 27
@@ -31,19 +31,17 @@ def word_names(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word, equal words equal, and each text's bounds among them."""
     data, bounds = buffer_of(column)
     start, end, first = words(data, bounds)
-    return Prefix(data, 7).of(start, end), first
+    return of_bytes(data, start, end, 7), first
 
 
-def _grams(batch: pa.RecordBatch, window: int, block: int):
-    """The words, each text's bounds, and of texts with a window: places and names of all blocks of words; which are reference blocks."""
-    word, bounds = word_names(batch.column("text"))
-    p = Prefix(word, 1)
-    name = mix(p.each(block))
+def _grams(word: np.ndarray, bounds: np.ndarray, window: int, block: int, skipped: int):
+    """Of texts with a window: places, owners and names of all blocks of words; which are reference blocks."""
+    name = each(word, block)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(name)]
     at = np.arange(len(name))
     ok = (at + block <= bounds[owner + 1]) & (bounds[owner + 1] - bounds[owner] >= window) if len(name) else np.zeros(0, bool)
     at, owner, name = at[ok], owner[ok], name[ok]
-    return word, bounds, at, owner, name, (at - bounds[owner]) % block == 0
+    return at, owner, name, (at - bounds[owner] + skipped) % block == 0
 
 
 def _bits(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +55,12 @@ def index_filter(docs: DataFrame, window: int, block: int) -> np.ndarray:
     def bits(batches):
         for whole in batches:
             for batch in slices(whole, SLICE):
-                *_, name, reference = _grams(batch, window, block)
-                x = np.unique(np.concatenate(_bits(name[reference])))
-                if len(x):
-                    cell, first = np.unique(x >> np.uint64(6), return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (x & np.uint64(63)), first).view(np.int64))], names=["cell", "bits"])
+                for word, bounds, skipped in cut_long(*word_names(batch.column("text")), SLICE, window - 1):
+                    *_, name, reference = _grams(word, bounds, window, block, skipped)
+                    x = np.unique(np.concatenate(_bits(name[reference])))
+                    if len(x):
+                        cell, first = np.unique(x >> np.uint64(6), return_index=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (x & np.uint64(63)), first).view(np.int64))], names=["cell", "bits"])
 
     got = docs.select("text").mapInArrow(bits, "cell int, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -85,22 +84,23 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_kept: bool = True) ->
     def anchors(batches):
         for whole in batches:
             for batch in slices(whole, SLICE):
-                word, bounds, at, owner, name, reference = _grams(batch, window, block)
-                x, y = _bits(name)
-                full = known.value
-                hit = (full[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & (full[(y >> np.uint64(3)).astype(np.int64)] >> (y & np.uint64(7)).astype(np.uint8)) & 1
-                use = np.flatnonzero(reference | (hit == 1))
-                at, owner, name = at[use], owner[use], name[use]
-                lo = np.maximum(bounds[owner], at - (window - block))
-                hi = np.minimum(at, bounds[owner + 1] - window)
-                doc, base = np.asarray(batch.column("doc_id"))[owner], bounds[owner]
-                b = mix(Prefix(word, 2).of(lo, hi + window) + (at - lo).astype(np.uint64))
-                pos = pack_pos(at - base, at - lo, hi - at)
-                later, sure = settled_here(name, b, doc, pos, True)
-                yield tuples(name[~later], b[~later], doc[~later], pos[~later])
-                yield tuples(mix(doc[sure].view(np.uint64)), b[sure], doc[sure], pos[sure], np.ones(int(sure.sum()), bool))
-
-    runs = removed_runs(docs, window, STEP, anchors, word_names, both=True)
+                for word, bounds, skipped in cut_long(*word_names(batch.column("text")), SLICE, window - 1):
+                    at, owner, name, reference = _grams(word, bounds, window, block, skipped)
+                    x, y = _bits(name)
+                    full = known.value
+                    hit = (full[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & (full[(y >> np.uint64(3)).astype(np.int64)] >> (y & np.uint64(7)).astype(np.uint8)) & 1
+                    use = np.flatnonzero(reference | (hit == 1))
+                    at, owner, name = at[use], owner[use], name[use]
+                    lo = np.maximum(bounds[owner], at - (window - block))
+                    hi = np.minimum(at, bounds[owner + 1] - window)
+                    doc, base = np.asarray(batch.column("doc_id"))[owner], bounds[owner] - skipped
+                    b = mix(of_numbers(word, lo, hi + window, 2) + (at - lo).astype(np.uint64))
+                    pos = pack_pos(at - base, at - lo, hi - at)
+                    later, sure = settled_here(name, b, doc, pos, True)
+                    yield tuples(name[~later], b[~later], doc[~later], pos[~later])
+                    yield tuples(mix(doc[sure].view(np.uint64)), b[sure], doc[sure], pos[sure], np.ones(int(sure.sum()), bool))
+
+    runs = removed_runs(docs, window, STEP, anchors, word_names, of_numbers, both=True)
 
     def assemble(batches):
         for whole in batches:

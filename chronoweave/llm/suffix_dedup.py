@@ -17,34 +17,38 @@ from pyspark.sql import DataFrame
 
 from .common import buffer_of, slices
 from .repeats import SLICE, cover, id_column, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
-from .rolling import Prefix, mix
+from .rolling import cut_long, each, eights, mix, of_bytes
 
 KMER = 32
 #: Offsets that stay together on the second level.
 STEP = 8
 
 
-def sampled_runs(data: np.ndarray, bounds: np.ndarray, window: int, prefix: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled_runs(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sample, first, last): each run of neighbouring windows, by start, that have the same sample. Windows lie within one text."""
-    span = window - KMER + 1  # k-mers in a window
-    if len(data) < window:
-        none = np.zeros(0, np.int64)
+    n = len(data) - window + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
         return none, none, none
-    bits = np.uint64(int(len(data)).bit_length())
-    rank = (prefix.each(KMER) * np.uint64(0xD6E8FEB86659FD93)) >> bits << bits | np.arange(len(data) - KMER + 1, dtype=np.uint64)
-    low, have = rank, 1
-    while 2 * have <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < span:
-        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    valid = np.zeros(len(at), bool)
+    valid = np.zeros(n, bool)
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         valid[s : max(s, e - window + 1)] = True
+    span = window - KMER + 1  # k-mers in a window
+    low_bits = np.uint64((1 << 17) - 1)
+    at = np.empty(n, np.int64)
+    for lo in range(0, n, 1 << 16):  # what a processor's cache holds
+        some = each(data[lo : lo + (1 << 16) + window - 1], KMER)
+        # the smallest hash wins, the leftmost of equal ones
+        low, have = some & ~low_bits | np.arange(len(some), dtype=np.uint64), 1
+        while 2 * have <= span:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        if have < span:
+            low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
+        at[lo : lo + len(low)] = (low & low_bits).astype(np.int64) + lo
     start = np.flatnonzero(valid)
     if not len(start):
-        return start, start, start
+        return none, none, none
     at = at[start]
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) > 1)])
     first = np.flatnonzero(new)
@@ -65,20 +69,20 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_kept: bool = True) -
     def anchors(batches):
         for whole in batches:
             for batch in slices(whole, SLICE):
-                data, bounds = buffer_of(batch.column("text"))
-                p1, p2 = Prefix(data, 1), Prefix(data, 2)
-                at, lo, hi = sampled_runs(data, bounds, window, p1)
-                owner = np.searchsorted(bounds, at, side="right") - 1
-                doc, base = np.asarray(batch.column("doc_id"))[owner], bounds[owner]
-                a = p1.of(at, at + KMER)
-                b = mix(p2.of(lo, hi + window) + (at - lo).astype(np.uint64))
-                pos = pack_pos(at - base, at - lo, hi - at)
-                later, sure = settled_here(a, b, doc, pos, False)
-                a = np.where(later, mix(doc.view(np.uint64)), a)
-                yield tuples(a, b, doc, pos, sure)
+                for data, bounds, skipped in cut_long(*buffer_of(batch.column("text")), SLICE, window - 1):
+                    at, lo, hi = sampled_runs(data, bounds, window)
+                    owner = np.searchsorted(bounds, at, side="right") - 1
+                    doc, base = np.asarray(batch.column("doc_id"))[owner], bounds[owner] - skipped
+                    view = eights(data)
+                    a = of_bytes(data, at, at + KMER, 1, view)
+                    b = mix(of_bytes(data, lo, hi + window, 2, view) + (at - lo).astype(np.uint64))
+                    pos = pack_pos(at - base, at - lo, hi - at)
+                    later, sure = settled_here(a, b, doc, pos, False)
+                    a = np.where(later, mix(doc.view(np.uint64)), a)
+                    yield tuples(a, b, doc, pos, sure)
 
     docs = identified(docs)
-    runs = removed_runs(docs, window, STEP, anchors, buffer_of, both=False)
+    runs = removed_runs(docs, window, STEP, anchors, buffer_of, of_bytes, both=False)
 
     def assemble(batches):
         for whole in batches:

@@ -166,7 +166,7 @@ def test_em_follows_the_labelers_that_agree():
 ITEM = "If Anna buys 12 apples for 3 dollars each and then sells 5 of them to Bob who pays 4 dollars for every apple how much money does Anna have left after all"
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_TOKENS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontamination(spark, limit):
     filler = "some clean words that stand before and after it in the document without any meaning at all"
     texts = [

@@ -49,7 +49,7 @@ def test_equal_short_lines_go(spark):
     assert got == {0: ("chapter one\nab\n\n ", 1), 1: ("chapter two", 1), 2: ("Chapter one", 1), 3: (None, 0), 4: ("x y", 1)}
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_TOKENS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_partial_quotes_are_exact(spark, limit):
     words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
     words[30] = "Alice"
@@ -61,7 +61,7 @@ def test_partial_quotes_are_exact(spark, limit):
     assert got == [(0, 1, "exact", 20, 3), (1, 1, "exact", 25, 0)]
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_TOKENS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_exact_copies_of_items_without_literal_words(spark, limit):
     sums = " ".join(f"{k} {k * k} {k + 3} =" for k in range(2, 12))
     items = [sums, "Great Big Lakes Of Northern America By Size And Depth In Metres", "Paris Is Nice", "..."]
