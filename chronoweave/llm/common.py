@@ -24,10 +24,12 @@ def texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only where none is named."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is named, a temporary one of our own on a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -35,6 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+_open: list["Scratch"] = []
+
+
+class Scratch:
+    """with Scratch() as s: every table that stash() writes inside is deleted at the end, but for s.keep(table), which outlives it."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> "Scratch":
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.remove(next(t for t in self.tables if t is df))
+        if len(_open) > 1:
+            _open[-2].tables.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        for df in self.tables:
+            unstash(df)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. A lost executor costs nothing then."""
     spark = df.sparkSession
@@ -42,6 +69,8 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    if _open:
+        _open[-1].tables.append(out)
     return out
 
 
@@ -49,6 +78,7 @@ def unstash(df: DataFrame) -> None:
     """Delete a table that stash() wrote, once nothing reads it any more."""
     path = getattr(df, "_stash_path", None)
     if path:
+        df._stash_path = None
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stash
+from .common import Scratch, stash
 
 #: Shorter lines go only if an equal one stands before them: one changed word makes them another line.
 MIN_WORDS = 8
@@ -116,8 +116,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     # nulls must meet in joins: they become the smallest id, which no document has
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    per_doc = stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone")
+    with Scratch() as s:
+        gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        per_doc = s.keep(stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone"))
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")

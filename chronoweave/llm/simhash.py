@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep_ids, slices, stash, texts
+from .common import Scratch, keep_ids, slices, stash, texts
 from .components import components
 
 #: A cell with more fingerprints than this is dealt out in blocks, each two of which meet in one group.
@@ -101,8 +101,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
         own = F.struct((c * 2 + half).alias("cell"), F.lit(True).alias("own"))
         up = [F.when(F.shiftrightunsigned(c, 2 * i).bitwiseAND(F.lit(3)) < 2, F.struct(((c + (1 << 2 * i)) * 2 + half).alias("cell"), F.lit(False).alias("own"))) for i in range(16)]
         cells += [own, *up]
-    # few bytes become many rows here, so the rows are dealt out in full first
-    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # few bytes become many rows here, so the rows are dealt out in full first, by another key than the one they came grouped by
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit("deal"), "fp"))
     visits = prints.select("fp", F.explode(F.array_compact(F.array(*cells))).alias("v")).select("fp", "v.cell", "v.own")
     # cells where somebody lives and somebody else comes by; large ones in blocks
     full = visits.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("lived_in")).where("n > 1 AND lived_in")
@@ -132,14 +132,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     Equal fingerprints are one before any join, so copies cost no pairs. Texts without words have fingerprint 0 and
     link like any other; repeated rows stay; a null doc_id gets a component but names none. An empty table gives no rows.
     """
-    each = stash(fingerprints(docs, shingle), "fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    tree = components(links(distinct.select("fp"), bits))
-    linked = distinct.join(tree.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("head").alias("least"))
-    named = tree.withColumnRenamed("node", "fp").join(least, "root").select("fp", "least")
-    # written, so that the last join is of two plain shuffles, whose hot fingerprints Spark may split
-    heads = stash(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")), "heads")
+    with Scratch() as s:
+        each = s.keep(stash(fingerprints(docs, shingle), "fingerprints"))
+        distinct = stash(each.groupBy("fp").agg(F.min("doc_id").alias("head")), "distinct")
+        tree = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
+        least = distinct.join(tree, "fp").groupBy("root").agg(F.min("head").alias("least"))
+        named = tree.join(least, "root").select("fp", "least")
+        # written, so that the last join is of two plain shuffles, whose hot fingerprints Spark may split
+        heads = s.keep(stash(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")), "heads"))
     return each.join(heads, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

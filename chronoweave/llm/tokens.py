@@ -4,10 +4,13 @@ The pre-tokenizer's pattern never joins characters across a single space that st
 other visible characters; it only gives that space to the word after it. So a text may be cut before such spaces,
 and the ids of the parts, one after the other, are the ids of the whole text. Parts repeat, so a bounded
 memory of parts saves most of the work. tests/llm/test_tokens.py holds this against whole-text encoding.
+
+Texts that hold a special token as plain text, and all texts of a tokenizer with another pre-tokenizer, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import repeat
@@ -22,8 +25,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _IRREGULAR = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Before a line's first letter, and the letters that a part begins with.
 _LINE, _LETTERS = re.compile(r"(?<=\S)(?=\n[^\W\d_])"), re.compile(r"[ \n][^\W\d_]+(?=\W)")
-#: Parts longer than this are not remembered; the memory starts anew beyond so many parts.
-LONGEST, CAPACITY = 48, 1_000_000
+#: Parts longer than this are not remembered. Beyond so many parts or ids (about 100 MB together), those that came again stay and the rest is forgotten.
+LONGEST, CAPACITY, CAPACITY_IDS = 48, 400_000, 3_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -47,8 +50,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.spans = spans
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        before = told.get("pre_tokenizer") or {}
+        #: Cutting is right for this pre-tokenizer, without a normalizer, and for texts without special tokens.
+        self.may_cut = before.get("type") == "ByteLevel" and before.get("use_regex") is not False and not before.get("add_prefix_space") and not told.get("normalizer") and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
+        added = [x["content"] for x in told.get("added_tokens", []) if x["content"]]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         # a byte-level token has one letter for each of its bytes
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -60,36 +69,55 @@ class Encoder:
         self.atoms: dict[str, int] = {}
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.begin = np.zeros(1 << 18 if self.spans else 0, np.int32)
         self.end = np.zeros(1 << 18 if self.spans else 0, np.int32)
         self.n, self.m = 0, 0
 
+    def _forget(self) -> None:
+        """Keep what was used twice or more since the last time, if that leaves half of the memory free; else nothing."""
+        known, atoms, at, size = self.known, self.atoms, self.at, self.size
+        ids, begin, end = self.ids, self.begin, self.end
+        stays = np.flatnonzero(self.uses[: self.n] > 1)
+        self._reset()
+        if 2 * len(stays) > CAPACITY or 2 * size[stays].sum() > CAPACITY_IDS:
+            return
+        take = np.repeat(at[stays], size[stays]) + ramp(size[stays])
+        self._add(size[stays], ids[take], *((begin[take], end[take]) if self.spans else (None, None)))
+        new = np.full(len(at), -1, np.int64)
+        new[stays] = np.arange(len(stays))
+        self.known.update((p, n) for p, k in known.items() if (n := int(new[k])) >= 0)
+        self.atoms.update((p, n) for p, k in atoms.items() if (n := int(new[k])) >= 0)
+
     def _add(self, size: np.ndarray, ids: np.ndarray, begin, end) -> np.ndarray:
         """Keep the ids of some parts; the numbers that stand for the parts."""
         while self.n + len(size) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+            self.at, self.size, self.uses = (np.resize(x, 2 * len(x)) for x in (self.at, self.size, self.uses))
         while self.m + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
             if self.spans:
                 self.begin, self.end = np.resize(self.begin, len(self.ids)), np.resize(self.end, len(self.ids))
         self.at[self.n : self.n + len(size)] = self.m + np.cumsum(size) - size
         self.size[self.n : self.n + len(size)] = size
+        self.uses[self.n : self.n + len(size)] = 0
         self.ids[self.m : self.m + len(ids)] = ids
         if self.spans:
             self.begin[self.m : self.m + len(ids)], self.end[self.m : self.m + len(ids)] = begin, end
         self.n, self.m = self.n + len(size), self.m + len(ids)
         return np.arange(self.n - len(size), self.n)
 
-    def _one_by_one(self, texts: list[str], lead: int = 0) -> np.ndarray:
-        """Encode texts by themselves; `lead`: so many characters of each belong to what stands before."""
+    def _one_by_one(self, texts: list[str], lead: np.ndarray | None = None) -> np.ndarray:
+        """Encode texts by themselves; `lead`: so many characters of each are not counted."""
         encode = self.library.encode_batch if self.spans else self.library.encode_batch_fast
         found = encode(texts, add_special_tokens=False)
         size = np.array([len(x.ids) for x in found], np.int64)
         ids = np.array([i for x in found for i in x.ids], np.uint32)
         if not self.spans:
             return self._add(size, ids, None, None)
-        flat = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2) - lead
+        flat = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2)
+        if lead is not None:
+            flat -= np.repeat(lead, size)[:, None].astype(np.int32)
         return self._add(size, ids, flat[:, 0], flat[:, 1])
 
     def _joined(self, atoms: list[str], skip: bool = False) -> np.ndarray:
@@ -123,7 +151,8 @@ class Encoder:
         for lo in range(0, len(glued), 4000):  # after a letter, what begins with another sign stands alone
             got.update(zip(some := glued[lo : lo + 4000], self._joined([" a" + x for x in some], True).tolist()))
         if odd:
-            got.update(zip(odd, self._one_by_one(odd, 1).tolist()))
+            # like the others': characters from after a space or new line, or from their own first
+            got.update(zip(odd, self._one_by_one(odd, np.array([x[0] in " \n" for x in odd], np.int64)).tolist()))
         self.atoms.update((x, k) for x, k in got.items() if len(x) <= LONGEST)
         return got
 
@@ -162,6 +191,7 @@ class Encoder:
             flat[1 : 2 * len(ended) : 2] = np.fromiter((found[p[-1]] for p in ended), np.int64, len(ended))
             flat[2 * len(ended) :] = [found[x] for atoms in mixed.values() for x in atoms]
             heads = np.cumsum(group) - group
+            np.add.at(self.uses, flat, 1)
             size = self.size[flat]
             take = np.repeat(self.at[flat], size) + ramp(size)
             begin = end = None
@@ -184,12 +214,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]. A null text has no ids. With spans, two more arrays: characters [begin, end)."""
-        if self.n > CAPACITY:
-            self._reset()
+        if self.n > CAPACITY or self.m > CAPACITY_IDS:
+            self._forget()
         firsts, rest, counts = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                p = parts_of(text)
+                p = parts_of(text) if self.may_cut and not (self.special and self.special.search(text)) else [text]
                 counts[i] = len(p)
                 firsts.append(p[0])
                 rest += p
@@ -203,6 +233,7 @@ class Encoder:
         missing = np.flatnonzero(which < 0).tolist()
         if missing:
             which[missing] = self._learn([rest[j] for j in missing])
+        self.uses[: self.n] += np.bincount(which, minlength=self.n)
         size = self.size[which]
         ends = np.cumsum(size)
         take = np.repeat(self.at[which] - (ends - size), size) + np.arange(ends[-1])

@@ -69,3 +69,15 @@ def test_exact_copies_of_items_without_literal_words(spark, limit):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = sorted(tuple(r)[:3] for r in decontaminate.leaks(documents(spark, texts), bench, limit).collect())
     assert got == [(0, 0, "exact"), (2, 1, "exact"), (4, 2, "exact")]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from chronoweave.llm import common, components
+
+    made = []
+    monkeypatch.setattr(components, "stash", lambda df, label: made.append(label) or common.stash(df, label))
+    links = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2001 + i) for i in range(0, 20, 2)] + [(5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len({got[i] for i in range(1001)}) == 1 and len(set(got.values())) == 11 and set(got) == {i for x in links for i in x}
+    assert made.count("parents") <= 20
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
