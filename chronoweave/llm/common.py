@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_dir: dict[str, str] = {}
 
@@ -84,6 +84,16 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Ids of documents without one are below this; other doc_ids must not be.
+NO_ID = -(2**62)
+
+
+def own_id() -> Column:
+    """doc_id, or for a null one a number below all others by the text: rows without an id are documents of their own, equal texts one."""
+    by_text = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(2**62 - 1)) - F.lit(2**62) - F.lit(2**62)
+    return F.coalesce(F.col("doc_id").cast("long"), by_text)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose doc_id is (left_anti: is not) among ids, null equal to null; columns as they are."""
     ids = ids.select(F.col("doc_id").alias("__kept_id"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, stash
+from .common import Scratch, own_id, stash
 
 #: Shorter lines go only if an equal one stands before them: one changed word makes them another line.
 MIN_WORDS = 8
@@ -110,12 +110,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with `text` less the lines that go, and n_lines, n_removed; other columns stay as they are.
 
     A line with a word goes if an earlier line (smaller doc_id, or earlier in the same text) has the same words or, where both have
-    MIN_WORDS words or more, is within one word of it. Lines are judged on the input, not on what is left. Null texts stay null, with no lines;
-    a null doc_id is below all others. Rows with one doc_id are one document, so they do not remove each other's lines. Input
-    columns called n_lines or n_removed are replaced. An empty table gives no rows.
+    MIN_WORDS words or more, is within one word of it. Lines are judged on the input, not on what is left. Null texts stay null, with no lines.
+    Rows with one doc_id are one document, so they do not remove each other's lines; rows with a null doc_id are documents of their own below
+    all others, in a fixed order, equal texts among them one. Texts may have any number of lines of any length. Input columns called n_lines or n_removed are replaced. An empty table gives no rows.
     """
-    # nulls must meet in joins: they become the smallest id, which no document has
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    keyed = docs.withColumn("__id", own_id())
     with Scratch() as s:
         gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
         per_doc = s.keep(stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone"))
@@ -146,16 +145,18 @@ WITH l AS (
   SELECT doc_id, i AS line, list_filter(regexp_split_to_array(parts[i + 1], '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words
   FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
 ), s AS (
-  SELECT doc_id, line, words, len(words) AS n, array_to_string(words, ' ') AS own FROM l WHERE len(words) >= 8
+  SELECT doc_id, line, words, len(words) AS n, array_to_string(words, ' ') AS own FROM l WHERE len(words) > 0
 ), f AS (
   SELECT own, any_value(words) AS words, any_value(n) AS n, min(doc_id * 1000000 + line) AS first FROM s GROUP BY own
+), k AS (
+  SELECT * FROM f WHERE n >= 8
 ), v AS (
-  SELECT own, n, first, i, md5_number(array_to_string(list_concat(words[1:i], words[i + 2:]), ' ')) AS rest FROM (SELECT own, n, first, words, unnest(range(n)) AS i FROM f)
+  SELECT own, n, first, i, md5_number(array_to_string(list_concat(words[1:i], words[i + 2:]), ' ')) AS rest FROM (SELECT own, n, first, words, unnest(range(n)) AS i FROM k)
 ), c AS (SELECT n, i, rest, min(first) AS first FROM v GROUP BY n, i, rest
 ), near AS (
   SELECT v.own FROM v JOIN c USING (n, i, rest) WHERE c.first < v.first
-  UNION SELECT v.own FROM v JOIN f ON md5_number(f.own) = v.rest AND f.n = v.n - 1 WHERE f.first < v.first
-  UNION SELECT f.own FROM v JOIN f ON md5_number(f.own) = v.rest AND f.n = v.n - 1 WHERE v.first < f.first
+  UNION SELECT v.own FROM v JOIN k ON md5_number(k.own) = v.rest AND k.n = v.n - 1 WHERE k.first < v.first
+  UNION SELECT k.own FROM v JOIN k ON md5_number(k.own) = v.rest AND k.n = v.n - 1 WHERE v.first < k.first
 ), gone AS (
   SELECT s.doc_id, s.line FROM s JOIN f USING (own) WHERE s.doc_id * 1000000 + s.line > f.first OR s.own IN (SELECT own FROM near)
 ), per AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id)

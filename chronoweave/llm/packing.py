@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import slices, stash, texts
 from .tokens import encoder, vocabulary
 
-#: The pieces of one length are numbered in so many groups, so that no length needs one task.
-SALTS = 64
+#: The pieces of one length are numbered in groups of about so many, so that no length needs one task.
+GROUP = 100_000
 
 
 def pieces(docs: DataFrame, sequence: int = 2048, end_id: int = 0, vocab: str | None = None) -> DataFrame:
@@ -53,46 +53,70 @@ class Plan:
     n_fixed: int
 
 
+def _dominating(left: np.ndarray, w: int, size: int) -> tuple[list[int], int] | None:
+    """The set of at most three lengths that dominates all others with w, and how many times it may be fixed; None where there is none."""
+    room = size - w
+    others = left[: room + 1].copy()
+    if w <= room:
+        others[w] -= 1
+    present = np.flatnonzero(others)
+    alone = int(left[w]) if 2 * w > size else 1
+    if not len(present):
+        return [w], alone
+    longest = int(present[-1])
+    times = lambda *xs: min([alone, *(int(others[x]) // xs.count(x) for x in xs)])
+    if longest == room:
+        return [w, longest], times(longest)
+    small = np.repeat(present[:3], np.minimum(others[present[:3]], 3))[:3]
+    if len(small) < 2 or small[:2].sum() > room:
+        return [w, longest], times(longest)
+    if len(small) == 3 and small.sum() <= room:
+        return None
+    # two fit, not three: the best two, a >= b
+    a = present
+    b = np.searchsorted(present, np.minimum(a, room - a), side="right") - 1
+    ok = (b >= 0) & ((present[b] != a) | (others[a] > 1))
+    step = (b > 0) & ~ok
+    b, ok = np.where(step, b - 1, b), ok | step
+    if not ok.any():
+        return [w, longest], times(longest)
+    k = int(np.flatnonzero(ok)[np.argmax((a + present[b])[ok])])
+    best, second = int(a[k]), int(present[b[k]])
+    if longest >= best + second:
+        return [w, longest], times(longest)
+    longer = present[present > second]
+    pair = np.repeat(longer[:2], np.minimum(others[longer[:2]], 2))[:2]
+    if best == longest and (len(pair) < 2 or pair.sum() > room):
+        return [w, best, second], times(best, second)
+    return None
+
+
 def plan(counts: np.ndarray) -> Plan:
     """counts[l]: how many pieces of length l there are, for l up to the sequence length."""
     size = len(counts) - 1
     left = counts.astype(np.int64).copy()
     bins: list[tuple[list[tuple[int, int]], int]] = []  # ((length, how many) of one sequence, so many such sequences)
 
-    # Dominance: {w, size - w} fills a sequence; whatever else could share w's sequence can trade places with that partner.
-    # If no two remaining pieces fit beside w, the largest that fits is at least as good as any other choice.
+    def fix(items: list[int], n: int) -> None:
+        """Put these lengths into n sequences for good."""
+        for x in items:
+            left[x] -= n
+        bins.append(([(x, 1) for x in items], n))
+
+    # Dominance, after Martello and Toth: a set with w is fixed if every other set with w could trade its pieces for this one's, each for one
+    # at least as long. That holds for {w, size - w}; where no two pieces fit beside w, for w and the longest that fits; and where two fit
+    # but not three, for w with that piece if no two are longer together, or with the best two, if one of them is the longest that
+    # fits and no pair that fits has both longer than the other.
     changed = True
     while changed:
         changed = False
         for w in range(size, 0, -1):
-            if not left[w]:
-                continue
-            room = size - w
-            if room and left[room] and (room != w or left[w] > 1):
-                n = left[w] // 2 if room == w else min(left[w], left[room])
-                bins.append(([(w, 2)] if room == w else [(w, 1), (room, 1)], int(n)))
-                left[w] -= n
-                left[room] -= n
-                changed = True
-            if not left[w]:
-                continue
-            others = left.copy()
-            others[w] -= 1
-            present = np.flatnonzero(others[: room + 1])
-            if not len(present):
-                bins.append(([(w, 1)], int(left[w]) if 2 * w > size else 1))
-                left[w] -= bins[-1][1]
+            while left[w]:
+                n = _dominating(left, w, size)
+                if n is None:
+                    break
+                fix(*n)
                 changed = True
-            elif 2 * w > size:
-                least = present[0]
-                second = least if others[least] > 1 else present[1] if len(present) > 1 else size + 1
-                if least + second > room:
-                    best = present[-1]
-                    n = int(min(left[w], left[best]))
-                    bins.append(([(w, 1), (int(best), 1)], n))
-                    left[w] -= n
-                    left[best] -= n
-                    changed = True
     fixed = sum(n for _, n in bins)
 
     # Best fit, longest first. Equal half-filled sequences are one entry: room left -> [(content, how many)].
@@ -145,25 +169,34 @@ def plan(counts: np.ndarray) -> Plan:
 def pack(docs: DataFrame, sequence: int = 2048, end_id: int = 0, vocab: str | None = None) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only documents longer than a sequence are cut; their first piece may be shorter. Repeated rows are
-    documents of their own, a null or empty text is one end id, an empty table gives no rows. The driver sees the histogram
-    only: sequence * SALTS numbers at most.
+    Only documents longer than a sequence are cut; their first piece may be shorter. Repeated rows and rows with a null doc_id are
+    documents of their own, a null or empty text is one end id, an empty table gives no rows. Pieces of one length take the places
+    for it in the order of a hash, then doc_id and piece. The driver sees the histogram only: a number for each length and for each GROUP pieces.
     """
     cut = stash(pieces(docs, sequence, end_id, vocab), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    hist = np.zeros((sequence + 1, SALTS), np.int64)
+    counts = np.zeros(sequence + 1, np.int64)
+    for r in cut.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    salts = np.maximum(1, -(-counts // GROUP))
+    first = np.cumsum(salts) - salts
+    many = {n: int(k) for n, k in enumerate(salts) if k > 1}
+    groups = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("length").cast("int")], F.lit(1)) if many else F.lit(1)
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), groups).cast("int"))
+    # one number for each group: the pieces of its length in the groups before it
+    hist = np.zeros(int(salts.sum()), np.int64)
     for r in salted.groupBy("length", "salt").count().collect():
-        hist[r["length"], r["salt"]] = r["count"]
-    before = np.cumsum(hist, axis=1) - hist
+        hist[first[r["length"]] + r["salt"]] = r["count"]
+    before = np.cumsum(hist) - hist
+    before -= np.repeat(before[first], salts)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((plan(hist.sum(axis=1)), before))
+    known = spark.sparkContext.broadcast((plan(counts), first, before))
 
     def place(batches):
-        p, base = known.value
+        p, first, base = known.value
         starts = p.length << 44 | p.first
         for b in batches:
             length, salt, number = (np.asarray(b.column(c)) for c in ("length", "salt", "number"))
-            k = base[length, salt] + number - 1
+            k = base[first[length] + salt] + number - 1
             s = np.searchsorted(starts, length << 44 | k, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(p.base[s] + k - p.first[s]), pa.array(p.offset[s])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ramp, slices, stash, texts
+from .common import NO_ID, own_id, ramp, slices, stash
 from .rolling import mix
 
-NO_ID = -(2**63)
 TUPLES = "a long, b long, doc long, pos long, done boolean, more binary"
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 19
@@ -194,8 +193,8 @@ def cover(runs: np.ndarray, window: int, n: int) -> tuple[np.ndarray, int]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id without nulls (they count as one id below all others) and texts without nulls."""
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id without nulls (see own_id) and texts without nulls."""
+    return docs.select(own_id().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -204,4 +203,4 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def id_column(column: pa.Array) -> pa.Array:
     x = np.asarray(column)
-    return pa.array(np.where(x == NO_ID, 0, x), pa.int64(), mask=x == NO_ID)
+    return pa.array(np.where(x < NO_ID, 0, x), pa.int64(), mask=x < NO_ID)

@@ -72,8 +72,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_kept: bool = True) ->
     """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by one space); with_kept: that text, too.
 
     Words are what stands between space and \\t to \\r; a null text has none. Windows lie within one document and are judged on
-    the input. Rows with one doc_id (all nulls have one) are one document: equal windows at the same place of it are one. An empty table
-    gives no rows.
+    the input. Rows with one doc_id are one document, and rows without one that have equal texts: equal windows at the same place of it
+    are one. Texts may be of any length; an empty table gives no rows.
     """
     block = (window + 1) // 2
     if not 12 <= window <= 127:

@@ -1,10 +1,10 @@
 """Repeated byte strings: every byte that a string of 100 bytes covers which also starts earlier is removed.
 
-Induced sorting in external memory, bounded to the depth that the decision needs. As in induced suffix sorting, only sampled
-suffixes are sorted, and all others are induced from them: a window's sample is the leftmost smallest of the hashes of its
-KMER-byte strings, so equal windows have the same sample at the same offset, however they are placed. The sorted
-tuples live in Spark's external shuffle and sort, not in memory; the recursion (repeats.py) re-sorts only what a level leaves
-undecided, with longer common strings named each time. README.md says why not every suffix is sorted.
+This takes the place of external induced sorting, which can't meet the disk budget (README.md has the figures): no suffix array is made
+and no common-prefix values are kept. What is left of the idea is that few places are sorted and all others follow from them. Each window of
+100 bytes has a sample, the leftmost smallest of the hashes of its KMER-byte strings, so equal windows have the same sample at the same
+offset. One tuple stands for a run of neighbouring windows with one sample; tuples are grouped by Spark's external shuffle and sort, and
+only what a level leaves undecided is named anew with longer strings (repeats.py).
 """
 
 from __future__ import annotations
@@ -60,8 +60,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_kept: bool = True) -
     """doc_id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256; with_kept: the bytes that stay, too.
 
     Texts are UTF-8 bytes, a null is empty; windows never cross documents and are judged on the input. Earlier means a smaller doc_id,
-    or an earlier start in the same one; a null doc_id is below all others. Rows with one doc_id are one document for this order,
-    so repeated rows do not remove each other. An empty table gives no rows.
+    or an earlier start in the same one. Rows with one doc_id are one document for this order, so repeated rows do not remove each other;
+    rows with a null doc_id are documents of their own below all others, in a fixed order, equal texts among them one. Texts may be of
+    any length; an empty table gives no rows.
     """
     if not KMER + STEP < window < 160 + KMER:
         raise ValueError("windows of 41 to 191 bytes")

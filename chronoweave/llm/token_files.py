@@ -20,7 +20,6 @@ from .tokens import encoder, vocabulary
 
 #: How many bytes each of a control byte's four numbers takes.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BLOCK = "part int, chunk int, doc_ids binary, counts binary, control binary, data binary"
 
 
@@ -50,7 +49,8 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None, block_ids: int = 1 << 18) -> None:
     """Encode all documents into a token file at `path` (blocks) and `path`-ranks (the table of ids by rank).
 
-    A null or empty text is the end id alone; rows with equal doc_id stay documents of their own; null doc_ids come first.
+    A null or empty text is the end id alone; rows with equal doc_id stay documents of their own, ordered by a hash of the text; null doc_ids
+    come first. An empty table gives a file without blocks. A block ends once it has block_ids ids; a longer text is a block of its own.
     Only the counts of ids, as many as the vocabulary has, reach the driver.
     """
     vocab = vocab or vocabulary()
@@ -82,7 +82,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
         n = int(np.frombuffer(counts, "<u4").sum(dtype=np.int64))
         return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32)
 
-    ordered = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # rows with one doc_id, or none, may be very many: they are split and ordered by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     raw = stash(ordered.mapInArrow(tokenise, "part int, chunk int, doc_ids binary, counts binary, ids binary"), "ids")
 
     def count(batches):
@@ -115,7 +117,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """What the file holds, per document: doc_id, start, n_tokens, ids_crc32; the ids are decoded for it."""
+    """What the file holds, per document: doc_id, start, n_tokens, ids_crc32; the ids are decoded for it. A file without blocks gives no rows."""
     by_rank = np.frombuffer(spark.read.parquet(f"{path}-ranks").first()[0], "<u4")
     ids_of = spark.sparkContext.broadcast(by_rank)
 
@@ -146,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, end_id: int = 2, vocab: str | None = None) -> DataFrame:
-    """Write a token file into the shared folder and report on it from what is read back."""
+    """Write a token file into the shared folder and report on it from what is read back; nulls, ties and empty tables as in write()."""
     import uuid
 
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"

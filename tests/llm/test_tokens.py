@@ -14,9 +14,7 @@ from chronoweave.llm import packing, token_counts, token_files, tokens
 def whole():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary())
 
 
 @pytest.fixture(scope="module")
@@ -118,13 +116,41 @@ def best(lengths, size):
     return next(k for k in range(len(lengths) + 1) if fits(k))
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=9))
-def test_plan_is_close_to_the_best(lengths):
+def test_plan_is_close_to_the_best_and_what_it_fixes_is_optimal(lengths):
     counts = np.bincount(lengths, minlength=13)
     p = packing.plan(counts)
-    used = np.zeros(p.n_sequences, int)
+    used, rest = np.zeros(p.n_sequences, int), []
     for n, first, times, base, _ in zip(p.length, p.first, p.times, p.base, p.offset):
         used[base : base + times] += n
+        rest += [int(n)] * sum(k >= p.n_fixed for k in range(base, base + times))
     assert used.sum() == sum(lengths) and (used <= 12).all()
     assert best(lengths, 12) <= p.n_sequences <= best(lengths, 12) + 1
+    assert best(lengths, 12) == p.n_fixed + best(rest, 12)
+
+
+@pytest.mark.parametrize("group", [packing.GROUP, 3])
+def test_packing_of_repeated_rows_and_null_ids(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
+    docs = documents(spark, ["a b c"] * 20 + ["<|endoftext|> x"] * 3 + [None, ""], [7] * 10 + [None] * 10 + [1, 1, 2, 3, None])
+    got = packing.pack(docs, sequence=16).collect()
+    assert len(got) == 25
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for some in used.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(some)]).tolist()]
+        assert [o for o, _ in sorted(some)] == ends[:-1] and ends[-1] <= 16
+
+
+def test_files_and_counts_of_no_rows_null_ids_and_repeated_rows(spark, whole):
+    assert token_files.round_trip(documents(spark, [])).count() == 0
+    assert token_counts.section_token_counts(documents(spark, [])).count() == 0
+    docs = documents(spark, ["b c\r\nd", "a", "a", "<|endoftext|>", None], [4, None, 4, 2, None])
+    got = token_files.round_trip(docs).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 2, 4, 4]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert sorted(r.n_tokens for r in got) == sorted(len(x) for x in expected(whole, ["b c\r\nd", "a", "a", "<|endoftext|>", None], 2))
+    counts = token_counts.section_token_counts(docs).collect()
+    assert sorted((str(r.doc_id), r.section, r.n_tokens) for r in counts) == sorted([("None", 0, 1), ("None", 0, 0), ("2", 0, 1), ("4", 0, 4), ("4", 1, 1), ("4", 0, 1)])
