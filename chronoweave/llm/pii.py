@@ -1,17 +1,21 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
-Base spans (email, ip, card, phone by fixed patterns) are always reported. Further candidates are spans of looser shapes:
-written-out addresses ("a at b dot com"), phone numbers without a country code, and digit groups that fail the card checksum. Each
-candidate gets the votes of five labelers (shape, check digits or ranges, gazetteer, words before it, neighbours). What
-leaves a task for the fit is how often each combination of kind and votes occurs over the whole corpus: at most
-len(KINDS) * 2 * 3**5 rows. EM estimates from them how often each labeler is right, with base spans known to be true; a logistic
-regression is then trained on EM's beliefs and accepts a candidate at a fixed probability.
+Base spans (email, ip, card, phone by fixed patterns) are always reported. Further candidates are spans of looser shapes: written-out or
+broken-up addresses ("a at b dot com", "1[.]2[.]3[.]4"), addresses of version 6, phone numbers without a country code or with 00, and digit
+groups that fail the card checksum or have other separators. Each candidate, base or not, gets the votes of five labelers (shape, check
+digits or ranges, gazetteer, words before it, neighbours) and four traits of its own (how it is written and what stands around it).
+
+EM estimates for each kind how often each labeler is right, from the votes of all candidates; what the fixed patterns say is one
+vote among others, not the truth. A logistic regression is then trained on EM's beliefs, with kind, votes and traits, and accepts a candidate
+at a fixed probability. What leaves a task for the fit is how often each combination occurs over the whole corpus: at most
+len(KINDS) * 2 * 3**5 * 2**4 rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,64}(?:(?: ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]{1,64})+")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[(](?:at|AT|@)[\])] ?| (?:at|AT) )[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT|\.)[\])] ?| (?:dot|DOT) )[A-Za-z0-9-]++)+")
+_LOCAL_PHONE = re.compile(r"(?<![A-Za-z0-9_+.(=/#\"'-])(?:\+1[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_ABROAD = re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9])")
+_BROKEN_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![0-9A-Za-z:])")
+_OTHER_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])")
 
 #: Gazetteers and cue words (fixed lists).
-TOP_DOMAINS = frozenset("com org net edu gov io info de fr es eu uk".split())
-COUNTRY_CODES = ("1", "33", "34", "44", "49", "39", "31", "41", "43", "81", "86", "91")
+TOP_DOMAINS = frozenset("com org net edu gov mil int io info biz dev app ai co me tv xyz online site shop tech cloud name eu de fr es it pt nl be lu at ch li dk se no fi is ie uk pl cz sk hu ro bg gr hr si rs ua ru ee lv lt tr il in pk bd lk cn jp kr tw hk sg my th vn id ph au nz ca us mx br ar cl pe za ng ke eg ma ae sa".split())
+COUNTRY_CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 234 254 255 256 351 352 353 354 355 356 357 358 359 370 371 372 380 381 385 386 420 421 852 880 886 961 962 965 966 971 972 974".split())
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|62")
 CUES = {
     "email": re.compile(r"e-?mail|contact|write|correo|courriel|adresse|kontakt"),
@@ -42,7 +50,7 @@ CUES = {
     "card": re.compile(r"card|visa|mastercard|credit|karte|carte|tarjeta"),
     "phone": re.compile(r"phone|call|tel\b|tel\.|fax|mobile|telefon|teléfono|appel"),
 }
-CODE_CUES = re.compile(r"token|sha|hash|key|version|uuid|[=#/\"]\s*$")
+CODE_CUES = re.compile(r"(?:token|sha[0-9]*|hash|key|version|uuid|order|invoice|id)\W{0,3}$|[=#/\"]\s*$")
 
 
 def luhn(digits: str) -> bool:
@@ -88,32 +96,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Looser spans that touch no base span and no other candidate."""
+    """Looser spans that touch no base span and no candidate that begins before them; of several from one place a phone number, before a card."""
     found = []
-    if " at " in text or "at)" in text or "at]" in text:
+    if any(x in text for x in (" at ", " AT ", "at)", "at]", "AT)", "AT]", "@)", "@]")):
         found += [(m.start(), 0, m.end()) for m in _WRITTEN.finditer(text)]
+    if ":" in text:
+        found += [(m.start(), 1, m.end()) for m in _IP6.finditer(text) if m[0].count(":") > 2 and _DIGITS.search(m[0])]
     if _DIGITS.search(text):
-        found += [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
+        found += [(m.start(), 1, m.end()) for m in _BROKEN_IP.finditer(text) if all(_small(x) for x in re.findall("[0-9]+", m[0]))]
+        found += [(m.start(), 3, m.end()) for p in (_LOCAL_PHONE, _ABROAD) for m in p.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= sum(map(str.isdigit, m[0])) <= 19]
-    taken, out = sorted((s, e) for s, _, e in base), []
-    for s, k, e in sorted(found):
-        if all(e <= a or b <= s for a, b in taken):
-            out.append((s, k, e))
-            taken.append((s, e))
+        found += [(m.start(), 2, m.end()) for m in _OTHER_CARD.finditer(text)]
+    # both lists go by start; base spans of two kinds may overlap, so what they cover is told by the furthest end so far
+    out, k, reach, free = [], 0, 0, 0
+    for s, kind, e in sorted(found, key=lambda c: (c[0], -c[1])):
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][2])
+            k += 1
+        if s >= reach and s >= free:
+            out.append((s, kind, e))
+            free = e
     return out
 
 
-def votes(text: str, span: tuple[int, int, int], is_base: bool, base: list[tuple[int, int, int]]) -> tuple[int, ...]:
-    """Five votes, each 0 (no), 1 (abstains) or 2 (yes): shape, checks, gazetteer, context, neighbours."""
+def votes(text: str, span: tuple[int, int, int], is_base: bool, near: bool) -> tuple[int, ...]:
+    """Five votes, each 0 (no), 1 (abstains) or 2 (yes): shape, checks, gazetteer, context, neighbours. near: a base span is within 200 characters."""
     s, k, e = span
     own, before = text[s:e], text[max(0, s - 40) : s].lower()
     digits = "".join(c for c in own if c.isdigit())
-    shape = 2 if is_base or k in (0, 3) else 0
+    shape = 2 if is_base else 1 if k in (0, 1, 3) else 0
     check = 1
     if k == 2:
-        check = 2 if luhn(digits) else 0
+        check = 2 if 14 <= len(digits) <= 19 and luhn(digits) else 0
     elif k == 3:
-        check = 2 if own[0] == "+" or digits[0] in "23456789" else 0
+        # without a country code: neither area nor exchange begins with 0 or 1
+        check = 2 if own[0] == "+" or own.startswith("00") or digits[0] > "1" and digits[3] > "1" else 0
+    elif k == 1 and ":" in own:
+        check = 2 if own.count(":") == 7 or "::" in own else 0
     if k == 0:
         known = 2 if re.split(r"[.\s)\]]", own)[-1].lower() in TOP_DOMAINS else 0
     elif k == 1:
@@ -121,25 +140,70 @@ def votes(text: str, span: tuple[int, int, int], is_base: bool, base: list[tuple
     elif k == 2:
         known = 2 if ISSUERS.match(digits) else 0
     else:
-        known = (2 if digits.startswith(COUNTRY_CODES) else 0) if own[0] == "+" else 1
+        abroad = own[0] == "+" or own.startswith("00")
+        known = (2 if digits.removeprefix("00").startswith(COUNTRY_CODES) else 0) if abroad else 1
     context = 2 if CUES[KINDS[k]].search(before) else 0 if CODE_CUES.search(before) else 1
-    near = 2 if any((a, b) != (s, e) and abs(a - s) < 200 for a, _, b in base) else 1
-    return shape, check, known, context, near
+    return shape, check, known, context, 2 if near else 1
 
 
-def _code(kind: int, is_base: bool, v: tuple[int, ...]) -> int:
+def traits(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
+    """Four yes-or-no traits: has separators, follows a colon, touches a letter, digit or underline, stands at a line's end."""
+    s, _, e = span
+    before, after = text[max(0, s - 2) : s].strip(), text[e : e + 1]
+    touches = lambda c: c.isalnum() or c == "_"
+    return int(any(c in " .-/_" for c in text[s:e])), int(before.endswith((":", "="))), int(touches(text[s - 1 : s]) or touches(after)), int(after in ("", "\n"))
+
+
+def _code(kind: int, is_base: bool, v: tuple[int, ...], t: tuple[int, ...] = (0, 0, 0, 0)) -> int:
     n = kind * 2 + is_base
     for x in v:
         n = n * 3 + x
+    for x in t:
+        n = n * 2 + x
     return n
 
 
-def _decode(code: int) -> tuple[int, bool, list[int]]:
-    v = []
+def _decode(code: int) -> tuple[int, bool, list[int], list[int]]:
+    v, t = [], []
+    for _ in range(4):
+        code, x = divmod(code, 2)
+        t.append(x)
     for _ in range(5):
         code, x = divmod(code, 3)
         v.append(x)
-    return code // 2, bool(code % 2), v[::-1]
+    return code // 2, bool(code % 2), v[::-1], t[::-1]
+
+
+def _codes(text: str, spans: list[tuple[int, int, int]], is_base: bool, base: list[tuple[int, int, int]]) -> list[int]:
+    """The combinations of spans that go by start, as base does."""
+    starts = [s for s, _, _ in base]
+    out = []
+    for span in spans:
+        lo, hi = bisect_right(starts, span[0] - 200), bisect_left(starts, span[0] + 200)
+        out.append(_code(span[1], is_base, votes(text, span, is_base, hi - lo > is_base), traits(text, span)))
+    return out
+
+
+def em(kind: np.ndarray, v: np.ndarray, n: np.ndarray, steps: int = 60) -> np.ndarray:
+    """The belief that each combination is personal data: two classes, labelers that err independently, with rates of their own for each kind.
+
+    It starts at the majority of votes; rates are smoothed towards those of all kinds together, and these towards labelers that are rather right.
+    Where a labeler abstains it says nothing.
+    """
+    belief = 1 / (1 + np.exp(-(v - 1).sum(1)))
+    for _ in range(steps):
+        odds = np.zeros(len(n))
+        for y, sign in ((0, -1), (1, 1)):
+            weight = n * (belief if y else 1 - belief)
+            for j in range(v.shape[1]):
+                said = v[:, j] != 1
+                yes = v[said, j] == 2
+                pooled = np.array([8.0, 2.0] if y == 0 else [2.0, 8.0]) + np.bincount(yes, weight[said], 2)
+                own = np.bincount(kind[said] * 2 + yes, weight[said], 2 * len(KINDS)).reshape(-1, 2) + 20 * pooled / pooled.sum()
+                odds[said] += sign * np.log(own / own.sum(1, keepdims=True))[kind[said], yes.astype(int)]
+        share = (np.bincount(kind, n * belief, len(KINDS)) + 10) / (np.bincount(kind, n, len(KINDS)) + 20)
+        belief = 1 / (1 + np.exp(-np.clip(odds + np.log(share / (1 - share))[kind], -40, 40)))
+    return belief
 
 
 def fit(counts: dict[int, int]) -> dict[int, float]:
@@ -149,20 +213,10 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
         return {}
     n = np.array([counts[c] for c in codes], float)
     parts = [_decode(c) for c in codes]
-    kind, base, v = np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), np.array([p[2] for p in parts])
-    # EM for two classes and labelers that err independently of each other; belief starts at the majority of votes
-    belief = np.where(base, 1.0, 1 / (1 + np.exp(-(v - 1).sum(1))))
-    prior = np.array([[4.0, 3.0, 1.0], [1.0, 3.0, 4.0]]) * 5  # a labeler is rather right than wrong
-    for _ in range(50):
-        odds = np.zeros(len(codes))
-        for j in range(5):
-            rates = np.stack([prior[y] + np.bincount(v[:, j], n * (belief if y else 1 - belief), 3) for y in (0, 1)])
-            rates /= rates.sum(1, keepdims=True)
-            odds += np.log(rates[1, v[:, j]] / rates[0, v[:, j]])
-        share = ((n * belief)[~base].sum() + 1) / (n[~base].sum() + 4)
-        belief = np.where(base, 1.0, 1 / (1 + np.exp(-np.clip(odds + np.log(share / (1 - share)), -40, 40))))
-    # logistic regression on kind and votes, to EM's beliefs, each combination as often as it occurs
-    x = np.concatenate([np.eye(len(KINDS))[kind], *(np.eye(3)[v[:, j]] for j in range(5))], axis=1)
+    kind, v, t = np.array([p[0] for p in parts]), np.array([p[2] for p in parts]), np.array([p[3] for p in parts], float)
+    belief = em(kind, v, n)
+    # logistic regression on kind, votes and traits, to EM's beliefs, each combination as often as it occurs
+    x = np.concatenate([np.eye(len(KINDS))[kind], *(np.eye(3)[v[:, j]] for j in range(5)), t], axis=1)
     w, weight = np.zeros(x.shape[1]), n / n.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -180,7 +234,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: kind:start:end in code points, by start, then kind.
 
     The counts and the hash are of base spans; spans has the added ones too. Null and empty texts have no spans;
-    repeated rows are searched one by one; an empty table gives no rows.
+    repeated rows and rows with a null doc_id are searched one by one; texts may be of any length; an empty table gives no rows.
     """
 
     def search(batches):
@@ -193,8 +247,8 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
                     more = _candidates(text, base)
                     out["base"].append([x for s in base for x in s])
                     out["more"].append([x for s in more for x in s])
-                    out["codes"].append([_code(s[1], False, votes(text, s, False, base)) for s in more])
-                    out["base_codes"].append([_code(s[1], True, votes(text, s, True, base)) for s in base])
+                    out["codes"].append(_codes(text, more, False, base))
+                    out["base_codes"].append(_codes(text, base, True, base))
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_pydict({k: v if k == "doc_id" else pa.array(v, ints) for k, v in out.items()})
 

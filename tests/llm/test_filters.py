@@ -158,9 +158,44 @@ def test_personal_data(spark):
 
 
 def test_em_follows_the_labelers_that_agree():
-    yes, no = pii._code(3, False, (2, 2, 1, 2, 1)), pii._code(2, False, (0, 0, 0, 1, 1))
-    p = pii.fit({yes: 100, no: 300, pii._code(3, True, (2, 2, 2, 1, 1)): 200, pii._code(2, True, (2, 2, 2, 1, 1)): 100})
+    code = lambda kind, base, *v: pii._code(kind, base, v)
+    yes, no = code(3, False, 1, 2, 2, 2, 1), code(2, False, 0, 0, 0, 0, 1)
+    p = pii.fit({yes: 100, no: 300, code(3, True, 2, 2, 2, 1, 1): 200, code(2, True, 2, 2, 2, 1, 1): 100})
     assert p[yes] >= pii.ACCEPT and p[no] < 0.1
+    assert pii._decode(pii._code(3, True, (2, 0, 1, 2, 0), (1, 0, 1, 1))) == (3, True, [2, 0, 1, 2, 0], [1, 0, 1, 1])
+
+
+def test_recall_of_added_spans(spark):
+    import random
+
+    rng = random.Random(4)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    prose = lambda: " ".join(word() for _ in range(30))
+    planted = [
+        lambda: ("email", "contact ", f"{word()}.{word()} at {word()} dot com"), lambda: ("email", "write to ", f"{word()} [at] {word()} [dot] org"),
+        lambda: ("phone", "call ", f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{d(4)}"), lambda: ("phone", "tel. ", f"00{rng.choice(['44', '49', '33'])} {d(3)} {d(7)}"),
+        lambda: ("ip", "server ", f"{rng.randint(1, 126)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)}"), lambda: ("ip", "host ", ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8))),
+    ]
+    harmless = [lambda: f"order {d(16)}", lambda: f"at {rng.randint(10, 23)}:{rng.randint(10, 59)}:30", lambda: f"sha=\"{d(3)}-{d(3)}-{d(4)}", lambda: f"version {d(2)}.{d(2)}", lambda: "meet at home dot", lambda: "std::vector a::b"]
+    base = [lambda: f"mail {word()}@{word()}.com", lambda: f"+44 {d(4)} {d(6)}", lambda: f"ip {rng.randint(1, 126)}.1.2.3", lambda: "card 4111 1111 1111 1111"]
+    texts, wanted = [], set()
+    for i in range(600):
+        kind, cue, span = rng.choice(planted)()
+        text = prose() + " " + rng.choice(harmless)() + " and " + rng.choice(base)() + " " + prose() + " " + cue
+        wanted.add((i, kind, len(text), len(text) + len(span)))
+        texts.append(text + span + ", " + prose() + " " + rng.choice(harmless)())
+    added = set()
+    for r in pii.find(documents(spark, texts)).collect():
+        own = {(pii.KINDS[k], s, e) for s, k, e in pii.base_spans(texts[r.doc_id])}
+        added |= {(r.doc_id, k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(","))} - {(r.doc_id, *x) for x in own}
+    assert len(added & wanted) >= 0.9 * len(wanted)
+    assert len(added & wanted) >= 0.9 * len(added)
+
+
+def test_personal_data_of_null_ids_and_repeated_rows(spark):
+    got = pii.find(documents(spark, ["a@b.de", "a@b.de", "c@d.fr"], [None, 2, 2])).collect()
+    assert sorted((str(r.doc_id), r.n_email) for r in got) == [("2", 1), ("2", 1), ("None", 1)]
 
 
 ITEM = "If Anna buys 12 apples for 3 dollars each and then sells 5 of them to Bob who pays 4 dollars for every apple how much money does Anna have left after all"
