@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import EPS
+from .intervals import furthest
 
 FINDINGS = ("job_id", "check", "severity", "message", "value", "limit")
 
@@ -98,11 +99,18 @@ def overlay_collisions(overlays: DataFrame, captions_: DataFrame, frame_s: float
     outside = (F.col("x") < 0.06) | (F.col("x") > 0.94) | (F.col("y") < 0.06) | (F.col("y") > 0.94)
     c = captions_.select(F.col("job_id").alias("j"), F.floor(F.col("t_in") / frame_s).alias("c_in"), F.floor(F.col("t_out") / frame_s).alias("c_out"))
     low = frames.where((F.col("y") >= 0.78) & ~outside)
-    over = low.join(c, (F.col("job_id") == F.col("j")) & (F.col("frame") >= F.col("c_in")) & (F.col("frame") <= F.col("c_out")), "left_semi").select("job_id", "ix", "frame", F.lit("over_caption").alias("verdict"))
+    # a caption is on screen if one of those that begin by the frame ends at or after it
+    shown = furthest(low, F.col("frame"), c.select(F.col("j").alias("job_id"), "c_in", F.col("c_out").cast("double").alias("c_out")), "c_in", "c_out", True)
+    over = shown.where(F.col("reach") >= F.col("frame")).select("job_id", "ix", "frame", F.lit("over_caption").alias("verdict"))
     bad = frames.where(outside).select("job_id", "ix", "frame", F.lit("outside").alias("verdict")).unionByName(over)
     return bad.groupBy("job_id", "ix").agg(F.min_by("verdict", F.struct("frame", F.when(F.col("verdict") == "outside", 0).otherwise(1))).alias("verdict"), F.min("frame").alias("frame"))
 
 
+def verify(*findings: DataFrame) -> DataFrame:
+    """All checks' findings in one table. No check stops another; a job that all pass has no row."""
+    return reduce(DataFrame.unionByName, (f.select(*FINDINGS) for f in findings))
+
+
 def rollup(findings: DataFrame) -> DataFrame:
     """job_id, passed, n_fail, n_warn, n_info."""
     n = lambda s: F.count_if(F.col("severity") == s)

@@ -1,20 +1,58 @@
 """Interval algebra per job: merge, subtract, complement, coalesce, split, and projection onto the edited time axis.
 
-Every operator works within job_id, as equi-key of its joins and partition of its windows, so a plan never becomes a Cartesian product;
-a job is one recording, whose rows fit one task.
+Every operator works within job_id, as equi-key of its joins and partition of its windows. Interval joins have a second equi-key, a bucket
+of BUCKET seconds, so a job's rows meet only what is near them in time, and a hot job is spread over its buckets; whether a span overlaps any
+other is told by one window (a running maximum), without a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import EPS, contains, covers, holds, overlaps, tier_rank
 
 
+#: Seconds of an interval join's buckets: about as long as spans are, so that each is in a few buckets and each bucket has a few of them.
+BUCKET = 8.0
+
+
 def _order(*cols: str):
     return Window.partitionBy("job_id").orderBy(*cols)
 
 
+def _bucket(t: Column) -> Column:
+    return F.floor(t / BUCKET)
+
+
+def _buckets(t_in: Column, t_out: Column) -> Column:
+    """All buckets that an interval touches, widened by a little more than the predicates' tolerance. An interval that ends before it begins has those between."""
+    return F.sequence(_bucket(F.least(t_in, t_out) - 2 * EPS), _bucket(F.greatest(t_in, t_out) + 2 * EPS))
+
+
+def near_points(points: DataFrame, t: Column, spans: DataFrame, t_in: str, t_out: str, condition: Column, how: str = "inner") -> DataFrame:
+    """points join spans (with job in the column j) where the condition holds, which must say that t is within the span give or take EPS."""
+    left = points.withColumn("__bucket", _bucket(t))
+    right = spans.withColumn("__near", F.explode(_buckets(F.col(t_in), F.col(t_out))))
+    return left.join(right, (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & condition, how).drop("__bucket", "__near")
+
+
+def meeting(left: DataFrame, a_in: str, a_out: str, right: DataFrame, b_in: str, b_out: str) -> DataFrame:
+    """left join right (with job in the column j) where they overlap. A pair meets once, in the first bucket that both have."""
+    a = left.withColumn("__of_a", _buckets(F.col(a_in), F.col(a_out))).withColumn("__bucket", F.explode("__of_a"))
+    b = right.withColumn("__of_b", _buckets(F.col(b_in), F.col(b_out))).withColumn("__near", F.explode("__of_b"))
+    once = F.col("__bucket") == F.greatest(F.array_min("__of_a"), F.array_min("__of_b"))
+    hit = (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & once
+    return a.join(b, hit & overlaps(F.col(a_in), F.col(a_out), F.col(b_in), F.col(b_out))).drop("__bucket", "__near", "__of_a", "__of_b")
+
+
+def furthest(rows: DataFrame, at: Column, others: DataFrame, t_in: str, t_out: str, at_ties: bool) -> DataFrame:
+    """rows with `reach`: the latest t_out of the job's others that begin before `at` (at_ties: or there). One window, no join."""
+    q = rows.select("job_id", at.alias("__at"), F.lit(1).alias("__turn"), F.lit(None).cast("double").alias("__out"), F.struct(*rows.columns).alias("__row"))
+    o = others.select("job_id", F.col(t_in).alias("__at"), F.lit(0 if at_ties else 2).alias("__turn"), F.col(t_out).alias("__out"), F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
+    w = Window.partitionBy("job_id").orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return q.unionByName(o).withColumn("reach", F.max("__out").over(w)).where("__row IS NOT NULL").select("__row.*", "reach")
+
+
 def merge(spans: DataFrame) -> DataFrame:
     """job_id, t_in, t_out, kind: spans that touch become one, of the kind that comes first. Ties in t_in go by ord."""
     w = _order("t_in", "ord", "t_out")
@@ -28,7 +66,7 @@ def subtract(spans: DataFrame, cuts: DataFrame) -> DataFrame:
     """job_id, span_in, t_in, t_out: what is left of each span once the cuts are out; nothing shorter than EPS."""
     s = spans.select("job_id", F.col("t_in").alias("a"), F.col("t_out").alias("b"))
     c = cuts.select(F.col("job_id").alias("j"), F.col("t_in").alias("x"), F.col("t_out").alias("y"))
-    hit = s.join(c, (F.col("job_id") == F.col("j")) & overlaps(F.col("a"), F.col("b"), F.col("x"), F.col("y")))
+    hit = meeting(s, "a", "b", c, "x", "y")
     edges = hit.select("job_id", "a", "b", F.greatest("x", "a").alias("x"), F.least("y", "b").alias("y"))
     edges = edges.unionByName(s.select("job_id", "a", "b", F.col("b").alias("x"), F.col("b").alias("y")))
     before = F.max("y").over(Window.partitionBy("job_id", "a", "b").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1))
@@ -55,7 +93,7 @@ def coalesce(segments: DataFrame) -> DataFrame:
 def covering(points: DataFrame, proposals: DataFrame, default_tier: str = "essential", default_reason: str = "uncovered") -> DataFrame:
     """Each point (job_id, t, ...) with tier and reason of the proposal listed last (largest pos) that covers it."""
     p = proposals.select(F.col("job_id").alias("j"), F.col("t_in").alias("p_in"), F.col("t_out").alias("p_out"), "pos", F.col("tier").alias("p_tier"), F.col("reason").alias("p_reason"))
-    hit = points.join(p, (F.col("job_id") == F.col("j")) & covers(F.col("p_in"), F.col("p_out"), F.col("t")), "left")
+    hit = near_points(points, F.col("t"), p, "p_in", "p_out", covers(F.col("p_in"), F.col("p_out"), F.col("t")), "left")
     best = hit.groupBy(*points.columns).agg(F.max_by(F.struct("p_tier", "p_reason"), "pos").alias("best"))
     return best.select(*points.columns, F.coalesce("best.p_tier", F.lit(default_tier)).alias("tier"), F.coalesce("best.p_reason", F.lit(default_reason)).alias("reason"))
 
@@ -64,7 +102,7 @@ def reconcile(proposals: DataFrame, removals: DataFrame, durations: DataFrame) -
     """Segments of what removals leave: split at every proposal's edge, named by the covering proposal, joined again where equal."""
     gaps = complement(removals, durations).select("job_id", F.col("t_in").alias("a"), F.col("t_out").alias("b"))
     edges = proposals.select("job_id", F.explode(F.array("t_in", "t_out")).alias("e"))
-    inner = gaps.join(edges, "job_id").where("e > a AND e < b")
+    inner = near_points(edges, F.col("e"), gaps.withColumnRenamed("job_id", "j"), "a", "b", (F.col("e") > F.col("a")) & (F.col("e") < F.col("b"))).drop("j")
     cuts = inner.select("job_id", "a", "b", "e").unionByName(gaps.withColumn("e", F.col("a"))).unionByName(gaps.withColumn("e", F.col("b"))).distinct()
     parts = cuts.withColumn("next", F.lead("e").over(Window.partitionBy("job_id", "a", "b").orderBy("e"))).where(F.col("next") - F.col("e") > EPS)
     mids = parts.select("job_id", F.col("e").alias("t_in"), F.col("next").alias("t_out"), ((F.col("e") + F.col("next")) / 2).alias("t"))
@@ -118,7 +156,7 @@ def project_captions(blocks: DataFrame, words: DataFrame, spans: DataFrame, mini
     A block is cut by the spans it overlaps; a word goes where its middle is; pieces without words are dropped. With
     a minimum display time, shorter pieces are held up to the next one's start (which may also shorten them).
     """
-    pairs = blocks.join(_on(spans), (F.col("job_id") == F.col("j")) & overlaps(F.col("t_in"), F.col("t_out"), F.col("source_in"), F.col("source_out"))).drop("j")
+    pairs = meeting(blocks, "t_in", "t_out", _on(spans), "source_in", "source_out").drop("j")
     w = words.select("job_id", "block_ix", "word_ix", F.col("t_in").alias("w_in"), F.col("t_out").alias("w_out"), "text")
     mid = (F.col("w_in") + F.col("w_out")) / 2
     inside = pairs.join(w, ["job_id", "block_ix"]).where(contains(F.col("source_in"), F.col("source_out"), mid))
@@ -138,7 +176,7 @@ def project_captions(blocks: DataFrame, words: DataFrame, spans: DataFrame, mini
 def project_overlays(overlays: DataFrame, spans: DataFrame, least: float = 0.15) -> DataFrame:
     """Overlays in output time: job_id, ix, template, t_in, t_out. Pieces shorter than `least` go; null times span the whole output."""
     timed = overlays.where("t_in IS NOT NULL AND t_out IS NOT NULL")
-    pairs = timed.join(_on(spans), (F.col("job_id") == F.col("j")) & overlaps(F.col("t_in"), F.col("t_out"), F.col("source_in"), F.col("source_out")))
+    pairs = meeting(timed, "t_in", "t_out", _on(spans), "source_in", "source_out")
     lo, hi = F.greatest("t_in", "source_in"), F.least("t_out", "source_out")
     pieces = pairs.where(hi - lo >= least).select("job_id", "ix", "template", _to_output(lo).alias("t_in"), _to_output(hi).alias("t_out"))
     whole = overlays.where("t_in IS NULL OR t_out IS NULL").join(spans.groupBy("job_id").agg(F.sum(F.col("source_out") - F.col("source_in")).alias("end")), "job_id")
@@ -152,21 +190,21 @@ def dropped_overlays(overlays: DataFrame, spans: DataFrame, least: float = 0.15)
 
 def project_regions(regions: DataFrame, spans: DataFrame, ease: float = 0.35) -> DataFrame:
     """Zoom regions in output time; only pieces longer than the ease stay."""
-    pairs = regions.join(_on(spans), (F.col("job_id") == F.col("j")) & overlaps(F.col("t_in"), F.col("t_out"), F.col("source_in"), F.col("source_out")))
+    pairs = meeting(regions, "t_in", "t_out", _on(spans), "source_in", "source_out")
     lo, hi = F.greatest("t_in", "source_in"), F.least("t_out", "source_out")
     return pairs.where(hi - lo > ease).select("job_id", "region_ix", "span_ix", _to_output(lo).alias("t_in"), _to_output(hi).alias("t_out"))
 
 
 def output_at(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points(job_id, t) -> output_t by the first span that holds t, null where it is cut."""
-    hit = points.join(_on(spans), (F.col("job_id") == F.col("j")) & holds(F.col("source_in"), F.col("source_out"), F.col("t")), "left")
+    hit = near_points(points, F.col("t"), _on(spans), "source_in", "source_out", holds(F.col("source_in"), F.col("source_out"), F.col("t")), "left")
     return hit.groupBy("job_id", "t").agg(F.min_by(_to_output(F.col("t")), "source_in").alias("output_t"))
 
 
 def source_at(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points(job_id, t) in output time -> source_t; past the end it is the last span's end, without spans 0."""
-    out_end = F.col("output_in") + (F.col("source_out") - F.col("source_in"))
-    hit = points.join(_on(spans), (F.col("job_id") == F.col("j")) & contains(F.col("output_in"), out_end, F.col("t")), "left")
+    there = _on(spans).withColumn("out_end", F.col("output_in") + (F.col("source_out") - F.col("source_in")))
+    hit = near_points(points, F.col("t"), there, "output_in", "out_end", contains(F.col("output_in"), F.col("out_end"), F.col("t")), "left")
     mapped = hit.groupBy("job_id", "t").agg(F.min_by(F.col("source_in") + (F.col("t") - F.col("output_in")), "source_in").alias("m"))
     ends = spans.groupBy("job_id").agg(F.max("source_out").alias("end"))
     return mapped.join(ends, "job_id", "left").select("job_id", "t", F.coalesce("m", "end", F.lit(0.0)).alias("source_t"))
@@ -175,32 +213,33 @@ def source_at(points: DataFrame, spans: DataFrame) -> DataFrame:
 def expected_words(words: DataFrame, spans: DataFrame) -> DataFrame:
     """Words whose middle a span holds, clamped to it and mapped to output time."""
     mid = (F.col("t_in") + F.col("t_out")) / 2
-    hit = words.join(_on(spans), (F.col("job_id") == F.col("j")) & holds(F.col("source_in"), F.col("source_out"), mid))
+    hit = near_points(words, mid, _on(spans), "source_in", "source_out", holds(F.col("source_in"), F.col("source_out"), mid))
     first = hit.groupBy("job_id", "ix", "t_in", "t_out", "text").agg(F.min_by(F.struct("source_in", "source_out", "output_in"), "source_in").alias("s")).select("*", "s.*")
     return first.select("job_id", "ix", _to_output(F.greatest("t_in", "source_in")).alias("t_in"), _to_output(F.least("t_out", "source_out")).alias("t_out"), "text")
 
 
 def words_after_edit(words: DataFrame, removals: DataFrame, segments: DataFrame) -> DataFrame:
     """Words whose middle lies in no removal and in a selected segment (half open, unlike expected_words)."""
-    w = words.withColumn("mid", (F.col("t_in") + F.col("t_out")) / 2)
-    r = removals.select(F.col("job_id").alias("rj"), F.col("t_in").alias("r_in"), F.col("t_out").alias("r_out"))
-    s = segments.select(F.col("job_id").alias("sj"), F.col("t_in").alias("s_in"), F.col("t_out").alias("s_out"))
-    kept = w.join(r, (F.col("job_id") == F.col("rj")) & contains(F.col("r_in"), F.col("r_out"), F.col("mid")), "left_anti")
-    return kept.join(s, (F.col("job_id") == F.col("sj")) & contains(F.col("s_in"), F.col("s_out"), F.col("mid")), "left_semi").drop("mid")
+    mid = (F.col("t_in") + F.col("t_out")) / 2
+    inside = F.coalesce(F.col("reach") - EPS > mid, F.lit(False))  # some interval began at or before the middle and ends after it
+    kept = furthest(words, mid + EPS, removals, "t_in", "t_out", True).where(~inside).drop("reach")
+    return furthest(kept, mid + EPS, segments, "t_in", "t_out", True).where(inside).drop("reach")
 
 
 def mid_word_cuts(removals: DataFrame, words: DataFrame) -> DataFrame:
     """job_id, n, first_edge: removal edges strictly inside a word."""
     edges = removals.select("job_id", F.col("t_in").alias("r_in"), F.posexplode(F.array("t_in", "t_out")).alias("side", "edge"))
     w = words.select(F.col("job_id").alias("j"), F.col("t_in").alias("w_in"), F.col("t_out").alias("w_out"))
-    hit = edges.join(w, (F.col("job_id") == F.col("j")) & (F.col("w_in") + EPS < F.col("edge")) & (F.col("edge") < F.col("w_out") - EPS))
+    hit = near_points(edges, F.col("edge"), w, "w_in", "w_out", (F.col("w_in") + EPS < F.col("edge")) & (F.col("edge") < F.col("w_out") - EPS))
     return hit.groupBy("job_id").agg(F.count("*").alias("n"), F.min_by("edge", F.struct("r_in", "w_in", "side")).alias("first_edge"))
 
 
 def overlapping(spans: DataFrame, others: DataFrame, how: str = "left_semi") -> DataFrame:
     """Spans that overlap (left_anti: that overlap none) of the others."""
-    o = others.select(F.col("job_id").alias("j"), F.col("t_in").alias("o_in"), F.col("t_out").alias("o_out"))
-    return spans.join(o, (F.col("job_id") == F.col("j")) & overlaps(F.col("t_in"), F.col("t_out"), F.col("o_in"), F.col("o_out")), how)
+    # of those that begin before the span ends, does one end after it begins?
+    far = furthest(spans, F.col("t_out") - EPS, others, "t_in", "t_out", False)
+    hit = F.coalesce(F.col("t_in") < F.col("reach") - EPS, F.lit(False))
+    return far.where(hit if how == "left_semi" else ~hit).drop("reach")
 
 
 def override_rate(removals: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField
 
 from ..functions.time import EPS, approx_eq, tier_rank
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names; a temporary one only where none is named on a local master."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def _tier_name(rank: Column) -> Column:
     return F.when(rank == 0, "optional").when(rank == 1, "supporting").when(rank == 2, "essential")
 
@@ -74,6 +88,18 @@ def drift(approved: DataFrame, proposed: DataFrame) -> DataFrame:
     return j.where(~same)
 
 
+#: Bookkeeping that a replay never repeats (fixed list).
+NOT_REPLAYED = ("created_at", "job_id")
+
+
+def deterministic_drift(approved: DataFrame, proposed: DataFrame, fields: list[tuple[str, StructField]]) -> DataFrame:
+    """drift() of what a replay must repeat, with the stage that sets it: fields are a schema's leaves (schemas.leaves), of which those of
+    deterministic origin count, without bookkeeping. A path's [i] stands for any element; paths that the schema hasn't are left out."""
+    stages = {p: f.metadata["stage"] for p, f in fields if f is not None and f.metadata.get("origin") == "deterministic" and p not in NOT_REPLAYED}
+    found = drift(approved, proposed).withColumn("stage", F.create_map(*(F.lit(x) for kv in stages.items() for x in kv))[F.regexp_replace("path", r"\[[0-9]+\]", "[]")])
+    return found.where("stage IS NOT NULL").select("job_id", "path", "stage", "before", "after")
+
+
 def boundary_drift(approved: DataFrame, proposed: DataFrame, durations: DataFrame) -> DataFrame:
     """job_id, cut, drift: the distance from each approved cut to the nearest proposed one; the duration where there is none.
 
@@ -138,10 +164,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_oldest: str) -> DataFr
 
 
 def tree_sum(processes: DataFrame) -> DataFrame:
-    """root, total of (pid, parent, rss): a process and all below it. Recursion runs level by level in one query; cycles end at the depth limit."""
-    processes.createOrReplaceTempView("__processes")
-    return processes.sparkSession.sql("""WITH RECURSIVE below(root, pid, depth) AS (SELECT pid, pid, 0 FROM __processes UNION ALL SELECT b.root, p.pid, b.depth + 1 FROM below b JOIN __processes p ON p.parent = b.pid AND p.pid <> b.pid WHERE b.depth < 40)
-      SELECT root, sum(rss) AS total FROM (SELECT DISTINCT root, pid FROM below) JOIN __processes USING (pid) GROUP BY root""")
+    """root, total of (pid, parent, rss): a process and all below it, at any depth; in a cycle each process counts once.
+
+    Who is below whom is found by doubling: each round joins the pairs found so far with themselves, so a tree of depth n takes log2(n)
+    rounds, each cut off by a checkpoint. There are as many pairs as processes have ancestors. Pids are unique; a null parent is none.
+    """
+    p = checkpointed(processes.select("pid", "parent", "rss"))
+    known = checkpointed(p.where("parent <> pid").join(p.select(F.col("pid").alias("parent")), "parent").select(F.col("parent").alias("root"), "pid").distinct())
+    n = -1
+    while n != (now := known.count()):
+        n = now
+        further = known.alias("a").join(known.alias("b"), F.col("a.pid") == F.col("b.root")).where("a.root <> b.pid").select("a.root", "b.pid")
+        known = checkpointed(known.union(further).distinct())
+    below = known.union(p.select(F.col("pid").alias("root"), "pid"))
+    return below.join(p.select("pid", "rss"), "pid").groupBy("root").agg(F.sum("rss").alias("total"))
 
 
 def burst_and_sustained(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import EPS, trapezoid
+from .intervals import near_points
 
 
 def _brackets(queries: DataFrame, track: DataFrame, inclusive: bool) -> DataFrame:
@@ -125,7 +126,8 @@ def separate(regions: DataFrame, ease: float) -> DataFrame:
 def envelope(times: DataFrame, regions: DataFrame, zoom: float, ease: float) -> DataFrame:
     """job_id, t, zoom, cx, cy: regions blended at each time by their trapezoids; without any, the whole frame."""
     r = regions.select(F.col("job_id").alias("j"), F.col("t_in").alias("r_in"), F.col("t_out").alias("r_out"), "cx", "cy")
-    near = times.join(r, (F.col("job_id") == F.col("j")) & (F.col("t") >= F.col("r_in") - ease) & (F.col("t") <= F.col("r_out") + ease), "left")
+    wide = r.withColumn("lo", F.col("r_in") - ease).withColumn("hi", F.col("r_out") + ease)
+    near = near_points(times, F.col("t"), wide, "lo", "hi", F.col("t").between(F.col("lo"), F.col("hi")), "left")
     w = F.coalesce(trapezoid(F.col("t"), F.col("r_in"), F.col("r_out"), ease), F.lit(0.0))
     w = F.when(F.col("j").isNull(), 0.0).otherwise(w)
     per = near.withColumn("w", w).groupBy("job_id", "t").agg(F.sum("w").alias("w"), F.sum(F.coalesce("cx", F.lit(0.0)) * F.col("w")).alias("x"), F.sum(F.coalesce("cy", F.lit(0.0)) * F.col("w")).alias("y"))

@@ -12,12 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import bare
+from ..functions.text import FILLERS, bare, edge_normalized, plain_tokens
 from ..functions.time import EPS
 from . import intervals
 
 
-def filler_spans(words: DataFrame, fillers: list[str]) -> DataFrame:
+def filler_spans(words: DataFrame, fillers: list[str] | tuple[str, ...] = FILLERS) -> DataFrame:
     return words.where(bare(F.col("text")).isin(*fillers)).select("job_id", "t_in", "t_out", F.lit("filler").alias("kind"), F.lit(1).alias("ord"))
 
 
@@ -40,18 +40,24 @@ def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: in
     ends = F.col("text").rlike("[.!?…]['\")\\]]*$") | (gap >= pause)
     rows = words.withColumn("ends", F.when(gap.isNull(), False).otherwise(ends))
     per = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", F.length("text").alias("n"), "ends"))).alias("ws"))
-    zero = F.expr("named_struct('block', 0, 'size', 0, 'count', 0, 'out', CAST(array() AS ARRAY<INT>))")
 
-    def step(s, x):
-        over = (s["count"] > 0) & (s["size"] + x["n"] + 1 > limit)
-        count = F.when(over, 1).otherwise(s["count"] + 1)
-        size = F.when(over | (s["count"] == 0), x["n"]).otherwise(s["size"] + 1 + x["n"])
-        block = F.when(over, s["block"] + 1).otherwise(s["block"])
-        stop = ~over & (count >= min_words) & x["ends"]
-        return F.struct(F.when(stop, block + 1).otherwise(block).alias("block"), F.when(stop, 0).otherwise(size).alias("size"), F.when(stop, 0).otherwise(count).alias("count"), F.concat(s["out"], F.array(block)).alias("out"))
-
-    blocks = per.select("job_id", "ws", F.aggregate("ws", zero, step, lambda s: s["out"]).alias("b"))
-    return blocks.select("job_id", F.explode(F.arrays_zip(F.col("ws.ix").alias("ix"), F.col("b").alias("block"))).alias("z")).select("job_id", "z.ix", "z.block").join(words, ["job_id", "ix"])
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for job, ws in zip(pdf["job_id"], pdf["ws"]):
+                block = size = count = 0
+                for x in ws:
+                    if count and size + x["n"] + 1 > limit:
+                        block, size, count, stop = block + 1, x["n"], 1, False
+                    else:
+                        size, count = size + 1 + x["n"] if count else x["n"], count + 1
+                        stop = count >= min_words and x["ends"]
+                    out.append((job, x["ix"], block))
+                    if stop:
+                        block, size, count = block + 1, 0, 0
+            yield pd.DataFrame(out, columns=["job_id", "ix", "block"])
+
+    return per.mapInPandas(run, f"job_id {per.schema['job_id'].dataType.simpleString()}, ix {words.schema['ix'].dataType.simpleString()}, block int").join(words, ["job_id", "ix"])
 
 
 def active_windows(blocks: DataFrame, words: DataFrame) -> DataFrame:
@@ -68,9 +74,6 @@ def active_windows(blocks: DataFrame, words: DataFrame) -> DataFrame:
     return out.where(clock(F.col("t_in")) != clock(F.col("t_out")))
 
 
-_EDGE = re.compile(r"^\W+|\W+$")
-
-
 def _steps(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """An optimal alignment as pairs of places, -1 for none; pairs before omissions before insertions, seen from the end."""
     n, m = len(left), len(right)
@@ -101,7 +104,7 @@ DIFFERENCES = "job_id long, step int, kind string, expected string, actual strin
 
 
 def _arrays(words: DataFrame, name: str) -> DataFrame:
-    return words.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "t_in", "t_out", "text"))).alias(name))
+    return words.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "t_in", "t_out", "text", edge_normalized(F.col("text")).alias("key")))).alias(name))
 
 
 def word_diff(expected: DataFrame, heard: DataFrame) -> DataFrame:
@@ -112,8 +115,7 @@ def word_diff(expected: DataFrame, heard: DataFrame) -> DataFrame:
             rows = []
             for job, left, right in zip(pdf["job_id"], pdf["e"], pdf["h"]):
                 left, right = list(left if left is not None else []), list(right if right is not None else [])
-                norm = lambda ws: [_EDGE.sub("", w["text"]).casefold() for w in ws]
-                a, b = norm(left), norm(right)
+                a, b = [w["key"] for w in left], [w["key"] for w in right]
                 for k, (i, j) in enumerate(_steps(a, b)):
                     if i >= 0 and j >= 0 and a[i] == b[j]:
                         continue
@@ -135,6 +137,21 @@ def word_error_rate(expected: DataFrame, heard: DataFrame, cuts: DataFrame, seam
     return j.select("job_id", "expected_words", real.alias("n_real"), F.coalesce("n_at_seam", F.lit(0)).alias("n_at_seam"), (real / F.col("expected_words")).alias("wer"))
 
 
+def plain_error_rate(pairs: DataFrame) -> DataFrame:
+    """job_id, wer of (job_id, expected, heard) texts: edits of plain tokens by the number expected, to 4 places; 0 where nothing is expected.
+
+    Each different word of a pair becomes one character, so that Spark's edit distance of strings is that of words.
+    """
+    t = pairs.select("job_id", F.coalesce(plain_tokens(F.col("expected")), F.array()).alias("e"), F.coalesce(plain_tokens(F.col("heard")), F.array()).alias("h"))
+    t = t.withColumn("all", F.array_union("e", "h"))
+    # numbers from 1 on, past the surrogates, as UTF-16: two units where one is not enough
+    code = lambda x: F.array_position("all", x) + F.when(F.array_position("all", x) >= 0xD800, 0x800).otherwise(0)
+    sign = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")
+    text = lambda c: F.array_join(F.transform(c, sign), "")
+    rate = F.levenshtein(text(F.col("e")), text(F.col("h"))) / F.size("e")
+    return t.select("job_id", F.when(F.size("e") == 0, 0.0).otherwise(F.round(rate, 4)).alias("wer"))
+
+
 ALIGNED = "job_id long, ix int, text string, t_in double, t_out double, anchored boolean"
 _KEY = re.compile(r"[^\w']+")
 

@@ -254,11 +254,17 @@ def edit_totality_findings(spark, d):
     return _rounded(checks.edit_totality(covered, ad.durations(spark, d)), "value")
 
 
-_CAP = """WITH c AS (SELECT conv_id * 100 AS job_id, turn * 2.0::DOUBLE AS t_in, turn * 2.0::DOUBLE + CASE WHEN turn % 5 = 4 THEN 2.5 WHEN turn % 3 = 0 THEN 0.5 ELSE 2.0 END AS t_out, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60) AS text FROM conversations),
-x AS (SELECT *, coalesce(lead(t_in) OVER (PARTITION BY job_id ORDER BY t_in) < t_out - 1e-6, false) AS lap, list_max([length(w) for w in string_split(text, ' ')]) AS longest FROM c),
-per AS (SELECT job_id, count(*) FILTER (lap) AS laps, min(t_out - t_in) AS briefest FROM x GROUP BY job_id)
+_CAP = """WITH RECURSIVE c AS (SELECT conv_id * 100 AS job_id, turn, turn * 2.0::DOUBLE AS t_in, turn * 2.0::DOUBLE + CASE WHEN turn % 5 = 4 THEN 2.5 WHEN turn % 3 = 0 THEN 0.5 ELSE 2.0 END AS t_out, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM conversations),
+x AS (SELECT *, coalesce(lead(t_in) OVER (PARTITION BY job_id ORDER BY t_in) < t_out - 1e-6, false) AS lap FROM c),
+per AS (SELECT job_id, count(*) FILTER (lap) AS laps, min(t_out - t_in) AS briefest FROM x GROUP BY job_id),
+rows_ AS (SELECT job_id, turn, i, length(w[i]) AS n FROM (SELECT job_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM c)),
+state AS (SELECT job_id, turn, i, 1 AS line, n AS size FROM rows_ WHERE i = 1
+  UNION ALL SELECT r.job_id, r.turn, r.i, CASE WHEN s.size + 1 + r.n <= 200 THEN s.line ELSE s.line + 1 END, CASE WHEN s.size + 1 + r.n <= 200 THEN s.size + 1 + r.n ELSE r.n END FROM state s JOIN rows_ r ON r.job_id = s.job_id AND r.turn = s.turn AND r.i = s.i + 1),
+lines AS (SELECT job_id, max(line) AS n_lines, max(size) AS longest FROM state GROUP BY job_id)
 SELECT job_id, 'caption_overlap' AS "check", 'FAIL' AS severity, 'captions overlap' AS message, laps::DOUBLE AS value, 0.0::DOUBLE AS "limit" FROM per WHERE laps > 0
-UNION ALL SELECT job_id, 'caption_display', 'WARN', 'too brief', briefest, 0.8 FROM per WHERE briefest < 0.8 - 1e-6"""
+UNION ALL SELECT job_id, 'caption_display', 'WARN', 'too brief', briefest, 0.8 FROM per WHERE briefest < 0.8 - 1e-6
+UNION ALL SELECT job_id, 'caption_line_length', 'FAIL', 'line too long', longest, 200.0 FROM lines WHERE longest > 200
+UNION ALL SELECT job_id, 'caption_line_count', 'FAIL', 'too many lines', n_lines, 9.0 FROM lines WHERE n_lines > 9"""
 
 
 @_q(_CAP)
@@ -293,3 +299,34 @@ def violation_rate(spark, d):
 def range_violations(spark, d):
     e = ad.read(spark, d, "events")
     return checks.range_violations(e, {"value_low": F.col("value") >= 5, "value_high": F.col("value") <= 200, "type": F.col("event_type").isin("click", "view", "error")}).select(F.col("event_id").alias("id"), "violations")
+
+
+_ALL = """SELECT job_id, "check", severity, message, round(value, 6) AS value, "limit" FROM (%s)""" % " UNION ALL ".join(f"SELECT * FROM ({S[n]})" for n in ("loudness_findings", "duration_findings", "edit_totality_findings", "budget_findings", "dialogue_findings"))
+
+
+@_q(_ALL)
+def all_findings(spark, d):
+    parts = [f(spark, d).withColumn("value", F.col("value").cast("double")) for f in (loudness_findings, duration_findings, edit_totality_findings, budget_findings, dialogue_findings)]
+    return _rounded(checks.verify(*parts), "value")
+
+
+def _leaves(spark, d, changed):
+    """A document with three segments for each order, flattened. changed: as a replay would leave it."""
+    o = ad.read(spark, d, "orders")
+    n, k = F.col("i").cast("string"), F.col("o_orderkey") % 5 == 0
+    at = lambda name, v: F.struct(F.concat(F.lit("segments["), n, F.lit("]." + name)).alias("path"), v.cast("string").alias("value"))
+    start = F.col("o_totalprice") + F.col("i") + (F.when(k & (F.col("i") == 1), 1.0).otherwise(0.0) if changed else 0.0)
+    tier = F.when(k, "essential").otherwise(F.col("o_orderstatus")) if changed else F.col("o_orderstatus")
+    lines = o.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.col("o_orderkey").alias("job_id"), F.explode(F.array(at("t_in", start), at("tier", tier), at("note", tier))).alias("x")).select("job_id", "x.path", "x.value")
+    head = F.array(*(F.struct(F.lit(p).alias("path"), v.cast("string").alias("value")) for p, v in (("created_at", F.lit("b" if changed else "a")), ("source.duration", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1.0 if changed else 0.0).otherwise(0.0)))))
+    return lines.unionByName(o.select(F.col("o_orderkey").alias("job_id"), F.explode(head).alias("x")).select("job_id", "x.path", "x.value"))
+
+
+@_q("""SELECT o_orderkey AS job_id, 'segments[1].t_in' AS path, 'trim' AS stage, round(o_totalprice + 1, 6) AS before, round(o_totalprice + 2, 6) AS after FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'source.duration', 'ingest', round(o_totalprice, 6), round(o_totalprice + 1, 6) FROM orders WHERE o_orderkey % 7 = 0""")
+def deterministic_drift(spark, d):
+    from ..sources import schemas as sc
+
+    document = sc.struct(sc.field("job_id", sc.S), sc.field("created_at", sc.S), sc.field("source", sc.SOURCE), sc.field("segments", sc.ArrayType(sc.struct(sc.field("t_in", sc.D, "trim"), sc.field("tier", sc.S, "edit", "model")))))
+    found = rv.deterministic_drift(_leaves(spark, d, False), _leaves(spark, d, True), sc.leaves(document))
+    return _rounded(found.withColumn("before", F.col("before").cast("double")).withColumn("after", F.col("after").cast("double")), "before", "after")

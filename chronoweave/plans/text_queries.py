@@ -169,10 +169,16 @@ def truncated_report(spark, d):
     return c.select("job_id", tx.first_and_more(F.col("w"), 20).alias("report"))
 
 
+def _plain_pairs(spark, d):
+    both = _said(spark, d).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "text"))).alias("e"))
+    heard = _heard(spark, d).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "text"))).alias("h"))
+    line = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), " ")
+    return both.join(heard, "job_id", "left").select("job_id", line("e").alias("expected"), line("h").alias("heard"))
+
+
 @_q(None)
 def plain_wer(spark, d):
-    none = spark.createDataFrame([], "job_id long, cut double")
-    return ts.word_error_rate(_said(spark, d), _heard(spark, d), none).select("job_id", F.round("wer", 4).alias("wer"))
+    return ts.plain_error_rate(_plain_pairs(spark, d))
 
 
 @_q(None)

@@ -71,6 +71,40 @@ def test_alignment_is_optimal_and_in_order(a, b):
     assert sum(i < 0 or j < 0 or a[i] != b[j] for i, j in steps) == distance(a, b)
 
 
+def plain_wer(reference, hypothesis):
+    import re
+
+    a, b = (re.sub(r"[^a-z0-9\s]", " ", x.lower()).split() for x in (reference, hypothesis))
+    return round(distance(a, b) / len(a), 4) if a else 0.0
+
+
+def test_plain_error_rate(spark):
+    many = " ".join(f"w{i}" for i in range(300))
+    pairs = [("Don't stop, now!", "dont stop now"), ("", "some words"), ("a b c", None), ("é ß x", "x"), (many, many.replace("w7 ", "x ").replace("w250", "")), ("same words", "same words")]
+    df = spark.createDataFrame([(i, e, h) for i, (e, h) in enumerate(pairs)], "job_id long, expected string, heard string")
+    assert {r.job_id: r.wer for r in transcripts.plain_error_rate(df).collect()} == {i: plain_wer(e, h or "") for i, (e, h) in enumerate(pairs)}
+
+
+def test_tree_sum_at_any_depth_and_in_cycles(spark):
+    chain = [(i, i - 1 if i else None, 1) for i in range(60)]
+    cycle = [(100, 102, 5), (101, 100, 7), (102, 101, 9), (103, 102, 1), (104, 104, 2)]
+    got = {r.root: r.total for r in review.tree_sum(spark.createDataFrame(chain + cycle, "pid long, parent long, rss long")).collect()}
+    assert got == {i: 60 - i for i in range(60)} | {100: 22, 101: 22, 102: 22, 103: 1, 104: 2}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 60)), max_size=12), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 60)), max_size=12))
+def test_interval_joins_in_buckets_find_what_a_plain_join_finds(spark, a, b):
+    cols = "job_id long, t_in double, t_out double, kind string, ord int"
+    left, right = (spark.createDataFrame([(i % 2, t / 3, (t + n) / 3, "k", i) for i, (t, n) in enumerate(x)], cols) for x in (a, b))
+    rows = lambda x: [(i % 2, t / 3, (t + n) / 3, i) for i, (t, n) in enumerate(x)]
+    meets = lambda x, y: x[0] == y[0] and x[1] < y[2] - 1e-6 and y[1] < x[2] - 1e-6
+    other = right.selectExpr("job_id j", "t_in o_in", "t_out o_out", "ord o")
+    assert sorted((r.ord, r.o) for r in intervals.meeting(left, "t_in", "t_out", other, "o_in", "o_out").collect()) == sorted((x[3], y[3]) for x in rows(a) for y in rows(b) if meets(x, y))
+    assert sorted(r.ord for r in intervals.overlapping(left, right).collect()) == sorted(x[3] for x in rows(a) if any(meets(x, y) for y in rows(b)))
+    assert sorted(r.ord for r in intervals.overlapping(left, right, "left_anti").collect()) == sorted(x[3] for x in rows(a) if not any(meets(x, y) for y in rows(b)))
+
+
 def test_word_diff_and_rate(spark):
     cols = "job_id long, ix int, t_in double, t_out double, text string"
     e = spark.createDataFrame([(1, i, i * 0.4, i * 0.4 + 0.3, t) for i, t in enumerate("One, two three four".split())], cols)
