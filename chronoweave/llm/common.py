@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -84,20 +85,30 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Ids of documents without one are below this; other doc_ids must not be.
+#: Ids of documents without one are below this (or, where they come last, from -NO_ID on); other doc_ids must lie between.
 NO_ID = -(2**62)
 
 
-def own_id() -> Column:
-    """doc_id, or for a null one a number below all others by the text: rows without an id are documents of their own, equal texts one."""
-    by_text = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(2**62 - 1)) - F.lit(2**62) - F.lit(2**62)
+def own_id(last: bool = False) -> Column:
+    """doc_id, or for a null one a number below (last: above) all others by the text: rows without an id are documents of their own, equal texts one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    by_text = F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)) + (F.lit(2**62) if last else F.lit(-(2**63)))
     return F.coalesce(F.col("doc_id").cast("long"), by_text)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id is (left_anti: is not) among ids, null equal to null; columns as they are."""
+def keep_firsts(docs: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents that are first in their component, with their columns as they are. components(doc_id, text) gives doc_id, component_id.
+    Rows with one doc_id are one document; rows without one come after all others."""
+    keyed = docs.withColumn("__own", own_id(last=True))
+    groups = components(keyed.select(F.col("__own").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    return keyed.join(firsts, F.col("__own") == F.col("__first"), "left_semi").select(*docs.columns)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, null equal to null; columns as they are."""
     ids = ids.select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), how).select(*docs.columns)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi").select(*docs.columns)
 
 
 def slices(batch: pa.RecordBatch, limit: int = 2 << 20, column: str = "text"):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, keep_ids, slices, stash, texts
+from .common import Scratch, keep_firsts, slices, stash, texts
 from .components import components
 
 #: A cell with more fingerprints than this is dealt out in blocks, each two of which meet in one group.
@@ -144,6 +144,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The documents less all but the first (smallest doc_id) of each group; the columns stay as they are. Rows with one doc_id are one document."""
-    groups = near_duplicates(docs, shingle, bits)
-    return keep_ids(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    """The documents less all but the first (smallest doc_id) of each group; the columns stay as they are. Rows with one doc_id are one document;
+    rows without one are documents of their own after all others, equal texts among them one. An empty table gives no rows."""
+    return keep_firsts(docs, lambda d: near_duplicates(d, shingle, bits))

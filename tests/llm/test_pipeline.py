@@ -22,6 +22,31 @@ def test_stages(spark, sf):
     assert counts == sorted(counts, reverse=True) and 0 < counts[-1] < counts[0]
 
 
+def test_stages_take_nulls_repeated_rows_and_empty_tables(spark, sf):
+    from edge_cases import documents, some_texts
+
+    texts = some_texts(9)
+    docs = documents(spark, [*texts, *texts[:3], "<|endoftext|>", None], [*range(len(texts)), 0, None, None, None, 3])
+    for rows in (docs, docs.where("false")):
+        got = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = common.stash(stage(spark, got, sf), "stage")
+            assert got.columns == rows.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, got, sf).count() >= got.count()
+        for _, stage in corpus_pipeline.STAGES[1:4]:  # the quality stage drops most of these
+            assert common.stash(stage(spark, rows, sf), "stage").columns == rows.columns
+
+
+def test_run_leaves_one_table(spark, sf):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = {x for x in set(os.listdir(folder)) - before if not x.startswith(("heads", "sketches", "fingerprints"))}
+    assert len(left) == 1 and next(iter(left)).startswith("packed")
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__
 
