@@ -25,8 +25,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _IRREGULAR = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Before a line's first letter, and the letters that a part begins with.
 _LINE, _LETTERS = re.compile(r"(?<=\S)(?=\n[^\W\d_])"), re.compile(r"[ \n][^\W\d_]+(?=\W)")
-#: Parts longer than this are not remembered. Beyond so many parts or ids (about 100 MB together), those that came again stay and the rest is forgotten.
-LONGEST, CAPACITY, CAPACITY_IDS = 48, 400_000, 3_000_000
+#: Parts longer than this are not remembered. Beyond so many parts or ids (about 250 MB together), those that came again stay and the rest is forgotten.
+LONGEST, CAPACITY, CAPACITY_IDS = 48, 1_000_000, 8_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -56,8 +56,7 @@ class Encoder:
         before = told.get("pre_tokenizer") or {}
         #: Cutting is right for this pre-tokenizer, without a normalizer, and for texts without special tokens.
         self.may_cut = before.get("type") == "ByteLevel" and before.get("use_regex") is not False and not before.get("add_prefix_space") and not told.get("normalizer") and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
-        added = [x["content"] for x in told.get("added_tokens", []) if x["content"]]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [x["content"] for x in told.get("added_tokens", []) if x["content"]]
         # a byte-level token has one letter for each of its bytes
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -191,7 +190,7 @@ class Encoder:
             flat[1 : 2 * len(ended) : 2] = np.fromiter((found[p[-1]] for p in ended), np.int64, len(ended))
             flat[2 * len(ended) :] = [found[x] for atoms in mixed.values() for x in atoms]
             heads = np.cumsum(group) - group
-            np.add.at(self.uses, flat, 1)
+            self.uses[: self.n] += np.bincount(flat, minlength=self.n)
             size = self.size[flat]
             take = np.repeat(self.at[flat], size) + ramp(size)
             begin = end = None
@@ -219,7 +218,7 @@ class Encoder:
         firsts, rest, counts = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                p = parts_of(text) if self.may_cut and not (self.special and self.special.search(text)) else [text]
+                p = parts_of(text) if self.may_cut and not any(x in text for x in self.special) else [text]
                 counts[i] = len(p)
                 firsts.append(p[0])
                 rest += p
