@@ -28,7 +28,7 @@ TUPLES = "a long, b long, doc long, pos long, done boolean, more binary"
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 19
 #: Undecided runs that a task cuts up together.
-RUNS = 1 << 13
+RUNS = 1 << 11
 
 
 def pack_pos(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -65,8 +65,8 @@ def settled_here(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     return later, sure
 
 
-def resolve(sorted_tuples: DataFrame, both: bool) -> DataFrame:
-    """Settle tuples that are dealt by a and sorted by (a, b, doc, pos). done: the run's windows are repeated. Otherwise undecided.
+def settling(both: bool) -> Callable:
+    """The function over batches that settles tuples dealt by a and sorted by (a, b, doc, pos). done: the run's windows are repeated. Otherwise undecided.
 
     both: a window is repeated if an equal one stands anywhere else; else only if an equal one stands earlier. Tuples at one
     place are one. The first tuple of each b stays in play where there are several b, as what later windows may be equal to.
@@ -104,7 +104,7 @@ def resolve(sorted_tuples: DataFrame, both: bool) -> DataFrame:
                 yield t.take(pa.array(open_))
             held, was_multiple = t.slice(int(first[-1]), 1), bool(several[-1])
 
-    return sorted_tuples.mapInArrow(settle, TUPLES)
+    return settle
 
 
 def dealt(t: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, seq
     anchors(batches) yields tuples; sequence(texts) gives (numbers or bytes of all texts, each text's bounds), and name(values, starts, ends,
     seed) names stretches of them. step: so many neighbouring offsets go together on the second level. docs: doc_id (no nulls), text.
     """
-    first = stash(resolve(dealt(docs.mapInArrow(anchors, TUPLES)), both).select("doc", "pos", "done"), "runs")
+    first = stash(dealt(docs.mapInArrow(anchors, TUPLES)).mapInArrow(settling(both), TUPLES).select("doc", "pos", "done"), "runs")
     open_ = first.where("NOT done").groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("open"))
 
     def finer(batches):
@@ -152,7 +152,7 @@ def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, seq
                     more = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * step), len(g), [None, pa.py_buffer(np.ascontiguousarray(single).tobytes())]).cast(pa.binary())
                     yield tuples(mix(core), union, rep(doc), pack_pos(s0, np.zeros(len(g)), s1 - s0), None, more)
 
-    second = resolve(dealt(docs.join(open_.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "open").mapInArrow(finer, TUPLES)), both)
+    groups = dealt(docs.join(open_.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "open").mapInArrow(finer, TUPLES))
 
     def singles(batches):
         for b in batches:
@@ -172,15 +172,13 @@ def removed_runs(docs: DataFrame, window: int, step: int, anchors: Callable, seq
             a = mix(names[inside] ^ np.asarray(b.column("a")).view(np.uint64)[rows])
             yield tuples(a, names[inside], np.asarray(b.column("doc"))[rows], pack_pos(at, zero, zero))
 
-    third = resolve(dealt(second.mapInArrow(singles, TUPLES)), both)
+    # one worker a task settles and cuts up: each worker beside another costs an executor 100 to 200 MB
+    settle = settling(both)
+    third = dealt(groups.mapInArrow(lambda batches: singles(settle(batches)), TUPLES)).mapInArrow(settle, TUPLES)
     done = first.where("done").select("doc", "pos").union(third.where("done").select("doc", "pos"))
-
-    def as_runs(batches):
-        for b in batches:
-            lo, hi = unpack_pos(np.asarray(b.column("pos")))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(lo << 32 | hi)], names=["doc", "run"])
-
-    return done.mapInArrow(as_runs, "doc long, run long").groupBy("doc").agg(F.collect_set("run").alias("runs"))
+    # unpack_pos, in columns
+    run = F.expr("shiftleft(shiftright(pos, 16) - (shiftright(pos, 8) & 255), 32) | (shiftright(pos, 16) + (pos & 255) - 128)")
+    return done.select("doc", run.alias("run")).groupBy("doc").agg(F.collect_set("run").alias("runs"))
 
 
 def cover(runs: np.ndarray, window: int, n: int) -> tuple[np.ndarray, int]:
