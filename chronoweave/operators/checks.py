@@ -106,6 +106,43 @@ def overlay_collisions(overlays: DataFrame, captions_: DataFrame, frame_s: float
     return bad.groupBy("job_id", "ix").agg(F.min_by("verdict", F.struct("frame", F.when(F.col("verdict") == "outside", 0).otherwise(1))).alias("verdict"), F.min("frame").alias("frame"))
 
 
+def overlay_boxes(overlays: DataFrame, rects: DataFrame, captions_: DataFrame, safe: tuple[int, int, int, int], caption_box: tuple[int, int, int, int], size: tuple[int, int], fps: float) -> DataFrame:
+    """job_id, ix, verdict, frame as in overlay_collisions, by the overlays' pixel boxes and what each frame shows.
+
+    overlays(job_id, ix, t_in, t_out, x, y, width, height, dx, dy): a point of the source in shares (null: at the safe area's lower left), the
+    drawn size, and how far from the point it is drawn. rects(job_id, frame, x, y, w, h): the part of the source that each frame shows, from
+    frame 0 without gaps. safe and caption_box: left, top, right, bottom in pixels. A box is moved into the safe area; one that is too large
+    leaves it. captions_(job_id, t_in, t_out) are on screen from t_in to before t_out.
+    """
+    left, top, right, bottom = safe
+    n = rects.groupBy("job_id").agg(F.max("frame").alias("last"))
+    o = overlays.join(n, "job_id").withColumn("a", F.floor(F.col("t_in") * fps).cast("long")).withColumn("b", F.least(F.floor(F.col("t_out") * fps).cast("long"), F.col("last") + 1)).where("a < b")
+    step = F.greatest(F.floor((F.col("b") - F.col("a")) / 12), F.lit(1)).cast("long")
+    frames = o.select(*(F.col(c).alias(f"o_{c}") for c in ("ix", "x", "y", "width", "height", "dx", "dy")), "job_id", F.explode(F.sequence(F.col("a"), F.col("b") - 1, step)).alias("frame"))
+    j = frames.join(rects.select("job_id", "frame", "x", "y", "w", "h"), ["job_id", "frame"])
+
+    def placed(anchor: str, origin: str, part: str, pixels: int, shift: str, lo: int, hi: int, extent: str, without: Column) -> Column:
+        at = F.bround((F.col(anchor) - F.col(origin)) / F.col(part) * pixels).cast("long") + F.col(shift)
+        return F.when(F.col(anchor).isNull(), without).otherwise(F.least(F.greatest(at, F.lit(lo)), F.greatest(F.lit(hi) - F.col(extent), F.lit(lo))))
+
+    x = placed("o_x", "x", "w", size[0], "o_dx", left, right, "o_width", F.lit(left))
+    y = placed("o_y", "y", "h", size[1], "o_dy", top, bottom, "o_height", F.lit(bottom) - F.col("o_height"))
+    box = j.select("job_id", F.col("o_ix").alias("ix"), "frame", x.alias("x0"), y.alias("y0"), "o_width", "o_height").withColumn("x1", F.col("x0") + F.col("o_width")).withColumn("y1", F.col("y0") + F.col("o_height"))
+    outside = (F.col("x0") < left) | (F.col("y0") < top) | (F.col("x1") > right) | (F.col("y1") > bottom)
+    on = (F.col("x0") < caption_box[2]) & (caption_box[0] < F.col("x1")) & (F.col("y0") < caption_box[3]) & (caption_box[1] < F.col("y1"))
+    low = box.where(on & ~outside).select("job_id", "ix", "frame")
+    shown = furthest(low, F.col("frame") / fps, captions_.select("job_id", (F.col("t_in") - EPS).alias("t_in"), "t_out"), "t_in", "t_out", True)
+    over = shown.where(F.col("reach") > F.col("frame") / fps).select("job_id", "ix", "frame", F.lit("over_caption").alias("verdict"))
+    bad = box.where(outside).select("job_id", "ix", "frame", F.lit("outside").alias("verdict")).unionByName(over)
+    return bad.groupBy("job_id", "ix").agg(F.min_by("verdict", "frame").alias("verdict"), F.min("frame").alias("frame"))
+
+
+def overlay_findings(verdicts: DataFrame) -> DataFrame:
+    """How many overlays of a job leave the safe area, and how many sit on a caption."""
+    n = verdicts.groupBy("job_id").agg(F.count_if(F.col("verdict") == "outside").alias("out"), F.count_if(F.col("verdict") == "over_caption").alias("over"))
+    return _finding(n.where("out > 0"), "overlay_safe_area", "FAIL", "overlays leave the safe area", F.col("out"), 0.0).unionByName(_finding(n.where("over > 0"), "overlay_occlusion", "FAIL", "overlays sit on a caption", F.col("over"), 0.0))
+
+
 def verify(*findings: DataFrame) -> DataFrame:
     """All checks' findings in one table. No check stops another; a job that all pass has no row."""
     return reduce(DataFrame.unionByName, (f.select(*FINDINGS) for f in findings))

@@ -101,6 +101,18 @@ def migrate(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def read_specs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """migrate() over JSON documents of schemas.SPECS, one a file; provenance is its column here. A version that is no whole number is none."""
+    raw = spark.read.schema(schemas.SPECS).option("multiLine", True).json(path)
+    return migrate(raw.withColumn("provenance", F.col("source.provenance")))
+
+
+def read_measurements(spark: SparkSession, path: str) -> DataFrame:
+    """name (of the file), host (a struct), body: the whole JSON text; measurements differ too much for one schema."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("body"))
+    return text.select("name", F.from_json(F.get_json_object("body", "$.host"), schemas.HOST).alias("host"), "body")
+
+
 def content_key(stage: Column, version: Column, inputs: list[str], params: list[str]) -> Column:
     """sha256 of compact JSON with keys in sorted order, nulls kept: equal inputs and parameters have equal keys."""
     inner = lambda cols: F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)

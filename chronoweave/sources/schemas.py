@@ -27,12 +27,18 @@ SPECS = struct(field("job_id", S), field("spec_version", I), field("created_at",
 AUDIO = struct(*(field(n, D, "audio", learnable=n in ("music_gain_db", "duck_db")) for n in ("narration_gain_db", "music_gain_db", "duck_db", "target_lufs", "true_peak_ceiling_dbtp")), field("music_path", S, "audio"))
 JOBS = struct(field("job_id", S), field("status", S), field("spec_version", I), field("job_dir", S), field("degradations", S), field("created_at", TimestampType()), field("updated_at", TimestampType()))
 VERIFICATIONS = struct(field("id", L), field("job_id", S), field("profile", S), field("passed", B), field("findings_json", S), field("created_at", TimestampType()))
+STAGE_CACHE = struct(field("cache_key", S), field("job_id", S), field("stage", S), field("stage_version", I), field("profile", S), field("path", S), field("created_at", TimestampType()))
+#: profile_json is null in rows from before it was kept.
+ACCEPTED_SPECS = struct(field("id", L), field("job_id", S), field("profile", S), field("spec_json", S), field("accepted_at", TimestampType()), field("profile_json", S))
+PREF_CHANGES = struct(field("id", L), field("profile", S), field("key", S), field("old_value", S), field("new_value", S), field("caused_by", S), field("changed_at", TimestampType()))
+REVIEWS = struct(field("id", L), field("job_id", S), field("decision", S), field("diff_json", S), field("created_at", TimestampType()))
 FINDINGS = struct(field("job_id", S, "verify"), field("check", S, "verify"), field("severity", S, "verify"), field("message", S, "verify"), field("value", D, "verify"), field("limit", D, "verify"))
 
 #: What recorders and recognisers leave.
 PIXEL_EVENTS = StructType().add("width", I).add("height", I).add("duration", D).add("samples", ArrayType(StructType().add("t", D).add("x", D).add("y", D))).add("clicks", ArrayType(D))
 CURSOR = StructType().add("moves", ArrayType(StructType().add("time_ms", D).add("x", D).add("y", D))).add("clicks", ArrayType(StructType().add("time_ms", D).add("down", B)))
 ASR = StructType().add("transcription", ArrayType(StructType().add("offsets", StructType().add("from", L).add("to", L)).add("text", S)))
+HOST = "cpu STRING, cores STRING, memory_gb DOUBLE, os STRING, arch STRING, python STRING, ffmpeg STRING, measured_at STRING"
 AGENT_EVENT = "type STRING, message STRUCT<role: STRING, content: ARRAY<STRUCT<type: STRING, text: STRING>>>"
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import schemas
 
-TABLES = {"jobs": schemas.JOBS, "verifications": schemas.VERIFICATIONS, "findings": schemas.FINDINGS}
+TABLES = {
+    "jobs": schemas.JOBS, "stage_cache": schemas.STAGE_CACHE, "accepted_specs": schemas.ACCEPTED_SPECS, "pref_changes": schemas.PREF_CHANGES,
+    "verifications": schemas.VERIFICATIONS, "reviews": schemas.REVIEWS, "findings": schemas.FINDINGS,
+}
 
 
 def append(df: DataFrame, root: str, table: str, partition: str | None = None) -> None:
@@ -27,6 +30,16 @@ def profiles_of(rows: DataFrame) -> DataFrame:
     return rows.select("profile").distinct().orderBy("profile")
 
 
+def accepted(specs: DataFrame, profile: str) -> DataFrame:
+    """What was accepted under one profile, oldest first."""
+    return specs.where(F.col("profile") == profile).orderBy("id")
+
+
+def rendered_profiles(verifications: DataFrame) -> DataFrame:
+    """job_id, profile: what each job has been rendered and verified for."""
+    return verifications.select("job_id", "profile").distinct()
+
+
 def publish(df: DataFrame, path: str) -> None:
     """JSON documents, one folder for each job."""
     df.write.mode("overwrite").partitionBy("job_id").json(path)
