@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -38,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-_open: list["Scratch"] = []
+class _Open(threading.local):
+    """The Scratches that this thread is in: queries that run beside each other in one driver don't share any."""
+
+    def __init__(self):
+        self.scratches: list[Scratch] = []
 
 
 class Scratch:
@@ -48,21 +53,24 @@ class Scratch:
         self.tables: list[DataFrame] = []
 
     def __enter__(self) -> "Scratch":
-        _open.append(self)
+        _open.scratches.append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.tables.remove(next(t for t in self.tables if t is df))
-        if len(_open) > 1:
-            _open[-2].tables.append(df)
+        if len(_open.scratches) > 1:
+            _open.scratches[-2].tables.append(df)
         return df
 
     def __exit__(self, *_) -> None:
-        _open.remove(self)
+        _open.scratches.remove(self)
         for df in self.tables:
             unstash(df)
 
 
+_open = _Open()
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. A lost executor costs nothing then."""
     spark = df.sparkSession
@@ -70,8 +78,8 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
-    if _open:
-        _open[-1].tables.append(out)
+    if _open.scratches:
+        _open.scratches[-1].tables.append(out)
     return out
 
 

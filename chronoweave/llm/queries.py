@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
+from . import decontaminate, line_dedup, packing, pii, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op7_line_dedup, op8_packing, op9_quality, op10_decontamination)}
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.REPORT_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op7_line_dedup, op8_packing, op9_quality, op10_decontamination, op11_spelling_variants)}
+
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.REPORT_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL}
