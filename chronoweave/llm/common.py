@@ -149,3 +149,13 @@ def ramp(lengths: np.ndarray) -> np.ndarray:
     """0..l-1 for each length l, one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+#: For DuckDB, which has no checksum of this kind: its table of 256 entries, made by the rule, and the checksum of hex digits by that table.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+)"""
+
+
+def crc_sql(digits: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT for i in range(length({digits}) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, pii, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, token_files
+from . import conversations, decontaminate, html_text, line_dedup, packing, pii, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op7_line_dedup, op8_packing, op9_quality, op10_decontamination, op11_spelling_variants)}
+def op12_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.REPORT_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL}
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_simhash, op5_token_files, op6_pii, op7_line_dedup, op8_packing, op9_quality, op10_decontamination, op11_spelling_variants, op12_html_text, op13_conversation_repair)}
+
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.REPORT_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL, "op13_conversation_repair": conversations.REPORT_SQL}

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, stash, texts, unstash
+from .common import CRC_TABLE_SQL, Scratch, crc_sql, stash, texts, unstash
 from .rolling import mix
 
 #: Shorter words, and words that occur only once, have no variants and are none.
@@ -202,14 +202,12 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
 
 
 #: The checksum is that of zlib; its table follows from the polynomial. Near words meet by what is left when one place is taken out.
-VARIANTS_SQL = r"""
-WITH crc_table AS (
-  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
-), runs AS (
-  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+VARIANTS_SQL = rf"""
+WITH {CRC_TABLE_SQL}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
 ), each AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
 sums AS (
-  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(x, 2 * i + 1, 2))::BIGINT for i in range(length(x) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  SELECT run, n, {crc_sql('x')} AS h
   FROM each, crc_table
 ), damaged AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM sums),
 vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
