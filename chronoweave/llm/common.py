@@ -93,7 +93,7 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Ids of documents without one are below this (or, where they come last, from -NO_ID on); other doc_ids must lie between.
+#: Ids of documents without one are below this (or, where they come last, from -NO_ID on), if all others lie between.
 NO_ID = -(2**62)
 
 
@@ -104,10 +104,30 @@ def own_id(last: bool = False) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), by_text)
 
 
+def with_own(docs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """docs with the column __own, a long without nulls in the order of doc_id; and, where ids of any size stand in the way of own_id(), a table __own, doc_id.
+
+    That table numbers the ids in their order, by a range partitioning; without it, numbers below NO_ID (last: from -NO_ID on) are null ids and all others are ids.
+    """
+    ends = docs.select(F.col("doc_id").cast("long").alias("i")).agg(F.min("i"), F.max("i")).first()
+    if ends[0] is None or (ends[0] >= NO_ID and ends[1] < -NO_ID):
+        return docs.withColumn("__own", own_id(last)), None
+    i = F.col("doc_id").cast("long")
+    text = F.when(i.isNull(), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    order = ["__last", F.col("__i").asc_nulls_first(), "__h"]
+    keys = docs.select(i.alias("__i"), text.alias("__h")).distinct().withColumn("__last", F.col("__i").isNull() if last else F.col("__i").isNotNull())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # numbers of rows within ordered partitions are in order; written, so that they stay what they are
+    names = stash(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).select("__i", "__h", F.monotonically_increasing_id().alias("__own")), "ids")
+    keyed = docs.withColumns({"__id": i, "__text": text})
+    found = keyed.join(names, keyed["__id"].eqNullSafe(names["__i"]) & keyed["__text"].eqNullSafe(names["__h"])).select(*docs.columns, "__own")
+    return found, names.select("__own", F.col("__i").alias("doc_id"))
+
+
 def keep_firsts(docs: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The documents that are first in their component, with their columns as they are. components(doc_id, text) gives doc_id, component_id.
     Rows with one doc_id are one document; rows without one come after all others."""
-    keyed = docs.withColumn("__own", own_id(last=True))
+    keyed, _ = with_own(docs, last=True)
     groups = components(keyed.select(F.col("__own").alias("doc_id"), F.col("text").cast("string").alias("text")))
     firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     return keyed.join(firsts, F.col("__own") == F.col("__first"), "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, own_id, stash
+from .common import Scratch, stash, with_own
 
 #: Shorter lines go only if an equal one stands before them: one changed word makes them another line.
 MIN_WORDS = 8
@@ -75,8 +75,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     at = stash(first.join(sharing, "h").select("h", "first", "same_first", "same_last", (F.col("short_first") | F.col("short_last")).alias("short")), "partners")
     # their words: only of the documents and lines in question
     wanted = stash(at.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "first", "same_first", "same_last", "short")).alias("wanted")), "wanted")
-    found = docs.join(_with_texts(wanted), "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    chosen = stash(found.select("w.*", _words(F.get("parts", F.col("w.line"))).alias("words")).where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "words")
+    found = docs.join(_with_texts(wanted), "doc_id").select(F.split("text", "\n").alias("parts"), "wanted")
+    # each line is looked up in its text's array, which is split once and not copied for each line
+    with_line = F.transform("wanted", lambda x: F.struct(F.get("parts", x["line"]).alias("body"), *(x[c].alias(c) for c in ("h", "first", "same_first", "same_last", "short"))))
+    found = found.select(F.explode(with_line).alias("w")).select("w.*")
+    chosen = stash(found.select("h", "first", "same_first", "same_last", "short", _words(F.col("body")).alias("words")).where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "words")
     # the variants, by running exclusive-or of the hashes of words and their places
     spread = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     w = Window.partitionBy("h").orderBy("i")
@@ -106,6 +109,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.select("doc_id", "line")
 
 
+def _bitmaps(gone: DataFrame) -> DataFrame:
+    """doc_id, __n, __gone of (doc_id, line): how many lines go, and a bit for each line of a text up to the last that goes, 64 to a number."""
+    words = gone.groupBy("doc_id", F.floor(F.col("line") / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)).alias("bits"))
+    before = F.lag("at", 1, -1).over(Window.partitionBy("doc_id").orderBy("at"))
+    # numbers in between, of which no line goes, are filled in
+    each = words.select("doc_id", "at", F.bit_count("bits").alias("n"), F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("at") - before - 1), F.array("bits")).alias("bits"))
+    per = each.groupBy("doc_id").agg(F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("b"))
+    return per.select("doc_id", "__n", F.flatten(F.transform("b", lambda x: x["bits"])).alias("__gone"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with `text` less the lines that go, and n_lines, n_removed; other columns stay as they are.
 
@@ -114,15 +127,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Rows with one doc_id are one document, so they do not remove each other's lines; rows with a null doc_id are documents of their own below
     all others, in a fixed order, equal texts among them one. Texts may have any number of lines of any length. Input columns called n_lines or n_removed are replaced. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__id", own_id())
+    keyed, _ = with_own(docs)
     with Scratch() as s:
-        gone = removed_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")))
-        per_doc = s.keep(stash(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone"))
+        gone = removed_lines(keyed.select(F.col("__own").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        per_doc = s.keep(stash(_bitmaps(gone).withColumnRenamed("doc_id", "__own"), "gone"))
     parts = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    stays = lambda _, i: F.coalesce(F.call_function("getbit", F.get("__gone", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0
+    kept = F.array_join(F.filter(parts, stays), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    out = keyed.join(_with_texts(per_doc), "__id", "left").withColumns({"n_lines": n_lines, "n_removed": n_removed})
+    n_removed = F.coalesce("__n", F.lit(0)).cast("long")
+    out = keyed.join(_with_texts(per_doc), "__own", "left").withColumns({"n_lines": n_lines, "n_removed": n_removed})
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(kept))
     return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NO_ID, own_id, ramp, slices, stash
+from .common import NO_ID, ramp, slices, stash, with_own
 from .rolling import mix
 
 TUPLES = "a long, b long, doc long, pos long, done boolean, more binary"
@@ -190,15 +190,19 @@ def cover(runs: np.ndarray, window: int, n: int) -> tuple[np.ndarray, int]:
     return covered, int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id without nulls (see own_id) and texts without nulls."""
-    return docs.select(own_id().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def identified(docs: DataFrame) -> tuple[DataFrame, Callable]:
+    """doc_id (a long in the order of the ids, without nulls) and texts without nulls; and what gives the ids back to a result."""
+    own, names = with_own(docs.select("doc_id", "text"))
+    out = own.select(F.col("__own").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if names is None:
+        return out, lambda rows: rows.withColumn("doc_id", F.when(F.col("doc_id") >= NO_ID, F.col("doc_id")))
 
+    def named(rows: DataFrame) -> DataFrame:
+        columns = rows.columns
+        return rows.withColumnRenamed("doc_id", "__own").join(names, "__own").select(*columns)
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    return docs.join(runs.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "runs")
+    return out, named
 
 
-def id_column(column: pa.Array) -> pa.Array:
-    x = np.asarray(column)
-    return pa.array(np.where(x < NO_ID, 0, x), pa.int64(), mask=x < NO_ID)
+def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    return docs.join(runs.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "runs")

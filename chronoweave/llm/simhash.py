@@ -71,26 +71,46 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _verify(groups: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal group; the rows are sorted by group. Row i meets i+1, i+2, ... as far as the groups reach."""
-    found_a, found_b = [], []
+def _met(groups: np.ndarray, fp: np.ndarray, bits: int):
+    """(i, i + d) of rows of equal group within so many bits, for d = 1, 2, ...; the rows are sorted by group, and go as far as the groups reach."""
     i, d = np.arange(len(fp) - 1), 1
     while len(i):
         i = i[i + d < len(fp)]
         i = i[groups[i] == groups[i + d]]
         near = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= bits]
         if len(near):
-            found_a.append(fp[near])
-            found_b.append(fp[near + d])
+            yield near, near + d
         d += 1
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = _stars(np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64))
-    return a, b
 
 
-def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """Of distinct fingerprints fp: links (a, b) at 3 or fewer differing bits, as trees that connect all that all such links connect."""
+def _verify(groups: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of equal group, as stars; so many at a time that a dense group's links are never held together."""
+    a = b = np.zeros(0, np.int64)
+    held_a, held_b, n = [], [], 0
+    for i, j in _met(groups, fp, bits):
+        held_a.append(fp[i].view(np.int64))
+        held_b.append(fp[j].view(np.int64))
+        n += len(i)
+        if n > 1 << 20:
+            a, b = _stars(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+            held_a, held_b, n = [], [], 0
+    return _stars(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+
+
+def _firsts(groups: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first one before it and the first one after it, by distance in the group, within so many bits: links themselves, at most two a row."""
+    back, on = np.full(len(fp), -1), np.full(len(fp), -1)
+    for i, j in _met(groups, fp, bits):
+        back[j] = np.where(back[j] < 0, i, back[j])
+        on[i] = np.where(on[i] < 0, j, on[i])
+    rows = np.arange(len(fp))
+    a, b = np.concatenate([rows[back >= 0], rows[on >= 0]]), np.concatenate([back[back >= 0], on[on >= 0]])
+    return fp[a].view(np.int64), fp[b].view(np.int64)
+
+
+def links(prints: DataFrame, bits: int = 3, trees: bool = True) -> DataFrame:
+    """Of distinct fingerprints fp: links (a, b) at 3 or fewer differing bits, as trees that connect all that all such links connect. Without trees
+    each pair is within the bits itself, to be verified further: for each fingerprint the next ones in every cell (a selection, not all)."""
     if bits > 3:
         raise ValueError("cells one step apart find all links up to 3 bits only")
     x, y = F.col("fp").bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIRS))
@@ -111,16 +131,18 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = met.select("fp", "cell", mine.alias("i"), other.alias("j")).select("fp", F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
 
+    find = _verify if trees else _firsts
+
     def verify(batches):
         held_g, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for b in batches:
             g = np.concatenate([held_g, np.asarray(b.column("g"))])
             fp = np.concatenate([held_fp, np.asarray(b.column("fp")).view(np.uint64)])
             whole = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
-            a, c = _verify(g[:whole], fp[:whole], bits)
+            a, c = find(g[:whole], fp[:whole], bits)
             held_g, held_fp = g[whole:], fp[whole:]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-        a, c = _verify(held_g, held_fp, bits)
+        a, c = find(held_g, held_fp, bits)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
 
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "a long, b long").where("a <> b")

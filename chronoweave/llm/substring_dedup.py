@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import buffer_of, slices
-from .repeats import SLICE, cover, id_column, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
+from .repeats import SLICE, cover, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
 from .rolling import cut_long, each, mix, of_bytes, of_numbers, words
 
 #: Bits of the filter: 16 MB, whatever the corpus.
@@ -78,7 +78,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_kept: bool = True) ->
     block = (window + 1) // 2
     if not 12 <= window <= 127:
         raise ValueError("windows of 12 to 127 words")
-    docs = identified(docs)
+    docs, named = identified(docs)
     known = docs.sparkSession.sparkContext.broadcast(index_filter(docs, window, block))
 
     def anchors(batches):
@@ -116,6 +116,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_kept: bool = True) ->
                     kept = b" ".join(w)
                     out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([id_column(batch.column("doc_id")), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return with_runs(docs, runs).mapInArrow(assemble, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return named(with_runs(docs, runs).mapInArrow(assemble, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))

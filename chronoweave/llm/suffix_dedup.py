@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import buffer_of, slices
-from .repeats import SLICE, cover, id_column, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
+from .repeats import SLICE, cover, identified, pack_pos, removed_runs, settled_here, tuples, with_runs
 from .rolling import cut_long, each, eights, mix, of_bytes
 
 KMER = 32
@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_kept: bool = True) -
                     a = np.where(later, mix(doc.view(np.uint64)), a)
                     yield tuples(a, b, doc, pos, sure)
 
-    docs = identified(docs)
+    docs, named = identified(docs)
     runs = removed_runs(docs, window, STEP, anchors, buffer_of, of_bytes, both=False)
 
     def assemble(batches):
@@ -99,6 +99,6 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_kept: bool = True) -
                         kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
                     out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([id_column(batch.column("doc_id")), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return with_runs(docs, runs).mapInArrow(assemble, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return named(with_runs(docs, runs).mapInArrow(assemble, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))

@@ -20,7 +20,7 @@ from .tokens import encoder, vocabulary
 
 #: How many bytes each of a control byte's four numbers takes.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-BLOCK = "part int, chunk int, doc_ids binary, counts binary, control binary, data binary"
+BLOCK = "part int, chunk int, nulls int, doc_ids binary, counts binary, control binary, data binary"
 
 
 def encode_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,7 +65,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
                 ids, at = encoder(vocab).encode(batch.column("text").to_pylist())
                 size = np.diff(at)
                 with_end = np.insert(ids, at[1:], end_id).astype("<u4")
-                held.append((np.asarray(batch.column("doc_id").fill_null(-(2**63))), size + 1, with_end))
+                held.append((np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("doc_id").is_null()), size + 1, with_end))
                 n += len(with_end)
                 if n >= block_ids:
                     yield block(part, chunk, held)
@@ -74,9 +74,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
             yield block(part, chunk, held)
 
     def block(part, chunk, held):
-        d, c, x = (np.concatenate(a) for a in zip(*held))
+        d, none, c, x = (np.concatenate(a) for a in zip(*held))
         narrow = x.astype("<u2").tobytes() if x.max(initial=0) < 1 << 16 else x.tobytes()
-        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "doc_ids": pa.array([d.astype("<i8").tobytes()]), "counts": pa.array([c.astype("<u4").tobytes()]), "ids": pa.array([narrow])})
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "nulls": pa.array([int(none.sum())], pa.int32()), "doc_ids": pa.array([d.astype("<i8").tobytes()]), "counts": pa.array([c.astype("<u4").tobytes()]), "ids": pa.array([narrow])})
 
     def widened(counts: bytes, ids: bytes) -> np.ndarray:
         n = int(np.frombuffer(counts, "<u4").sum(dtype=np.int64))
@@ -85,7 +85,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
     # rows with one doc_id, or none, may be very many: they are split and ordered by their texts
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    raw = stash(ordered.mapInArrow(tokenise, "part int, chunk int, doc_ids binary, counts binary, ids binary"), "ids")
+    raw = stash(ordered.mapInArrow(tokenise, "part int, chunk int, nulls int, doc_ids binary, counts binary, ids binary"), "ids")
 
     def count(batches):
         total = np.zeros(1, np.int64)
@@ -124,13 +124,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for b in batches:
             for i in range(b.num_rows):
-                part, chunk, docs, counts, control, data = (b.column(k)[i].as_py() for k in ("part", "chunk", "doc_ids", "counts", "control", "data"))
+                part, chunk, nulls, docs, counts, control, data = (b.column(k)[i].as_py() for k in ("part", "chunk", "nulls", "doc_ids", "counts", "control", "data"))
                 counts = np.frombuffer(counts, "<u4").astype(np.int64)
                 ends = np.cumsum(counts)
                 ids = ids_of.value[decode_numbers(control, data, int(ends[-1]))]
                 crc = [zlib.crc32(ids[e - c : e].tobytes()) for e, c in zip(ends, counts)]
                 d = np.frombuffer(docs, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), part, np.int32)), pa.array(np.full(len(d), chunk, np.int32)), pa.array(np.where(d == -(2**63), 0, d), pa.int64(), mask=d == -(2**63)), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "chunk", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), part, np.int32)), pa.array(np.full(len(d), chunk, np.int32)), pa.array(d, pa.int64(), mask=np.arange(len(d)) < nulls), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "chunk", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.schema(BLOCK).parquet(path)
     # where each block begins: within its part by a window, over the parts by their totals (a row for each part)

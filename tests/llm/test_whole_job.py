@@ -81,3 +81,78 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len({got[i] for i in range(1001)}) == 1 and len(set(got.values())) == 11 and set(got) == {i for x in links for i in x}
     assert made.count("parents") <= 20
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_distinct_documents_of_one_template_stay(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 30000)}"
+    template = [word() for _ in range(300)]
+    texts = []
+    for _ in range(1500):
+        own = [word() for _ in range(90)]
+        texts.append(template[:150] + own + template[150:])
+    copies = []
+    for k in range(60):  # seven changes of a word leave 0.83 of the shingles
+        c = list(texts[25 * k])
+        for at in range(7):
+            c[20 + at * 50] = f"new{k}x{at}"
+        copies.append(c)
+    similarity = [len(shingles(" ".join(a)) & shingles(" ".join(b))) / len(shingles(" ".join(a)) | shingles(" ".join(b))) for a, b in [(texts[0], copies[0]), (texts[0], texts[1])]]
+    assert similarity[0] >= 0.8 > 0.7 > similarity[1]
+    docs = documents(spark, [" ".join(x) for x in texts + copies])
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert set(range(1500)) <= kept
+    assert len(kept) - 1500 <= 3  # recall of 0.95
+
+
+EXTREME = [-(2**63), -(2**62) - 5, -(2**62), 0, 2**62, 2**63 - 1, None]
+
+
+def test_ids_of_any_size(spark):
+    from chronoweave.llm import simhash, substring_dedup, suffix_dedup, token_files
+
+    words = " ".join(f"w{k * k}" for k in range(60))
+    texts = [words] * len(EXTREME)
+    docs = documents(spark, texts, EXTREME)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert set(got) == set(EXTREME) and [i for i, n in got.items() if not n] == [None]  # null ids come first
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs.where("doc_id IS NOT NULL")).collect()}
+    assert [i for i, n in got.items() if not n] == [-(2**63)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {i: 60 for i in EXTREME}
+    assert {r.doc_id for r in token_files.round_trip(docs).collect()} == set(EXTREME)
+    assert [r.start for r in sorted(token_files.round_trip(docs).collect(), key=lambda r: r.start)][0] == 0
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == set(EXTREME)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [-(2**63)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert [i for i, n in got.items() if not n] == [None]
+
+
+def test_a_text_of_very_many_equal_lines(spark):
+    import time
+
+    began = time.time()
+    docs = documents(spark, ["\n".join(["the same line over and over again, it is"] * 300_000), "x\n" * 200 + "y", "a\nb"])
+    got = {r.doc_id: (r.n_lines, r.n_removed, len(r.text)) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: (300_000, 299_999, 40), 1: (201, 199, 3), 2: (2, 0, 3)}
+    assert time.time() - began < 60
+
+
+def test_lines_by_shuffle_alone(spark, monkeypatch):
+    from edge_cases import some_texts
+
+    docs = documents(spark, some_texts(5))
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST_ITEMS", 0)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+
+
+def test_queries_beside_each_other(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from chronoweave.llm import queries
+
+    names = ["op4_simhash", "op7_line_dedup"] * 2
+    alone = [queries.QUERIES[n](spark, sf).count() for n in names[:2]] * 2
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda n: queries.QUERIES[n](spark, sf).count(), names)) == alone
