@@ -1,8 +1,8 @@
 """Interval algebra per job: merge, subtract, complement, coalesce, split, and projection onto the edited time axis.
 
 Every operator works within job_id, as equi-key of its joins and partition of its windows. Interval joins have a second equi-key, a bucket
-of BUCKET seconds, so a job's rows meet only what is near them in time, and a hot job is spread over its buckets; whether a span overlaps any
-other is told by one window (a running maximum), without a join.
+of BUCKET seconds (of COARSE seconds for long spans), so a job's rows meet only what is near them in time, and a hot job is spread over its buckets;
+whether a span overlaps any other is told by a running maximum, without a join. What runs over a job's rows in order does so in chunks of time (scan.py).
 """
 
 from __future__ import annotations
@@ -10,56 +10,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import EPS, contains, covers, holds, overlaps, tier_rank
+from . import scan
 
 
 #: Seconds of an interval join's buckets: about as long as spans are, so that each is in a few buckets and each bucket has a few of them.
 BUCKET = 8.0
+#: Intervals in more buckets than this go by coarse ones, so wide; those end at this many from zero on either side.
+MOST, COARSE, FAR = 256, 32768.0, 1 << 16
 
 
 def _order(*cols: str):
     return Window.partitionBy("job_id").orderBy(*cols)
 
 
-def _bucket(t: Column) -> Column:
-    return F.floor(t / BUCKET)
+def _fine(t: Column) -> Column:
+    return F.floor(t / BUCKET).cast("long")
 
 
-def _buckets(t_in: Column, t_out: Column) -> Column:
-    """All buckets that an interval touches, widened by a little more than the predicates' tolerance. An interval that ends before it begins has those between."""
-    return F.sequence(_bucket(F.least(t_in, t_out) - 2 * EPS), _bucket(F.greatest(t_in, t_out) + 2 * EPS))
+def _coarse(t: Column) -> Column:
+    """The first and the last one are open, so that no interval is in more than 2 * FAR of them."""
+    return F.greatest(F.lit(-FAR), F.least(F.lit(FAR), t / COARSE)).cast("long")
+
+
+def _edges(t_in: Column, t_out: Column) -> tuple[Column, Column, Column]:
+    """Where an interval begins and ends, widened by a little more than the predicates' tolerance, and whether it is long. An interval that ends before it begins has what is between."""
+    lo, hi = F.least(t_in, t_out) - 2 * EPS, F.greatest(t_in, t_out) + 2 * EPS
+    return lo, hi, hi - lo >= BUCKET * (MOST - 2)
 
 
 def near_points(points: DataFrame, t: Column, spans: DataFrame, t_in: str, t_out: str, condition: Column, how: str = "inner") -> DataFrame:
-    """points join spans (with job in the column j) where the condition holds, which must say that t is within the span give or take EPS."""
-    left = points.withColumn("__bucket", _bucket(t))
-    right = spans.withColumn("__near", F.explode(_buckets(F.col(t_in), F.col(t_out))))
+    """points join spans (with job in the column j) where the condition holds, which must say that t is within the span give or take EPS. A point is looked up
+    in the fine buckets and in the coarse ones, where long spans are; with how="left" a point without a match in either has an empty row for it."""
+    lo, hi, long = _edges(F.col(t_in), F.col(t_out))
+    both = lambda is_long, b: F.struct(F.lit(is_long).alias("long"), b.alias("b"))
+    left = points.withColumn("__bucket", F.explode(F.array(both(False, _fine(t)), both(True, _coarse(t)))))
+    every = F.when(long, F.transform(F.sequence(_coarse(lo), _coarse(hi)), lambda b: both(True, b))).otherwise(F.transform(F.sequence(_fine(lo), _fine(hi)), lambda b: both(False, b)))
+    right = spans.withColumn("__near", F.explode(every))
     return left.join(right, (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & condition, how).drop("__bucket", "__near")
 
 
+def _places(t_in: Column, t_out: Column) -> Column:
+    """(long, b, first, own) for each bucket of an interval: a long one's coarse buckets, a short one's fine and coarse ones. first: its first bucket of the kind; own: it is long."""
+    lo, hi, long = _edges(t_in, t_out)
+    place = lambda is_long, b, first: F.struct(F.lit(is_long).alias("long"), b.alias("b"), first.alias("first"), long.alias("own"))
+    coarse = F.transform(F.sequence(_coarse(lo), _coarse(hi)), lambda b: place(True, b, _coarse(lo)))
+    return F.when(long, coarse).otherwise(F.concat(F.transform(F.sequence(_fine(lo), _fine(hi)), lambda b: place(False, b, _fine(lo))), coarse))
+
+
 def meeting(left: DataFrame, a_in: str, a_out: str, right: DataFrame, b_in: str, b_out: str) -> DataFrame:
-    """left join right (with job in the column j) where they overlap. A pair meets once, in the first bucket that both have."""
-    a = left.withColumn("__of_a", _buckets(F.col(a_in), F.col(a_out))).withColumn("__bucket", F.explode("__of_a"))
-    b = right.withColumn("__of_b", _buckets(F.col(b_in), F.col(b_out))).withColumn("__near", F.explode("__of_b"))
-    once = F.col("__bucket") == F.greatest(F.array_min("__of_a"), F.array_min("__of_b"))
-    hit = (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & once
-    return a.join(b, hit & overlaps(F.col(a_in), F.col(a_out), F.col(b_in), F.col(b_out))).drop("__bucket", "__near", "__of_a", "__of_b")
+    """left join right (with job in the column j) where they overlap. A pair meets once: in fine buckets if both are short, else in coarse ones, and in the first that both have."""
+    a = left.withColumn("__a", F.explode(_places(F.col(a_in), F.col(a_out))))
+    b = right.withColumn("__b", F.explode(_places(F.col(b_in), F.col(b_out))))
+    same = (F.col("job_id") == F.col("j")) & (F.col("__a.long") == F.col("__b.long")) & (F.col("__a.b") == F.col("__b.b"))
+    once = (F.col("__a.b") == F.greatest("__a.first", "__b.first")) & (F.col("__a.long") == (F.col("__a.own") | F.col("__b.own")))
+    return a.join(b, same & once & overlaps(F.col(a_in), F.col(a_out), F.col(b_in), F.col(b_out))).drop("__a", "__b")
 
 
 def furthest(rows: DataFrame, at: Column, others: DataFrame, t_in: str, t_out: str, at_ties: bool) -> DataFrame:
-    """rows with `reach`: the latest t_out of the job's others that begin before `at` (at_ties: or there). One window, no join."""
-    q = rows.select("job_id", at.alias("__at"), F.lit(1).alias("__turn"), F.lit(None).cast("double").alias("__out"), F.struct(*rows.columns).alias("__row"))
-    o = others.select("job_id", F.col(t_in).alias("__at"), F.lit(0 if at_ties else 2).alias("__turn"), F.col(t_out).alias("__out"), F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy("job_id").orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return q.unionByName(o).withColumn("reach", F.max("__out").over(w)).where("__row IS NOT NULL").select("__row.*", "reach")
+    """rows with `reach`: the latest t_out of the job's others that begin before `at` (at_ties: or there). One running maximum, no join."""
+    q = rows.select("job_id", at.alias("__at"), F.lit(1).alias("__turn_of"), F.lit(None).cast("double").alias("__out"), F.struct(*rows.columns).alias("__row"))
+    o = others.select("job_id", F.col(t_in).alias("__at"), F.lit(0 if at_ties else 2).alias("__turn_of"), F.col(t_out).alias("__out"), F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
+    seen = scan.running(q.unionByName(o), F.col("__at"), ["__at", "__turn_of"], {"reach": ("max", F.col("__out"))}, inclusive=True)
+    return seen.where("__row IS NOT NULL").select("__row.*", "reach")
 
 
 def merge(spans: DataFrame) -> DataFrame:
     """job_id, t_in, t_out, kind: spans that touch become one, of the kind that comes first. Ties in t_in go by ord."""
-    w = _order("t_in", "ord", "t_out")
-    reach = F.max("t_out").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("t_in") > reach + EPS, F.lit(True))
-    island = F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return spans.withColumn("island", island).groupBy("job_id", "island").agg(F.min("t_in").alias("t_in"), F.max("t_out").alias("t_out"), F.min_by("kind", F.struct("t_in", "ord", "t_out")).alias("kind")).drop("island")
+    at, order = F.col("t_in"), ["t_in", "ord", "t_out"]
+    reached = scan.running(spans, at, order, {"reach": ("max", F.col("t_out"))})
+    new = F.coalesce(F.col("t_in") > F.col("reach") + EPS, F.lit(True))
+    islands = scan.running(reached, at, order, {"island": ("sum", new.cast("long"))}, inclusive=True)
+    return islands.groupBy("job_id", "island").agg(F.min("t_in").alias("t_in"), F.max("t_out").alias("t_out"), F.min_by("kind", F.struct(*order)).alias("kind")).drop("island")
 
 
 def subtract(spans: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -78,16 +99,17 @@ def complement(removals: DataFrame, durations: DataFrame) -> DataFrame:
     """job_id, t_in, t_out: the gaps that removals leave in [0, duration]; a job without removals is one gap."""
     tail = durations.select("job_id", F.col("duration").alias("t_in"), F.col("duration").alias("t_out"))
     rows = removals.select("job_id", "t_in", "t_out").unionByName(tail)
-    before = F.coalesce(F.max("t_out").over(_order("t_in", "t_out").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("from", before).where(F.col("t_in") > F.col("from") + EPS).select("job_id", F.col("from").alias("t_in"), F.col("t_in").alias("t_out"))
+    reached = scan.running(rows, F.col("t_in"), ["t_in", "t_out"], {"reach": ("max", F.col("t_out"))})
+    return reached.withColumn("from", F.coalesce("reach", F.lit(0.0))).where(F.col("t_in") > F.col("from") + EPS).select("job_id", F.col("from").alias("t_in"), F.col("t_in").alias("t_out"))
 
 
 def coalesce(segments: DataFrame) -> DataFrame:
     """job_id, t_in, t_out, tier, reason: neighbours that touch and agree in tier and reason become one."""
-    w = _order("t_in")
-    same = (F.abs(F.col("t_in") - F.lag("t_out").over(w)) <= EPS) & (F.col("tier") == F.lag("tier").over(w)) & F.col("reason").eqNullSafe(F.lag("reason").over(w))
-    island = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w)
-    return segments.withColumn("island", island).groupBy("job_id", "island").agg(F.min("t_in").alias("t_in"), F.max("t_out").alias("t_out"), F.first("tier").alias("tier"), F.first("reason").alias("reason")).drop("island")
+    at = F.col("t_in")
+    beside = scan.neighbour(segments, at, ["t_in"], {"last_out": "t_out", "last_tier": "tier", "last_reason": "reason"}, back=True)
+    same = (F.abs(F.col("t_in") - F.col("last_out")) <= EPS) & (F.col("tier") == F.col("last_tier")) & F.col("reason").eqNullSafe(F.col("last_reason"))
+    islands = scan.running(beside, at, ["t_in"], {"island": ("sum", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))}, inclusive=True)
+    return islands.groupBy("job_id", "island").agg(F.min("t_in").alias("t_in"), F.max("t_out").alias("t_out"), F.first("tier").alias("tier"), F.first("reason").alias("reason")).drop("island")
 
 
 def covering(points: DataFrame, proposals: DataFrame, default_tier: str = "essential", default_reason: str = "uncovered") -> DataFrame:
@@ -124,17 +146,18 @@ def kept_spans(segments: DataFrame, thresholds: DataFrame) -> DataFrame:
     """job_id, budget, span_ix, source_in, source_out, output_in: selected segments, touching ones merged, laid end to end."""
     t = thresholds.select("job_id", "budget", tier_rank(F.col("tier")).alias("least"))
     chosen = segments.join(t, "job_id").where(tier_rank(F.col("tier")) >= F.col("least"))
-    w = Window.partitionBy("job_id", "budget").orderBy("t_in")
-    new = F.coalesce(F.col("t_in") > F.max("t_out").over(w.rowsBetween(Window.unboundedPreceding, -1)) + EPS, F.lit(True))
-    runs = chosen.withColumn("run", F.sum(new.cast("int")).over(w)).groupBy("job_id", "budget", "run").agg(F.min("t_in").alias("source_in"), F.max("t_out").alias("source_out"))
-    return lay_out(runs, "budget")
+    at, by = F.col("t_in"), ("job_id", "budget")
+    reached = scan.running(chosen, at, ["t_in"], {"reach": ("max", F.col("t_out"))}, by=by)
+    new = F.coalesce(F.col("t_in") > F.col("reach") + EPS, F.lit(True))
+    runs = scan.running(reached, at, ["t_in"], {"run": ("sum", new.cast("long"))}, inclusive=True, by=by)
+    return lay_out(runs.groupBy("job_id", "budget", "run").agg(F.min("t_in").alias("source_in"), F.max("t_out").alias("source_out")), "budget")
 
 
 def lay_out(runs: DataFrame, *more: str) -> DataFrame:
     """Give spans (source_in, source_out) their place in the output."""
-    w = Window.partitionBy("job_id", *more).orderBy("source_in")
-    before = F.sum(F.col("source_out") - F.col("source_in")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return runs.select("job_id", *more, (F.row_number().over(w) - 1).alias("span_ix"), "source_in", "source_out", F.coalesce(before, F.lit(0.0)).alias("output_in"))
+    totals = {"span_ix": ("sum", F.lit(1)), "output_in": ("sum", F.col("source_out") - F.col("source_in"))}
+    placed = scan.running(runs.select("job_id", *more, "source_in", "source_out"), F.col("source_in"), ["source_in"], totals, by=("job_id", *more))
+    return placed.select("job_id", *more, F.coalesce("span_ix", F.lit(0)).cast("int").alias("span_ix"), "source_in", "source_out", F.coalesce("output_in", F.lit(0.0)).alias("output_in"))
 
 
 def span_cuts(spans: DataFrame) -> DataFrame:
@@ -167,9 +190,8 @@ def project_captions(blocks: DataFrame, words: DataFrame, spans: DataFrame, mini
     out = cut.select("job_id", "block_ix", "span_ix", _to_output(F.greatest("t_in", "source_in", "f")).alias("t_in"), _to_output(F.least("t_out", "source_out", "l")).alias("t_out"), "n_words", "text")
     if minimum > 0:
         ends = spans.groupBy("job_id").agg(F.sum(F.col("source_out") - F.col("source_in")).alias("end"))
-        nxt = F.lead("t_in").over(Window.partitionBy("job_id").orderBy("t_in", "block_ix"))
-        held = F.least(F.greatest(F.col("t_out"), F.col("t_in") + minimum), F.coalesce(nxt, F.col("end")))
-        out = out.join(ends, "job_id").withColumn("t_out", F.when(F.col("t_out") - F.col("t_in") < minimum, held).otherwise(F.col("t_out"))).drop("end")
+        held = F.least(F.greatest(F.col("t_out"), F.col("t_in") + minimum), F.coalesce("next_in", "end"))
+        out = scan.neighbour(out, F.col("t_in"), ["t_in", "block_ix"], {"next_in": "t_in"}).join(ends, "job_id").withColumn("t_out", F.when(F.col("t_out") - F.col("t_in") < minimum, held).otherwise(F.col("t_out"))).drop("end", "next_in")
     return out
 
 
@@ -256,8 +278,7 @@ def override_rate(removals: DataFrame, proposals: DataFrame) -> DataFrame:
 def partition_violations(removals: DataFrame, segments: DataFrame, durations: DataFrame) -> DataFrame:
     """job_id, starts_late, n_overlaps, n_gaps, ends_off: how removals and segments fail to tile [0, duration]. Jobs without fault get no row."""
     both = removals.select("job_id", "t_in", "t_out").unionByName(segments.select("job_id", "t_in", "t_out"))
-    prev = F.lag("t_out").over(_order("t_in", "t_out"))
-    rows = both.withColumn("prev", prev)
+    rows = scan.neighbour(both, F.col("t_in"), ["t_in", "t_out"], {"prev": "t_out"}, back=True)
     per = rows.groupBy("job_id").agg(F.min("t_in").alias("a"), F.max("t_out").alias("b"), F.count_if(F.col("t_in") < F.col("prev") - EPS).alias("n_overlaps"), F.count_if(F.col("t_in") > F.col("prev") + EPS).alias("n_gaps"))
     j = per.join(durations, "job_id").select("job_id", (F.abs("a") > EPS).alias("starts_late"), "n_overlaps", "n_gaps", (F.abs(F.col("b") - F.col("duration")) > EPS).alias("ends_off"))
     return j.where("starts_late OR ends_off OR n_overlaps > 0 OR n_gaps > 0")

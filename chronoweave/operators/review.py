@@ -15,7 +15,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
@@ -127,10 +127,37 @@ def run_distribution(values: DataFrame, tolerance: float) -> DataFrame:
     return values.groupBy("job_id").agg(F.count("*").alias("n"), F.median("value").alias("middle"), (F.max("value") - F.min("value")).alias("spread"), F.max("approved").alias("approved")).select("job_id", "n", "middle", "spread", (F.abs(F.col("middle") - F.col("approved")) <= tolerance + EPS).alias("within"))
 
 
+#: Cells of a histogram, and how often one cell is cut up again.
+CELLS, REFINED = 1024, 3
+
+
 def nearest_rank(values: DataFrame, fraction: float) -> DataFrame:
-    """job_id, value: the element at half-even round(fraction * (n - 1)) of the sorted values."""
-    per = values.groupBy("job_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return per.select("job_id", F.get("v", F.least(F.bround((F.size("v") - 1) * F.lit(fraction)).cast("int"), F.size("v") - 1)).alias("value"))
+    """job_id, value: the element at half-even round(fraction * (n - 1)) of the sorted values, nulls left out (a job of nulls only: null).
+
+    The rank is looked for in a histogram of CELLS cells, then in one of the cell that holds it, REFINED times; what is in the last cell is counted by value. Nothing
+    of a job is collected: tables have CELLS rows a job, and only values of one cell go on. NaN is larger than all other values.
+    """
+    v = values.where("value IS NOT NULL").select("job_id", F.col("value").cast("double").alias("value"))
+    finite = (~F.isnan("value")) & (F.abs("value") < float("inf"))
+    ends = v.groupBy("job_id").agg(F.count("*").alias("n"), F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi"))
+    # left: how many smaller values are still to be passed by
+    place = ends.select("job_id", F.least(F.bround((F.col("n") - 1) * F.lit(fraction)), F.col("n") - 1).cast("long").alias("left"), "lo", "hi")
+    job = Window.partitionBy("job_id")
+    rows = v
+    for _ in range(REFINED):
+        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        cell = F.when(F.isnan("value"), CELLS + 2).when(F.col("value") == float("inf"), CELLS + 1).when(F.col("value") == float("-inf"), -1)
+        cell = cell.when(F.col("hi") > F.col("lo"), F.floor(share * CELLS)).otherwise(0).cast("int")
+        placed = rows.join(place, "job_id").withColumn("cell", cell)
+        counts = placed.groupBy("job_id", "cell").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi"))
+        before = F.coalesce(F.sum("n").over(job.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = counts.withColumn("before", before).where("before <= left AND left < before + n")
+        place = held.select("job_id", (F.col("left") - F.col("before")).alias("left"), "lo", "hi")
+        rows = placed.select("job_id", "cell", "value").join(held.select("job_id", "cell"), ["job_id", "cell"], "left_semi").select("job_id", "value")
+    each = rows.groupBy("job_id", "value").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(job.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = each.withColumn("before", before).join(place.select("job_id", "left"), "job_id").where("before <= left AND left < before + n").select("job_id", "value")
+    return values.select("job_id").distinct().join(found, "job_id", "left")
 
 
 def corpus_exclusions(rows: DataFrame) -> DataFrame:
@@ -163,21 +190,51 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_oldest: str) -> DataFr
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), "__v").alias("r"), F.min(keep_oldest).alias(keep_oldest)).select(key, "r.*", keep_oldest).select(*old.columns)
 
 
+def _jump_sums(nodes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(finished, still) of nodes(pid, up, acc): pid, acc of nodes whose ancestors end, with acc summed over all below them; and what still has
+    an ancestor after so many rounds. Round k adds what is 2**k to 2**(k+1) - 1 levels below; each node is one row throughout."""
+    for _ in range(rounds):
+        if nodes.where("up IS NOT NULL").isEmpty():
+            break
+        below = nodes.where("up IS NOT NULL").groupBy(F.col("up").alias("pid")).agg(F.sum("acc").alias("more"))
+        above = nodes.select(F.col("pid").alias("up"), F.col("up").alias("next"))
+        moved = nodes.join(above, "up", "left").select("pid", F.col("next").alias("up"), "acc")
+        nodes = checkpointed(moved.join(below, "pid", "left").select("pid", "up", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
+    return nodes.where("up IS NULL").select("pid", "acc"), nodes.where("up IS NOT NULL")
+
+
 def tree_sum(processes: DataFrame) -> DataFrame:
     """root, total of (pid, parent, rss): a process and all below it, at any depth; in a cycle each process counts once.
 
-    Who is below whom is found by doubling: each round joins the pairs found so far with themselves, so a tree of depth n takes log2(n)
-    rounds, each cut off by a checkpoint. There are as many pairs as processes have ancestors. Pids are unique; a null parent is none.
+    Sums jump: each round doubles how far every process looks up, so a tree of depth n takes log2(n) rounds of one row a process, each cut off by a checkpoint; no pairs
+    of ancestors and descendants are made. Processes that still look up after that many rounds hang on a cycle: its members are cut off from each other, sum what hangs on
+    them, and share the total. Pids are unique; a null parent, one that is not in the table and a process's own pid are none; a null rss counts as 0.
     """
-    p = checkpointed(processes.select("pid", "parent", "rss"))
-    known = checkpointed(p.where("parent <> pid").join(p.select(F.col("pid").alias("parent")), "parent").select(F.col("parent").alias("root"), "pid").distinct())
-    n = -1
-    while n != (now := known.count()):
-        n = now
-        further = known.alias("a").join(known.alias("b"), F.col("a.pid") == F.col("b.root")).where("a.root <> b.pid").select("a.root", "b.pid")
-        known = checkpointed(known.union(further).distinct())
-    below = known.union(p.select(F.col("pid").alias("root"), "pid"))
-    return below.join(p.select("pid", "rss"), "pid").groupBy("root").agg(F.sum("rss").alias("total"))
+    p = checkpointed(processes.select("pid", "parent", F.coalesce("rss", F.lit(0)).alias("acc")))
+    known = p.select(F.col("pid").alias("up"))
+    nodes = checkpointed(p.withColumn("up", F.when(F.col("parent") != F.col("pid"), F.col("parent"))).join(known, "up", "left_semi").select("pid", "up", "acc"))
+    nodes = checkpointed(nodes.unionByName(p.join(nodes.select("pid"), "pid", "left_anti").select("pid", F.lit(None).cast(nodes.schema["up"].dataType).alias("up"), "acc")))
+    rounds = max(1, nodes.count()).bit_length() + 1
+    done, still = _jump_sums(nodes, rounds)
+    if still.isEmpty():
+        return done.select(F.col("pid").alias("root"), F.col("acc").alias("total"))
+    # whoever is looked up to after more steps than there are processes is in a cycle
+    members = checkpointed(still.select(F.col("up").alias("pid")).distinct())
+    hanging = nodes.join(still.select("pid"), "pid", "left_semi")
+    in_cycle = members.withColumn("cyclic", F.lit(True))
+    cut = checkpointed(hanging.join(in_cycle, "pid", "left").select("pid", F.when(F.col("cyclic").isNull(), F.col("up")).alias("up"), "acc"))
+    sums, _ = _jump_sums(cut, rounds)
+    sums = checkpointed(sums)
+    # each cycle is called by its least pid, found by doubling too
+    ring = checkpointed(nodes.join(members, "pid", "left_semi").select("pid", "up", F.least("pid", "up").alias("name")))
+    for _ in range(rounds):
+        far = ring.select(F.col("pid").alias("up"), F.col("up").alias("next"), F.col("name").alias("other"))
+        ring = checkpointed(ring.join(far, "up").select("pid", F.col("next").alias("up"), F.least("name", "other").alias("name")))
+    named = ring.select("pid", "name").join(sums, "pid")
+    totals = named.groupBy("name").agg(F.sum("acc").alias("total"))
+    cyclic = named.join(totals, "name").select(F.col("pid").alias("root"), "total")
+    beside = sums.join(members, "pid", "left_anti").select(F.col("pid").alias("root"), F.col("acc").alias("total"))
+    return done.select(F.col("pid").alias("root"), F.col("acc").alias("total")).unionByName(cyclic).unionByName(beside)
 
 
 def burst_and_sustained(runs: DataFrame) -> DataFrame:

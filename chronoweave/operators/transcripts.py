@@ -6,15 +6,15 @@ is small, an Arrow function over rows of whole transcripts where it is a table o
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import FILLERS, bare, edge_normalized, plain_tokens
+from ..functions.text import FILLERS, alignment_key, bare, edge_normalized, plain_tokens
 from ..functions.time import EPS
-from . import intervals
+from . import alignment, intervals
 
 
 def filler_spans(words: DataFrame, fillers: list[str] | tuple[str, ...] = FILLERS) -> DataFrame:
@@ -74,56 +74,60 @@ def active_windows(blocks: DataFrame, words: DataFrame) -> DataFrame:
     return out.where(clock(F.col("t_in")) != clock(F.col("t_out")))
 
 
-def _steps(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """An optimal alignment as pairs of places, -1 for none; pairs before omissions before insertions, seen from the end."""
-    n, m = len(left), len(right)
-    codes = {x: i for i, x in enumerate(dict.fromkeys(left + right))}
-    a, b = np.array([codes[x] for x in left], np.int64), np.array([codes[x] for x in right], np.int64)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    slope = np.arange(m + 1, dtype=np.int32)
-    table[0] = slope
-    for i in range(1, n + 1):
-        row = table[i - 1] + 1
-        np.minimum(row[1:], table[i - 1, :-1] + (b != a[i - 1]), out=row[1:])
-        table[i] = np.minimum.accumulate(row - slope) + slope  # insertions only ever move right
-    out = []
-    while n or m:
-        if n and m and table[n, m] == table[n - 1, m - 1] + (a[n - 1] != b[m - 1]):
-            n, m = n - 1, m - 1
-            out.append((n, m))
-        elif n and table[n, m] == table[n - 1, m] + 1:
-            n -= 1
-            out.append((n, -1))
-        else:
-            m -= 1
-            out.append((-1, m))
-    return out[::-1]
+DIFFERENCES = "job_id long, step int, kind string, expected string, actual string, at double, until double"
+_KINDS = pa.array(["match", "substitution", "omission", "insertion"])
+
 
+def _arrays(words: DataFrame, name: str, key: Column) -> DataFrame:
+    each = F.struct("ix", F.col("t_in").cast("double").alias("t_in"), F.col("t_out").cast("double").alias("t_out"), "text", key.alias("key"))
+    return words.groupBy("job_id").agg(F.array_sort(F.collect_list(each)).alias(name))
 
-DIFFERENCES = "job_id long, step int, kind string, expected string, actual string, at double, until double"
 
+class _Pairs:
+    """Two columns of arrays of words side by side: all words of each, where each job's begin, and numbers that are equal where their keys are."""
 
-def _arrays(words: DataFrame, name: str) -> DataFrame:
-    return words.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "t_in", "t_out", "text", edge_normalized(F.col("text")).alias("key")))).alias(name))
+    def __init__(self, batch: pa.RecordBatch, left: str, right: str):
+        columns = [batch.column(c) for c in (left, right)]
+        self.words = [c.flatten() for c in columns]
+        self.begin = [np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(c), 0)))]) for c in columns]
+        keys = pa.concat_arrays([pc.struct_field(w, "key") for w in self.words])
+        codes = np.asarray(keys.dictionary_encode().indices.fill_null(-1)).astype(np.int64)
+        self.codes = codes[: len(self.words[0])], codes[len(self.words[0]) :]
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(c[s[row] : s[row + 1]] for c, s in zip(self.codes, self.begin))
+
+    def take(self, side: int, at: np.ndarray, field: str) -> pa.Array:
+        """A field of one side's words at these places, null for -1."""
+        return pc.struct_field(self.words[side], field).take(pa.array(at, mask=at < 0))
 
 
 def word_diff(expected: DataFrame, heard: DataFrame) -> DataFrame:
-    """DIFFERENCES by word, matches left out. The table of a pair of transcripts is n * m numbers in one task."""
+    """DIFFERENCES by word, matches left out; words that agree but for case and outer punctuation match.
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for job, left, right in zip(pdf["job_id"], pdf["e"], pdf["h"]):
-                left, right = list(left if left is not None else []), list(right if right is not None else [])
-                a, b = [w["key"] for w in left], [w["key"] for w in right]
-                for k, (i, j) in enumerate(_steps(a, b)):
-                    if i >= 0 and j >= 0 and a[i] == b[j]:
-                        continue
-                    w = left[i] if i >= 0 else right[j]
-                    rows.append((job, k, "substitution" if i >= 0 and j >= 0 else "omission" if i >= 0 else "insertion", left[i]["text"] if i >= 0 else None, right[j]["text"] if j >= 0 else None, w["t_in"], w["t_out"]))
-            yield pd.DataFrame(rows, columns=["job_id", "step", "kind", "expected", "actual", "at", "until"])
+    Of optimal alignments that which, seen from the end, has pairs before omissions before insertions. A pair of transcripts is aligned in one task, in
+    memory that grows with the root of its length times its differences (alignment.edits).
+    """
 
-    return _arrays(expected, "e").join(_arrays(heard, "h"), "job_id", "full_outer").mapInPandas(run, DIFFERENCES)
+    def run(batches):
+        for b in batches:
+            pairs, found = _Pairs(b, "e", "h"), []
+            for row in range(b.num_rows):
+                kinds = alignment.edits(*pairs.of(row))
+                step = np.flatnonzero(kinds != alignment.MATCH)
+                i, j = (np.where(x[step] < 0, -1, x[step] + s[row]) for x, s in zip(alignment.places(kinds), pairs.begin))
+                found.append((np.full(len(step), row), step.astype(np.int32), kinds[step], i, j))
+            if not found:
+                continue
+            row, step, kind, i, j = (np.concatenate(x) for x in zip(*found))
+            from_heard = pa.array(i < 0)
+            times = [pc.if_else(from_heard, pairs.take(1, j, f), pairs.take(0, i, f)) for f in ("t_in", "t_out")]
+            columns = [b.column("job_id").take(pa.array(row)), pa.array(step), _KINDS.take(pa.array(kind)), pairs.take(0, i, "text"), pairs.take(1, j, "text"), *times]
+            yield pa.RecordBatch.from_arrays(columns, names=["job_id", "step", "kind", "expected", "actual", "at", "until"])
+
+    key = edge_normalized(F.col("text"))
+    both = _arrays(expected, "e", key).join(_arrays(heard, "h", key), "job_id", "full_outer")
+    return both.select(F.col("job_id").cast("long").alias("job_id"), "e", "h").mapInArrow(run, DIFFERENCES)
 
 
 def word_error_rate(expected: DataFrame, heard: DataFrame, cuts: DataFrame, seam: float = 0.30) -> DataFrame:
@@ -153,51 +157,59 @@ def plain_error_rate(pairs: DataFrame) -> DataFrame:
 
 
 ALIGNED = "job_id long, ix int, text string, t_in double, t_out double, anchored boolean"
-_KEY = re.compile(r"[^\w']+")
+
+
+def _times(size: np.ndarray, anchors: list[tuple[int, int, int]], t_in: np.ndarray, t_out: np.ndarray, duration: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and whether it is heard of each word of a script, whose words have these sizes; anchors pair runs of them with runs of heard words."""
+    n = len(size)
+    start, stop, known = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    for i, j, k in anchors:
+        start[i : i + k], stop[i : i + k], known[i : i + k] = t_in[j : j + k], t_out[j : j + k], True
+    fixed = np.flatnonzero(known)
+    left, right = np.concatenate([[-1], fixed]), np.concatenate([fixed, [n]])
+    for lo, hi in zip(left[right - left > 1].tolist(), right[right - left > 1].tolist()):
+        a = stop[lo] if lo >= 0 else 0.0
+        b = max(a, start[hi] if hi < n else duration)
+        edge = a + (b - a) * np.concatenate([[0], np.cumsum(size[lo + 1 : hi])]) / size[lo + 1 : hi].sum()
+        start[lo + 1 : hi], stop[lo + 1 : hi] = edge[:-1], edge[1:]
+    clear = 0.0
+    for i in range(n):
+        start[i] = max(start[i], clear)
+        clear = stop[i] = max(stop[i], start[i] + least)
+    if duration > 0:
+        wall = duration
+        for i in range(n - 1, -1, -1):
+            if stop[i] <= wall:
+                break
+            stop[i] = wall
+            wall = start[i] = max(min(start[i], wall - least), 0.0)
+    return start, stop, known
 
 
 def align_words(script: DataFrame, heard: DataFrame, durations: DataFrame, least: float = 0.04) -> DataFrame:
     """ALIGNED: script words (job_id, ix, text) with times from heard words that match in order; others share the time between by length.
 
-    Times never overlap, no word is shorter than `least`, and a crowded tail gives way before the recording's end.
+    Anchors are the longest run of words that both have, then the longest before and after it, and so on (alignment.common_runs). Times never overlap, no word is
+    shorter than `least`, and a crowded tail gives way before the recording's end.
     """
-    from difflib import SequenceMatcher
-
-    def times(text: list[str], said: list, duration: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = [_KEY.sub("", w).lower() for w in text]
-        pairs = [(m.a + k, m.b + k) for m in SequenceMatcher(None, keys, [_KEY.sub("", w["text"]).lower() for w in said], autojunk=False).get_matching_blocks() for k in range(m.size)]
-        start, stop, known = np.zeros(len(text)), np.zeros(len(text)), np.zeros(len(text), bool)
-        for i, j in pairs:
-            start[i], stop[i], known[i] = said[j]["t_in"], said[j]["t_out"], True
-        size = np.array([max(len(k), 1) for k in keys], float)
-        fixed = np.flatnonzero(known)
-        for left, right in zip([-1, *fixed.tolist()], [*fixed.tolist(), len(text)]):
-            if right - left > 1:
-                a = stop[left] if left >= 0 else 0.0
-                b = max(a, start[right] if right < len(text) else duration)
-                edge = a + (b - a) * np.concatenate([[0], np.cumsum(size[left + 1 : right])]) / size[left + 1 : right].sum()
-                start[left + 1 : right], stop[left + 1 : right] = edge[:-1], edge[1:]
-        clear = 0.0
-        for i in range(len(text)):
-            start[i] = max(start[i], clear)
-            clear = stop[i] = max(stop[i], start[i] + least)
-        if duration > 0:
-            wall = duration
-            for i in range(len(text) - 1, -1, -1):
-                if stop[i] <= wall:
-                    break
-                stop[i] = wall
-                wall = start[i] = max(min(start[i], wall - least), 0.0)
-        return start, stop, known
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for job, s, h, duration in zip(pdf["job_id"], pdf["s"], pdf["h"], pdf["duration"]):
-                text = [w["text"] for w in s]
-                a, b, known = times(text, list(h if h is not None else []), duration)
-                out.append(pd.DataFrame({"job_id": job, "ix": [w["ix"] for w in s], "text": text, "t_in": a, "t_out": b, "anchored": known}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["job_id", "ix", "text", "t_in", "t_out", "anchored"])
-
-    s = script.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "text"))).alias("s"))
-    return s.join(_arrays(heard, "h"), "job_id", "left").join(durations, "job_id").select("job_id", "s", "h", "duration").mapInPandas(run, ALIGNED)
+        for b in batches:
+            pairs = _Pairs(b, "s", "h")
+            size = np.maximum(np.asarray(pc.utf8_length(pc.struct_field(pairs.words[0], "key"))), 1).astype(float)
+            t_in, t_out = (np.asarray(pc.struct_field(pairs.words[1], f)) for f in ("t_in", "t_out"))
+            duration, found = np.asarray(b.column("duration").fill_null(0.0)), []
+            for row in range(b.num_rows):
+                (s0, s1), (h0, h1) = ((s[row], s[row + 1]) for s in pairs.begin)
+                found.append(_times(size[s0:s1], alignment.common_runs(*pairs.of(row)), t_in[h0:h1], t_out[h0:h1], duration[row], least))
+            if not found:
+                continue
+            start, stop, known = (np.concatenate(x) for x in zip(*found))
+            jobs = b.column("job_id").take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(pairs.begin[0]))))
+            text, ix = (pc.struct_field(pairs.words[0], f) for f in ("text", "ix"))
+            yield pa.RecordBatch.from_arrays([jobs, ix.cast(pa.int32()), text, pa.array(start), pa.array(stop), pa.array(known)], names=["job_id", "ix", "text", "t_in", "t_out", "anchored"])
+
+    key = alignment_key(F.col("text"))
+    s = script.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", "text", key.alias("key")))).alias("s"))
+    j = s.join(_arrays(heard, "h", key), "job_id", "left").join(durations, "job_id")
+    return j.select(F.col("job_id").cast("long").alias("job_id"), "s", "h", F.col("duration").cast("double").alias("duration")).mapInArrow(run, ALIGNED)

@@ -2,10 +2,11 @@
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from chronoweave.operators import intervals, review, tracks, transcripts
+from chronoweave.operators import alignment, intervals, review, scan, tracks, transcripts
 from chronoweave.sources import recordings, schemas
 
 SPAN = "job_id long, t_in double, t_out double, kind string, ord int"
@@ -54,6 +55,26 @@ def test_linear_without_samples_is_the_middle(spark):
     assert (r.x, r.y) == (0.5, 0.5)
 
 
+def plain_steps(a, b):
+    """An optimal alignment from the whole table: from the end, pairs before omissions before insertions."""
+    table = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = min(table[i - 1][j - 1] + (x != y), table[i - 1][j] + 1, table[i][j - 1] + 1)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and table[i][j] == table[i - 1][j] + 1:
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return out[::-1]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -63,14 +84,42 @@ def distance(a, b):
     return row[-1]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.sampled_from("abc"), max_size=60))
 def test_alignment_is_optimal_and_in_order(a, b):
-    steps = transcripts._steps(a, b)
+    codes = [np.array([ord(c) for c in x], np.int64) for x in (a, b)]
+    steps = list(zip(*(x.tolist() for x in alignment.places(alignment.edits(*codes)))))
+    assert steps == plain_steps(a, b)
     assert [i for i, _ in steps if i >= 0] == list(range(len(a))) and [j for _, j in steps if j >= 0] == list(range(len(b)))
     assert sum(i < 0 or j < 0 or a[i] != b[j] for i, j in steps) == distance(a, b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_anchors_are_the_longest_runs(a, b):
+    codes = [np.array([ord(c) for c in x], np.int64) for x in (a, b)]
+    pairs = [(i + k, j + k) for i, j, n in alignment.common_runs(*codes) for k in range(n)]
+    assert pairs == [(m.a + k, m.b + k) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(m.size)]
+
+
+def test_long_transcripts_in_little_memory():
+    rng = np.random.default_rng(3)
+    a = rng.zipf(1.3, 20_000) % 5000
+    b = a[rng.random(len(a)) > 0.01].copy()
+    b[rng.random(len(b)) < 0.01] = 5001
+    import tracemalloc
+
+    tracemalloc.start()
+    kinds = alignment.edits(a, b)
+    runs = alignment.common_runs(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # the table would be 1600 MB
+    tracemalloc.stop()
+    i, j = alignment.places(kinds)
+    assert (i[i >= 0] == np.arange(len(a))).all() and (j[j >= 0] == np.arange(len(b))).all()
+    assert ((kinds == alignment.MATCH) == [x >= 0 and y >= 0 and a[x] == b[y] for x, y in zip(i, j)]).all() and (kinds != 0).sum() < 500
+    assert sum(n for *_, n in runs) > 19_000
+
+
 def plain_wer(reference, hypothesis):
     import re
 
@@ -92,6 +141,35 @@ def test_tree_sum_at_any_depth_and_in_cycles(spark):
     assert got == {i: 60 - i for i in range(60)} | {100: 22, 101: 22, 102: 22, 103: 1, 104: 2}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_sum_of_any_graph(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    parent = {i: rng.choice([None, i, 999, *range(40)]) for i in range(40)}
+    parent |= {50: 51, 51: 50, 52: 50, 53: 52, 54: 51, 60: 61, 61: 62, 62: 60}
+    rss = {i: rng.randint(0, 9) for i in parent}
+
+    def below(root):
+        seen, todo = set(), [root]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [i for i, p in parent.items() if p == x]
+        return sum(rss[i] for i in seen)
+
+    rows = [(i, p, rss[i]) for i, p in parent.items()]
+    got = {r.root: r.total for r in review.tree_sum(spark.createDataFrame(rows, "pid long, parent long, rss long")).collect()}
+    assert got == {i: below(i) for i in parent}
+
+
+def test_tree_sum_of_a_long_chain(spark):
+    chain = spark.range(100_000).selectExpr("id AS pid", "CASE WHEN id > 0 THEN id - 1 END AS parent", "1L AS rss")
+    r = review.tree_sum(chain).selectExpr("count(*) AS n", "sum(abs(total - (100000 - root))) AS off").first()
+    assert (r.n, r.off) == (100_000, 0)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 60)), max_size=12), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 60)), max_size=12))
 def test_interval_joins_in_buckets_find_what_a_plain_join_finds(spark, a, b):
@@ -124,6 +202,67 @@ def test_aligned_words_stay_in_order_and_inside(spark):
     assert SequenceMatcher(None, "abcdef", "be", autojunk=False).ratio() > 0
 
 
+@pytest.mark.parametrize("fraction", [0.0, 0.37, 0.9, 1.0])
+def test_nearest_rank_of_odd_values(spark, fraction):
+    inf = float("inf")
+    jobs = {1: [1e300, -1e300, 0.0, 1e-300, 2e-300, -1e-300, 5.0], 2: [7.0] * 9, 3: [inf, -inf, 0.0, 1.0], 4: [2.0], 5: [k**0.5 for k in range(3000)] + [3.0] * 500, 6: [inf] * 3 + [1.0]}
+    rows = [(j, x) for j, xs in jobs.items() for x in xs] + [(1, None), (9, None)]
+    got = {r.job_id: r.value for r in review.nearest_rank(spark.createDataFrame(rows, "job_id long, value double"), fraction).collect()}
+    assert got == {j: sorted(xs)[min(round(fraction * (len(xs) - 1)), len(xs) - 1)] for j, xs in jobs.items()} | {9: None}
+
+
+def test_running_values_in_chunks_are_those_of_one_window(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, rng.uniform(-50, 50), float(rng.randint(-5, 5))]), i, rng.uniform(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "job_id long, t double, i int, x double")
+    at, order = F.col("t"), ["t", "i"]
+    run = lambda inc: scan.running(df, at, order, {"m": ("max", F.col("x")), "s": ("sum", F.lit(1))}, inc)
+    near = lambda back: scan.neighbour(df, at, order, {"o": "i", "y": "x"}, back)
+    results = lambda: [sorted(map(repr, d.collect())) for d in (run(True), run(False), near(True), near(False))]
+    whole = results()
+    by_job = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        by_job.setdefault(r[0], []).append(r[2])
+    assert {r.i: r.s for r in run(True).collect()} == {i: k + 1 for ids in by_job.values() for k, i in enumerate(ids)}
+    assert {r.i: r.o for r in near(False).collect()} == {i: n for ids in by_job.values() for i, n in zip(ids, [*ids[1:], None])}
+    monkeypatch.setattr(scan, "CHUNK", 0.75)
+    assert results() == whole
+
+
+def test_intervals_in_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    s = spans(spark, *((t, t + rng.uniform(0.1, 3), rng.choice(["a", "b"]), i) for i, t in enumerate(rng.uniform(0, 60) for _ in range(80))))
+    d = spark.createDataFrame([(1, 70.0)], "job_id long, duration double")
+    ordered = lambda df: sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()])
+    results = lambda: [ordered(intervals.merge(s)), ordered(g := intervals.complement(s, d)), ordered(intervals.lay_out(g.withColumnsRenamed({"t_in": "source_in", "t_out": "source_out"})))]
+    whole = results()
+    monkeypatch.setattr(scan, "CHUNK", 2.0)
+    assert results() == whole and len(whole[0]) > 5
+
+
+def test_spans_of_any_length(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    left = spans(spark, (0.0, 1e9, "long", 0), (5.0, 6.0, "short", 1), (-1e12, 1e18, "broken", 2), (3e9, 3e9 + 1, "far", 3))
+    right = spans(spark, (5.5, 7.0, "x", 0), (2e9, 9e9, "y", 1), (-4e3, 4e3, "z", 2), (8e8, 8e8 + 1, "w", 3)).selectExpr("job_id j", "t_in o_in", "t_out o_out", "kind other")
+    began = time.time()
+    got = sorted((r.kind, r.other) for r in intervals.meeting(left, "t_in", "t_out", right, "o_in", "o_out").collect())
+    assert got == [("broken", "w"), ("broken", "x"), ("broken", "y"), ("broken", "z"), ("far", "y"), ("long", "w"), ("long", "x"), ("long", "z"), ("short", "x"), ("short", "z")]
+    points = spark.createDataFrame([(1, 5.7), (1, 8e8 + 0.5), (1, 3e9 + 0.5), (1, 5e17), (1, None)], "job_id long, t double")
+    inside = (F.col("t") >= F.col("o_in")) & (F.col("t") < F.col("o_out"))
+    found = sorted((r.t, r.kind) for r in intervals.near_points(points, F.col("t"), left.selectExpr("job_id j", "t_in o_in", "t_out o_out", "kind"), "o_in", "o_out", inside).collect())
+    assert found == [(5.7, "broken"), (5.7, "long"), (5.7, "short"), (8e8 + 0.5, "broken"), (8e8 + 0.5, "long"), (3e9 + 0.5, "broken"), (3e9 + 0.5, "far"), (5e17, "broken")]
+    assert time.time() - began < 40
+
+
 def test_nearest_rank_and_empty(spark):
     v = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, 0.9)], "job_id long, value double")
     assert review.nearest_rank(v, 0.9).first().value == 0.9
