@@ -7,14 +7,13 @@ is small, an Arrow function over rows of whole transcripts where it is a table o
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import FILLERS, alignment_key, bare, edge_normalized, plain_tokens
 from ..functions.time import EPS
-from . import alignment, intervals
+from . import alignment, intervals, scan
 
 
 def filler_spans(words: DataFrame, fillers: list[str] | tuple[str, ...] = FILLERS) -> DataFrame:
@@ -30,34 +29,75 @@ def trim_proposals(silences: DataFrame, words: DataFrame, fillers: DataFrame, du
     return merged.select("job_id", lo.alias("t_in"), hi.alias("t_out"), "kind").where(F.col("t_out") - F.col("t_in") > EPS)
 
 
+#: Words that are looked at together.
+PIECE = 256
+
+
 def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: int = 2) -> DataFrame:
-    """The words with `block`: full blocks end; else, from min_words on, sentences and pauses end them, but never before the last word.
+    """The words with `block`: full blocks end; else, from min_words (2 or more) on, sentences and pauses end them, but never before the last word.
 
-    A word that overflows opens the next block and is not looked at for sentence or pause.
+    Where the next block begins depends on where this one does and on nothing before it. So each word gets the place where a block that began with it would
+    be followed by another; a piece of PIECE words is then a table, for each place of its head where a block may begin first, of where the first
+    block beyond it begins and how many begin within; the pieces of a job are gone through from table to table, and each piece is numbered from where it is entered.
+    A job is its words in pieces and one row of tables; a word's text is not carried. ix: places in order, as they are counted; ties are broken by t_in.
     """
-    w = Window.partitionBy("job_id").orderBy("ix")
-    gap = F.lead("t_in").over(w) - F.col("t_out")
-    ends = F.col("text").rlike("[.!?…]['\")\\]]*$") | (gap >= pause)
-    rows = words.withColumn("ends", F.when(gap.isNull(), False).otherwise(ends))
-    per = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ix", F.length("text").alias("n"), "ends"))).alias("ws"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for job, ws in zip(pdf["job_id"], pdf["ws"]):
-                block = size = count = 0
-                for x in ws:
-                    if count and size + x["n"] + 1 > limit:
-                        block, size, count, stop = block + 1, x["n"], 1, False
-                    else:
-                        size, count = size + 1 + x["n"] if count else x["n"], count + 1
-                        stop = count >= min_words and x["ends"]
-                    out.append((job, x["ix"], block))
-                    if stop:
-                        block, size, count = block + 1, 0, 0
-            yield pd.DataFrame(out, columns=["job_id", "ix", "block"])
-
-    return per.mapInPandas(run, f"job_id {per.schema['job_id'].dataType.simpleString()}, ix {words.schema['ix'].dataType.simpleString()}, block int").join(words, ["job_id", "ix"])
+    if min_words < 2:
+        raise ValueError("a block ends early with two words at least")
+    at = F.col("ix") / F.lit(PIECE) * scan.CHUNK  # a chunk of the scans is a piece of places
+    slim = words.select("job_id", "ix", "t_in", "t_out", F.length("text").cast("long").alias("n"), F.col("text").rlike("[.!?…]['\")\\]]*$").alias("full"))
+    order = ["ix", "t_in"]
+    placed = scan.running(scan.neighbour(slim, at, order, {"next_in": "t_in"}), at, order, {"r": ("sum", F.lit(1)), "q": ("sum", F.col("n") + 1)})
+    stops = F.when(F.col("next_in").isNull(), False).otherwise(F.col("full") | (F.col("next_in") - F.col("t_out") >= pause))
+    # r: words before, q: letters and spaces before
+    word = placed.select("job_id", "ix", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("q", F.lit(0)).alias("q"), "n", stops.alias("stops"))
+    # a piece sees the head of the next one, as far as a block that begins within it may reach: words have no less than no letters
+    size, reach = max(PIECE, limit + 2), limit + 2
+    own = F.floor(F.col("r") / size)
+    pieces = F.when(F.col("r") % size < reach, F.array(own, own - 1)).otherwise(F.array(own))
+    seen = word.select("*", F.explode(pieces).alias("piece")).where("piece >= 0")
+    each = F.struct("r", "q", "n", "stops", "ix", (own == F.col("piece")).alias("own"))
+    per = seen.groupBy("job_id", "piece").agg(F.array_sort(F.collect_list(each)).alias("w"))
+    per = per.select("job_id", "piece", "w", F.size(F.filter("w", lambda x: x["own"])).alias("m"))
+
+    def follows(x: Column, k: Column) -> Column:
+        """How far after place k, where x stands, the next block begins."""
+        ahead = F.slice("w", k + 2, limit + 1)
+        fits = F.filter(ahead, lambda y: y["q"] + y["n"] - x["q"] <= limit)
+        ends = F.transform(fits, lambda y, i: F.when(y["stops"] & (i + 2 >= min_words), i + 2))
+        return F.coalesce(F.array_min(ends), F.size(fits) + 1)
+
+    jumps = per.select("job_id", "piece", "m", F.transform(F.filter("w", lambda x: x["own"]), lambda x: x["ix"]).alias("ix"), F.transform(F.filter("w", lambda x: x["own"]), lambda x, k: (k + follows(x, k)).cast("int")).alias("next"))
+    # from the last place back: (where the first block beyond the piece begins, how many begin from here on)
+    way = "struct<out: int, n: int>"
+
+    def back(acc: Column, k: Column) -> Column:
+        to = F.element_at("next", k + 1)
+        beyond = F.struct((to - F.col("m")).cast("int").alias("out"), F.lit(1).alias("n"))
+        further = F.get(acc, to - k - 1)
+        return F.concat(F.array(F.when(to >= F.col("m"), beyond).otherwise(F.struct(further["out"].alias("out"), (further["n"] + 1).alias("n")))), acc)
+
+    ways = F.aggregate(F.sequence(F.col("m") - 1, F.lit(0), F.lit(-1)), F.array().cast(f"array<{way}>"), back)
+    tables = jumps.select("job_id", "piece", F.slice(ways, 1, reach).alias("ways"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("block"), F.array().cast("array<struct<piece: bigint, at: int, block: bigint>>").alias("all"))
+
+    def enter(acc: Column, t: Column) -> Column:
+        here = F.struct(t["piece"].alias("piece"), acc["at"].alias("at"), acc["block"].alias("block"))
+        way_on = F.get(t["ways"], acc["at"])
+        # a block may reach over a short last piece: then nothing begins in it
+        return F.struct(F.coalesce(way_on["out"], F.lit(0)).alias("at"), (acc["block"] + F.coalesce(way_on["n"], F.lit(0))).alias("block"), F.concat(acc["all"], F.array(here)).alias("all"))
+
+    entries = tables.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ways"))).alias("t")).select("job_id", F.explode(F.aggregate("t", start, enter)["all"]).alias("e"))
+    entered = jumps.join(entries.select("job_id", "e.piece", "e.at", "e.block"), ["job_id", "piece"])
+    first = F.struct(F.col("at").alias("next"), (F.col("block") - 1).alias("block"), F.array().cast("array<bigint>").alias("all"))
+
+    def number(acc: Column, k: Column) -> Column:
+        begins = acc["next"] == k
+        block = F.when(begins, acc["block"] + 1).otherwise(acc["block"])
+        return F.struct(F.when(begins, F.element_at("next", k + 1)).otherwise(acc["next"]).alias("next"), block.alias("block"), F.concat(acc["all"], F.array(block)).alias("all"))
+
+    blocks = F.aggregate(F.sequence(F.lit(0), F.col("m") - 1), first, number)["all"]
+    numbered = entered.select("job_id", F.explode(F.arrays_zip("ix", blocks.alias("block"))).alias("z")).select("job_id", "z.ix", F.col("z.block").cast("int").alias("block"))
+    return numbered.join(words, ["job_id", "ix"])
 
 
 def active_windows(blocks: DataFrame, words: DataFrame) -> DataFrame:

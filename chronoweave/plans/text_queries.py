@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -98,12 +100,59 @@ def active_word_windows(spark, d):
     return _rounded(ts.active_windows(ad.blocks(spark, d), ad.block_words(spark, d)), "t_in", "t_out")
 
 
-@_q(None)
+#: Alignment cell by cell, by growing i + j, within a band that every way of at most so many edits stays in: each cell hands its cost and way to the three that follow it, and takes the best of what it is
+#: handed (pairs before omissions before insertions). left_(job_id, i, key), right_(job_id, j, key) and sizes(job_id, n, m, band) come before it; best(job_id, cost, way) after.
+_WALK = """handed AS (
+  SELECT job_id, 0 AS k, 0 AS i, 0 AS j, 0 AS cost, 0 AS turn, '' AS way FROM sizes
+  UNION ALL
+  SELECT job_id, k, i, j, cost, turn, way FROM (
+    WITH here AS (SELECT job_id, k, i, j, min({'cost': cost, 'turn': turn, 'way': way}) AS best FROM handed WHERE i + j = k GROUP BY ALL),
+    ahead AS (
+      SELECT h.job_id, h.k + 1 AS k, h.i + 1 AS i, h.j + 1 AS j, best.cost + CASE WHEN l.key = r.key THEN 0 ELSE 1 END AS cost, 0 AS turn, best.way || CASE WHEN l.key = r.key THEN '=' ELSE 'S' END AS way
+      FROM here h JOIN left_ l ON l.job_id = h.job_id AND l.i = h.i + 1 JOIN right_ r ON r.job_id = h.job_id AND r.j = h.j + 1
+      UNION ALL SELECT job_id, k + 1, i + 1, j, best.cost + 1, 1, best.way || 'O' FROM here
+      UNION ALL SELECT job_id, k + 1, i, j + 1, best.cost + 1, 2, best.way || 'I' FROM here
+      UNION ALL SELECT job_id, k + 1, i, j, cost, turn, way FROM handed WHERE i + j > k
+    )
+    SELECT a.* FROM ahead a JOIN sizes s ON s.job_id = a.job_id WHERE i <= n AND j <= m AND 2 * (i - j) <= band + n - m AND 2 * (j - i) <= band - n + m
+  )
+), best AS (
+  SELECT job_id, b.cost AS cost, b.way AS way FROM (SELECT h.job_id, min({'cost': cost, 'turn': turn, 'way': way}) AS b FROM handed h JOIN sizes s ON s.job_id = h.job_id AND h.i = n AND h.j = m GROUP BY h.job_id)
+)"""
+_EDGE = r"lower(regexp_replace(text, '^[^\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}]+$', '', 'g'))"
+_HEARD = "SELECT job_id, ix, t_in, t_out, CASE WHEN ix % 23 = 0 THEN 'other' ELSE text END AS text FROM said WHERE ix % 17 <> 0"
+_DIFF = dict(
+    turn_words=ad.CTES["turn_words"], said=_TURNS["said"], heard=_HEARD,
+    left_=f"SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ix) AS i, t_in, t_out, text, {_EDGE} AS key FROM said",
+    right_=f"SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ix) AS j, t_in, t_out, text, {_EDGE} AS key FROM heard",
+    sizes="SELECT job_id, count(*) AS n, count(*) FILTER (ix % 17 <> 0) AS m, count(*) FILTER (ix % 17 = 0 OR ix % 23 = 0) AS band FROM said GROUP BY job_id",
+)
+_STEPS = dict(
+    letters="SELECT job_id, p, substr(way, p, 1) AS letter, length(replace(substr(way, 1, p), 'I', '')) AS i, length(replace(substr(way, 1, p), 'O', '')) AS j FROM (SELECT job_id, way, unnest(range(1, length(way) + 1)) AS p FROM best)",
+    diff="""SELECT d.job_id, CAST(p - 1 AS INTEGER) AS step, CASE letter WHEN 'S' THEN 'substitution' WHEN 'O' THEN 'omission' ELSE 'insertion' END AS kind, l.text AS expected, r.text AS actual,
+      CASE letter WHEN 'I' THEN r.t_in ELSE l.t_in END AS "at", CASE letter WHEN 'I' THEN r.t_out ELSE l.t_out END AS until
+      FROM letters d LEFT JOIN left_ l ON l.job_id = d.job_id AND l.i = d.i AND letter <> 'I' LEFT JOIN right_ r ON r.job_id = d.job_id AND r.j = d.j AND letter <> 'O' WHERE letter <> '='""",
+)
+_RATES = _STEPS | dict(
+    lengths=_TURNS["lengths"], cuts="SELECT job_id, unnest(range(1, greatest(1, CAST(floor(duration / 10) AS BIGINT)) + 1)) * 10.0::DOUBLE AS cut FROM lengths",
+    seams="SELECT d.job_id, step, bool_or(cut IS NOT NULL) AS seam FROM diff d LEFT JOIN cuts c ON c.job_id = d.job_id AND cut >= d.at - 0.3::DOUBLE AND cut <= until + 0.3::DOUBLE GROUP BY ALL",
+)
+
+
+def _walked(body: str, before: dict[str, str], after: dict[str, str], ways: bool = True) -> str:
+    """ways=False: the cost alone."""
+    walk = _WALK if ways else re.sub(r"best\.way \|\| (CASE [^,]*? END|'.')", "''", _WALK)
+    ctes = lambda x: ",\n".join(f"{k} AS {'MATERIALIZED ' * (k in ('left_', 'right_', 'sizes'))}({v})" for k, v in x.items())
+    return f"WITH RECURSIVE {ctes(before)},\n{walk}" + (",\n" + ctes(after) if after else "") + "\n" + body
+
+
+@_q(_walked("SELECT job_id, step, kind, expected, actual, round(d.at, 6) AS \"at\", round(until, 6) AS until FROM diff d", _DIFF, _STEPS))
 def word_diff(spark, d):
-    return ts.word_diff(_said(spark, d), _heard(spark, d))
+    return _rounded(ts.word_diff(_said(spark, d), _heard(spark, d)), "at", "until")
 
 
-@_q(None)
+@_q(_walked("""SELECT s.job_id, s.n AS expected_words, count(step) FILTER (NOT seam) AS n_real, count(step) FILTER (seam) AS n_at_seam, count(step) FILTER (NOT seam) / s.n AS wer
+  FROM sizes s LEFT JOIN seams e ON e.job_id = s.job_id GROUP BY s.job_id, s.n""", _DIFF, _RATES))
 def transcript_wer(spark, d):
     cuts = _lengths(spark, d).select("job_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("duration") / 10).cast("int")))).alias("k")).select("job_id", (F.col("k") * 10.0).alias("cut"))
     return ts.word_error_rate(_said(spark, d), _heard(spark, d), cuts)
@@ -176,12 +225,27 @@ def _plain_pairs(spark, d):
     return both.join(heard, "job_id", "left").select("job_id", line("e").alias("expected"), line("h").alias("heard"))
 
 
-@_q(None)
+_TOKENS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+_PLAIN = dict(
+    turn_words=ad.CTES["turn_words"], said=_TURNS["said"], heard=_HEARD, own=f"SELECT job_id, ix, {_TOKENS.format('text')} AS t FROM said", other=f"SELECT job_id, ix, {_TOKENS.format('text')} AS t FROM heard",
+    left_="SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ix, k) AS i, t[k] AS key FROM (SELECT job_id, ix, t, unnest(range(1, len(t) + 1)) AS k FROM own)",
+    right_="SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ix, k) AS j, t[k] AS key FROM (SELECT job_id, ix, t, unnest(range(1, len(t) + 1)) AS k FROM other)",
+    sizes="""SELECT o.job_id, CAST(sum(len(o.t)) AS BIGINT) AS n, CAST(coalesce(sum(len(h.t)), 0) AS BIGINT) AS m, sum(CASE WHEN o.ix % 17 = 0 THEN len(o.t) WHEN o.ix % 23 = 0 THEN greatest(len(o.t), 1) ELSE 0 END) AS band
+      FROM own o LEFT JOIN other h ON h.job_id = o.job_id AND h.ix = o.ix GROUP BY o.job_id""",
+)
+
+
+@_q(_walked("SELECT b.job_id AS job_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(cost / n, 4) END AS wer FROM best b JOIN sizes s ON s.job_id = b.job_id", _PLAIN, {}, ways=False))
 def plain_wer(spark, d):
     return ts.plain_error_rate(_plain_pairs(spark, d))
 
 
-@_q(None)
+_FOUND = """SELECT job_id, 'transcript' AS "check", 'FAIL' AS severity, 'words differ' AS message, n_real / n AS value, 0.1::DOUBLE AS "limit" FROM counted WHERE n_real / n > 0.1
+  UNION ALL SELECT job_id, 'transcript_seams', 'INFO', 'differences at cuts', 0.0, 0.0 FROM counted UNION ALL SELECT job_id, 'transcript_words', 'INFO', 'words expected', n, 0.0 FROM counted"""
+_COUNTED = _STEPS | dict(counted="SELECT s.job_id, n, count(step) AS n_real FROM sizes s LEFT JOIN diff d ON d.job_id = s.job_id GROUP BY s.job_id, n")
+
+
+@_q(_walked(_FOUND, _DIFF, _COUNTED))
 def transcript_findings(spark, d):
     from ..operators import checks
 

@@ -193,6 +193,47 @@ def test_word_diff_and_rate(spark):
     assert (r.n_real, r.n_at_seam, r.wer) == (1, 1, 0.25)
 
 
+def plain_blocks(words, limit, pause, least):
+    import re
+
+    out, block, size, count = [], 0, 0, 0
+    for k, (a, b, text) in enumerate(words):
+        last = k + 1 == len(words)
+        ends = not last and (re.search("[.!?…]['\")\\]]*$", text) is not None or words[k + 1][0] - b >= pause)
+        if count and size + len(text) + 1 > limit:
+            block, size, count, stop = block + 1, len(text), 1, False
+        else:
+            size, count = size + 1 + len(text) if count else len(text), count + 1
+            stop = count >= least and ends
+        out.append(block)
+        if stop:
+            block, size, count = block + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("limit,least", [(42, 2), (10, 3), (300, 2)])
+def test_blocks_by_jumps(spark, monkeypatch, limit, least):
+    import random
+
+    rng = random.Random(limit)
+    jobs = {}
+    for job, n in enumerate([1, 2, 7, 255, 256, 257, 700, 1500]):
+        t, words = 0.0, []
+        for _ in range(n):
+            t += rng.choice([0.0, 0.1, 0.5])
+            words.append((t, t + 0.3, "x" * rng.choice([0, 1, 2, 5, 9, 60]) + rng.choice(["", "", "", ".", '?"', "…"])))
+            t += 0.3
+        jobs[job] = words
+    rows = [(j, i, a, b, x) for j, ws in jobs.items() for i, (a, b, x) in enumerate(ws)]
+    df = spark.createDataFrame(rows, "job_id long, ix int, t_in double, t_out double, text string")
+    monkeypatch.setattr(transcripts, "PIECE", 64)
+    got = {}
+    for r in transcripts.pack_blocks(df, limit, min_words=least).orderBy("job_id", "ix").collect():
+        got.setdefault(r.job_id, []).append(r.block)
+    assert got == {j: plain_blocks(ws, limit, 0.45, least) for j, ws in jobs.items()}
+    assert transcripts.pack_blocks(df.where("false"), limit).count() == 0
+
+
 def test_aligned_words_stay_in_order_and_inside(spark):
     script = spark.createDataFrame([(1, i, t) for i, t in enumerate("a b c d e f".split())], "job_id long, ix int, text string")
     heard = spark.createDataFrame([(1, 0, 0.1, 0.2, "b"), (1, 1, 0.5, 0.6, "e")], "job_id long, ix int, t_in double, t_out double, text string")
