@@ -21,7 +21,8 @@ def captions_fit(max_chars: Column, type_scale: Column, box_w: Column, width: Co
 
 
 def window_fit(source_w: Column, source_h: Column, width: Column, height: Column, zoom: Column) -> Column:
-    """The part of the source that has the output's shape, tightened by the zoom, in shares."""
+    """The part of the source that has the output's shape, tightened by the zoom (below 1 it loosens nothing), in shares."""
+    zoom = F.greatest(zoom, F.lit(1.0))
     aspect = (width / height) / (source_w / source_h)
     return F.struct((F.least(F.lit(1.0), aspect) / zoom).alias("w"), (F.least(F.lit(1.0), 1 / aspect) / zoom).alias("h"))
 

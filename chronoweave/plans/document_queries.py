@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import checks, documents
+from ..operators import checks, documents, stages
 from ..sources import store
 from . import adapters as ad
 from .adapters import sql
@@ -112,3 +112,32 @@ def accepted_by_profile(spark, d):
 @_q("SELECT DISTINCT o_custkey AS job_id, o_orderstatus AS profile FROM orders")
 def rendered_profiles(spark, d):
     return store.rendered_profiles(ad.read(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderstatus").alias("profile")))
+
+
+#: A document for each order, and what became of it: by the order's number one column is another one now.
+_CHANGED = {0: "source_digest", 1: "asr", 2: "narration_script", 3: "capacity", 4: "trim", 5: "focus", 6: "profile_encode", 7: "profile_budget"}
+_STALE = """WITH RECURSIVE reads(stage, col) AS (VALUES
+    ('transcribe', 'source_digest'), ('transcribe', 'asr'), ('tts', 'narration_script'), ('align', 'narration_script'), ('align', 'asr'), ('plan_captions', 'capacity'), ('trim', 'trim'),
+    ('plan_edit', 'focus'), ('plan_overlays', 'focus'), ('plan_focus', 'focus'), ('compile', 'source_digest'), ('compile', 'focus'), ('compile', 'narration_script'), ('compile', 'profile_budget'),
+    ('render', 'source_digest'), ('render', 'profile_encode'), ('verify_transcript', 'profile_budget'), ('verify', 'source_digest'), ('verify', 'focus'), ('verify', 'narration_script'),
+    ('verify', 'profile_encode'), ('verify', 'profile_budget'), ('metadata', 'narration_script')),
+  follows(stage, first) AS (VALUES ('plan_captions', 'transcribe'), ('plan_captions', 'align'), ('emphasis', 'plan_captions'), ('trim', 'transcribe'), ('trim', 'align'), ('align', 'tts'), ('plan_edit', 'trim'),
+    ('plan_edit', 'transcribe'), ('plan_edit', 'align'), ('plan_overlays', 'transcribe'), ('plan_overlays', 'align'), ('compile', 'plan_focus'), ('render', 'compile'), ('verify_transcript', 'render'),
+    ('verify_transcript', 'transcribe'), ('verify_transcript', 'align'), ('verify', 'plan_focus'), ('verify', 'compile'), ('verify', 'render'), ('verify', 'verify_transcript'), ('verify', 'trim')),
+  has(recipe, stage) AS (SELECT r, stage FROM (SELECT stage FROM reads UNION SELECT 'emphasis') s, (VALUES ('recorded'), ('synthesized')) v(r) WHERE stage NOT IN ('tts', 'align') AND r = 'recorded' OR stage <> 'transcribe' AND r = 'synthesized'),
+  docs AS (SELECT o_orderkey AS job_id, CASE o_custkey % 2 WHEN 0 THEN 'recorded' ELSE 'synthesized' END AS recipe, ['source_digest', 'asr', 'narration_script', 'capacity', 'trim', 'focus', 'profile_encode', 'profile_budget'][CAST(o_orderkey % 9 AS INT) + 1] AS col FROM orders),
+  dirty(job_id, recipe, stage, own) AS (
+    SELECT job_id, d.recipe, r.stage, true FROM docs d JOIN reads r ON r.col = d.col JOIN has h ON h.recipe = d.recipe AND h.stage = r.stage
+    UNION SELECT job_id, x.recipe, f.stage, false FROM dirty x JOIN follows f ON f.first = x.stage JOIN has h ON h.recipe = x.recipe AND h.stage = f.stage)
+SELECT job_id, recipe, stage, bool_or(own) AS own FROM dirty GROUP BY job_id, recipe, stage"""
+
+
+@_q(_STALE)
+def stale_stages(spark, d):
+    o = ad.read(spark, d, "orders")
+    k = F.col("o_orderkey") % 9
+    held = {"source_duration": F.col("o_totalprice"), "source_has_audio": F.lit(True), "model_id": F.lit("m")} | {c: F.col("o_orderstatus") for c in _CHANGED.values()}
+    doc = lambda values: o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("created_at"), *(v.alias(n) for n, v in values.items()))
+    before, now = doc(held), doc(held | {c: F.when(k == n, "new").otherwise(held[c]) for n, c in _CHANGED.items()}).withColumn("created_at", F.lit(None))
+    found = [stages.stale(before.where(F.col("c") % 2 == r), now.where(F.col("c") % 2 == r), name).withColumn("recipe", F.lit(name)) for r, name in enumerate(("recorded", "synthesized"))]
+    return found[0].unionByName(found[1])

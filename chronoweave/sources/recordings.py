@@ -115,7 +115,7 @@ def read_measurements(spark: SparkSession, path: str) -> DataFrame:
 
 def content_key(stage: Column, version: Column, inputs: list[str], params: list[str]) -> Column:
     """sha256 of compact JSON with keys in sorted order, nulls kept: equal inputs and parameters have equal keys."""
-    inner = lambda cols: F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
+    inner = lambda cols: F.sha2(F.to_json(F.struct(*sorted(cols, key=str)), {"ignoreNullFields": "false"}), 256)
     whole = F.struct(inner(inputs).alias("input_hash"), inner(params).alias("params_hash"), stage.alias("stage"), version.alias("stage_version"))
     return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
 
