@@ -143,6 +143,11 @@ def overlay_findings(verdicts: DataFrame) -> DataFrame:
     return _finding(n.where("out > 0"), "overlay_safe_area", "FAIL", "overlays leave the safe area", F.col("out"), 0.0).unionByName(_finding(n.where("over > 0"), "overlay_occlusion", "FAIL", "overlays sit on a caption", F.col("over"), 0.0))
 
 
+def mid_word(cuts: DataFrame) -> DataFrame:
+    """cuts(job_id, n): jobs whose removals begin or end within a word."""
+    return _finding(cuts.where("n > 0"), "cut_mid_word", "FAIL", "cuts inside words", F.col("n"), 0.0)
+
+
 def verify(*findings: DataFrame) -> DataFrame:
     """All checks' findings in one table. No check stops another; a job that all pass has no row."""
     return reduce(DataFrame.unionByName, (f.select(*FINDINGS) for f in findings))

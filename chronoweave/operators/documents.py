@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import word_budget
 from ..functions.time import EPS
 from ..sources.recordings import content_key
 from .frames import with_path
@@ -75,3 +76,69 @@ def edit_content(durations: DataFrame, words: DataFrame, removals: DataFrame, po
         F.coalesce("active", F.lit("cursor: no track")),
     )
     return j.select("job_id", content.alias("content"))
+
+
+def _one(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
+def _in_order(lines: Column, order: list[str], by: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, lines.alias("line")))), lambda x: x["line"]), by)
+
+
+def attention(points: DataFrame) -> DataFrame:
+    """job_id, attention: where clicks and rests were, by two seconds up to the last point of points(job_id, t, x, y, kind); movement alone is not told."""
+    ends = points.groupBy("job_id").agg(F.max("t").alias("end"))
+    notable = points.join(ends, "job_id").where("t < end").where(F.col("kind").isin("click", "dwell"))
+    start = F.col("b") * 2.0
+    per = notable.groupBy("job_id", "end", F.floor(F.col("t") / 2).alias("b")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count_if(F.col("kind") == "click").alias("clicks"), F.count_if(F.col("kind") == "dwell").alias("dwell"))
+    at = F.concat(F.lit("] at ("), _two(F.col("x")), F.lit(", "), _two(F.col("y")), F.lit("), "), F.col("clicks").cast("string"), F.lit(" clicks, "), F.col("dwell").cast("string"), F.lit(" dwell"))
+    line = F.concat(F.lit("["), _one(start), F.lit("-"), _one(F.least(start + 2.0, F.col("end"))), at)
+    told = per.where(start < F.col("end") - EPS).groupBy("job_id").agg(_in_order(line, ["b"], "\n").alias("told"))
+    head = F.lit("cursor attention by 2s bucket, normalized source coordinates:\n")
+    return ends.join(told, "job_id", "left").select("job_id", F.concat(head, F.coalesce("told", F.lit("  (no clicks or dwell)"))).alias("attention"))
+
+
+def overlay_content(durations: DataFrame, words: DataFrame, points: DataFrame, templates: list[str]) -> DataFrame:
+    """job_id, content: what a model is shown to place overlays; formats and fixed lines are those of the surveyed prompt. A job's words meet in one task."""
+    word = F.concat(F.lit("["), _two(F.col("t_in")), F.lit("-"), _two(F.col("t_out")), F.lit("] "), F.col("text"))
+    said = words.groupBy("job_id").agg(_in_order(word, ["ix"], " ").alias("said"))
+    j = durations.select("job_id", "duration").join(said, "job_id", "left").join(attention(points), "job_id", "left")
+    content = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Source duration: "), _two(F.col("duration")), F.lit("s")), F.lit(""),
+        F.lit("Templates available: " + ", ".join(templates)), F.lit(""),
+        F.lit("Transcript, [start-end] word:"), F.coalesce("said", F.lit("  (no speech)")), F.lit(""),
+        F.coalesce("attention", F.lit("cursor: no track")),
+    )
+    return j.select("job_id", content.alias("content"))
+
+
+def _stripped(c: str) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def script_content(jobs: DataFrame, activity: DataFrame, per_second: float = 2.5) -> tuple[DataFrame, DataFrame]:
+    """(drafts, without): job_id, content for each of jobs(job_id, brief, duration) that has a brief, and the jobs that have none. activity(job_id, active): what
+    edit_content tells of the cursor. The budget of words is one at least; fixed lines are those of the surveyed prompt."""
+    brief = jobs.withColumn("brief", _stripped("brief"))
+    j = brief.where("brief <> ''").join(activity.select("job_id", "active"), "job_id", "left")
+    words = word_budget(F.col("duration"), per_second)
+    content = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Recording length: "), _two(F.col("duration")), F.lit("s")),
+        F.concat(F.lit("Word budget: about "), words.cast("string"), F.lit(f" words (at {per_second:g} words/second; going over is a failed job, not a long one)")), F.lit(""),
+        F.lit("Brief, in the author's own words:"), F.col("brief"), F.lit(""),
+        F.coalesce("active", F.lit("cursor: no track")),
+    )
+    return j.select("job_id", content.alias("content")), brief.where("brief = ''").select("job_id")
+
+
+def copy_content(renders: DataFrame) -> DataFrame:
+    """job_id, profile, content of renders(job_id, profile, width, height, duration, spoken, script): what a model is shown to describe a render. The script is
+    told only where it differs from what is heard; fixed lines are those of the surveyed prompt."""
+    r = renders.withColumns({"spoken": _stripped("spoken"), "script": _stripped("script")})
+    head = F.concat(F.lit("Render: "), "profile", F.lit(" ("), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("), "), _one(F.col("duration")), F.lit("s as edited."))
+    heard = F.when(F.col("spoken") != "", F.col("spoken")).otherwise("(nothing is said in this render)")
+    script = F.when((F.col("script") != "") & (F.col("script") != F.col("spoken")), F.concat(F.lit("\n\nThe full script, for context (the render above is the edit of it):\n"), "script")).otherwise("")
+    return r.select("job_id", "profile", F.concat(head, F.lit("\n\nWhat a viewer of this render hears:\n"), heard, script).alias("content"))

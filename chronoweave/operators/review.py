@@ -183,6 +183,18 @@ def windowed_median(values: DataFrame, last: int, least: int) -> DataFrame:
     return values.withColumn("r", F.row_number().over(w)).where(F.col("r") <= last).groupBy("job_id").agg(F.count("*").alias("n"), F.median("value").alias("middle")).where(F.col("n") >= least)
 
 
+def preference_changes(values: DataFrame, last: int, least: int) -> DataFrame:
+    """profile, key, old_value, new_value, caused_by, changed_at of values(profile, key, at, id, value): each value after which the median of the last ones, of
+    `least` or more, is another one than before by more than EPS (an extension). Nulls are left out. Each row looks at `last` values; streaming.preference_changes does the same by state."""
+    w = Window.partitionBy("profile", "key").orderBy("at", "id")
+    recent = F.array_sort(F.collect_list("value").over(w.rowsBetween(1 - last, Window.currentRow)))
+    n = F.size("recent")
+    middle = (F.get("recent", F.floor((n - 1) / 2).cast("int")) + F.get("recent", F.floor(n / 2).cast("int"))) / 2
+    rows = values.where("value IS NOT NULL").withColumn("recent", recent).withColumn("new_value", F.when(n >= least, middle)).withColumn("old_value", F.lag("new_value").over(w))
+    moved = rows.where(F.col("new_value").isNotNull() & F.coalesce(F.abs(F.col("new_value") - F.col("old_value")) > EPS, F.lit(True)))
+    return moved.select("profile", "key", "old_value", "new_value", F.col("id").alias("caused_by"), F.col("at").alias("changed_at"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_oldest: str) -> DataFrame:
     """Rows by key: new ones replace old ones, but the column keep_oldest stays the oldest."""
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import checks, documents, stages
+from ..operators import checks, documents, review, sketches, stages
 from ..sources import store
-from . import adapters as ad
+from . import adapters as ad, interval_queries, review_queries, text_queries, track_queries
 from .adapters import sql
 
 Q, S = {}, {}
@@ -141,3 +141,86 @@ def stale_stages(spark, d):
     before, now = doc(held), doc(held | {c: F.when(k == n, "new").otherwise(held[c]) for n, c in _CHANGED.items()}).withColumn("created_at", F.lit(None))
     found = [stages.stale(before.where(F.col("c") % 2 == r), now.where(F.col("c") % 2 == r), name).withColumn("recipe", F.lit(name)) for r, name in enumerate(("recorded", "synthesized"))]
     return found[0].unionByName(found[1])
+
+
+_TEMPLATES = ["callout_arrow", "highlight_box", "label_chip", "progress_pill"]
+
+
+@_q(sql("""SELECT job_id, sha256('Source duration: ' || printf('%.2f', duration) || 's' || chr(10) || chr(10) || 'Templates available: callout_arrow, highlight_box, label_chip, progress_pill' || chr(10) || chr(10) || 'Transcript, [start-end] word:' || chr(10)
+  || coalesce(said, '  (no speech)') || chr(10) || chr(10) || 'cursor attention by 2s bucket, normalized source coordinates:' || chr(10) || coalesce(act, '  (no clicks or dwell)')) AS content_sha256 FROM durations
+  LEFT JOIN (SELECT job_id, string_agg(printf('[%.2f-%.2f] ', t_in, t_out) || text, ' ' ORDER BY block_ix * 3 + word_ix) AS said FROM block_words GROUP BY job_id) USING (job_id)
+  LEFT JOIN (SELECT job_id, string_agg(printf('[%.1f-%.1f] at (%.2f, %.2f), ', b * 2.0::DOUBLE, least(b * 2.0::DOUBLE + 2, duration), x, y) || clicks || ' clicks, ' || dwell || ' dwell', chr(10) ORDER BY b) AS act FROM
+    (SELECT job_id, duration, floor(t / 2) AS b, avg(floor(x * 64) / 64) AS x, avg(floor(y * 64) / 64) AS y, count(*) FILTER (kind = 'click') AS clicks, count(*) FILTER (kind = 'dwell') AS dwell FROM points JOIN durations USING (job_id) WHERE t < duration AND kind IN ('click', 'dwell') GROUP BY ALL)
+    WHERE b * 2.0::DOUBLE < duration - 1e-6 GROUP BY job_id) USING (job_id)"""))
+def overlay_content(spark, d):
+    w = ad.block_words(spark, d).withColumn("ix", F.col("block_ix") * 3 + F.col("word_ix"))
+    # places in 64ths, so that sums do not depend on their order
+    p = ad.points(spark, d).withColumns({c: F.floor(F.col(c) * 64) / 64 for c in ("x", "y")})
+    c = documents.overlay_content(ad.durations(spark, d), w, p, _TEMPLATES)
+    return c.select("job_id", F.sha2("content", 256).alias("content_sha256"))
+
+
+_SPOKEN = r"SELECT conv_id * 1000 + turn AS job_id, turn, coalesce(text, '') AS said, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS brief, length(coalesce(text, '')) / 15.0::DOUBLE AS duration FROM conversations"
+
+
+@_q(f"""SELECT job_id, sha256('Recording length: ' || printf('%.2f', duration) || 's' || chr(10) || 'Word budget: about ' || CAST(greatest(floor(duration * 2.5), 1) AS BIGINT) || ' words (at 2.5 words/second; going over is a failed job, not a long one)'
+  || chr(10) || chr(10) || 'Brief, in the author''s own words:' || chr(10) || brief || chr(10) || chr(10) || 'cursor: no track') AS content_sha256 FROM ({_SPOKEN}) WHERE brief <> ''""")
+def script_content(spark, d):
+    c = ad.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), F.col("text").alias("brief"), (F.length(F.coalesce("text", F.lit(""))) / F.lit(15.0)).alias("duration"))
+    drafts, _ = documents.script_content(c, spark.createDataFrame([], "job_id long, active string"))
+    return drafts.select("job_id", F.sha2("content", 256).alias("content_sha256"))
+
+
+@_q(f"""SELECT job_id, 'short' AS profile, sha256('Render: short (1080x1920), ' || printf('%.1f', duration) || 's as edited.' || chr(10) || chr(10) || 'What a viewer of this render hears:' || chr(10) || CASE WHEN heard = '' THEN '(nothing is said in this render)' ELSE heard END
+  || CASE WHEN brief NOT IN ('', heard) THEN chr(10) || chr(10) || 'The full script, for context (the render above is the edit of it):' || chr(10) || brief ELSE '' END) AS content_sha256 FROM (SELECT *, CASE turn % 3 WHEN 0 THEN brief WHEN 1 THEN '' ELSE 'A few words.' END AS heard FROM ({_SPOKEN}))""")
+def copy_content(spark, d):
+    c = ad.read(spark, d, "conversations")
+    heard = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, " ").otherwise("A few words.")
+    r = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), F.lit("short").alias("profile"), F.lit(1080).alias("width"), F.lit(1920).alias("height"), (F.length(F.coalesce("text", F.lit(""))) / F.lit(15.0)).alias("duration"), heard.alias("spoken"), F.col("text").alias("script"))
+    return documents.copy_content(r).select("job_id", "profile", F.sha2("content", 256).alias("content_sha256"))
+
+
+@_q("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS current, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS proposed FROM orders""")
+def document_views(spark, d):
+    o = ad.read(spark, d, "orders").withColumnRenamed("o_orderkey", "job_id")
+    return store.document_views(o.select("job_id", F.col("o_orderstatus").alias("document")), o.where("job_id % 3 = 0").select("job_id", F.col("o_orderpriority").alias("document")))
+
+
+@_q("SELECT CAST(l_suppkey AS BIGINT) AS profile, fraction, CAST(count(*) AS BIGINT) AS n, true AS within FROM lineitem, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) f(fraction) GROUP BY ALL")
+def sketched_quantiles(spark, d):
+    """Sketches by profile and run, merged over runs, held against exact ranks: each is within 3 % of its rank."""
+    v = ad.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("profile"), (F.col("l_orderkey") % 5).alias("run"), F.col("l_extendedprice").alias("value"))
+    q = sketches.quantiles(sketches.merged(sketches.sketched(v, ["profile", "run"]), ["profile"]), [0.1, 0.5, 0.9])
+    j = q.join(v.select("profile", F.col("value").alias("v")), "profile").groupBy("profile", "fraction", "n").agg(F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    share = F.col("fraction") * F.col("n")
+    within = (F.col("below") - 0.03 * F.col("n") - 1 <= share) & (share <= F.col("upto") + 0.03 * F.col("n") + 1)
+    return j.select(F.col("profile").cast("long").alias("profile"), "fraction", F.col("n").cast("long").alias("n"), within.alias("within"))
+
+
+@_q("""SELECT profile, key, old_value, new_value, caused_by, changed_at FROM (SELECT *, lag(new_value) OVER w AS old_value FROM (SELECT event_type AS profile, CAST(user_id % 10 AS VARCHAR) AS key, event_id AS caused_by, ts AS changed_at,
+    CASE WHEN count(*) OVER v >= 3 THEN median(value) OVER v END AS new_value FROM events WHERE value IS NOT NULL WINDOW v AS (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+  WINDOW w AS (PARTITION BY profile, key ORDER BY changed_at, caused_by)) WHERE new_value IS NOT NULL AND coalesce(abs(new_value - old_value) > 1e-6, true)""")
+def preference_changes(spark, d):
+    e = ad.read(spark, d, "events").select(F.col("event_type").alias("profile"), (F.col("user_id") % 10).cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), "value")
+    return review.preference_changes(e, 7, 3)
+
+
+def _overlay_findings(spark, d):
+    return checks.overlay_findings(overlay_boxes(spark, d))
+
+
+_PARTS = ("loudness_findings", "duration_findings", "edit_totality_findings", "budget_findings", "dialogue_findings", "caption_checks")
+_ALL = " UNION ALL ".join(
+    [f"SELECT * FROM ({review_queries.S[n]})" for n in _PARTS] + [f"SELECT * FROM ({track_queries.S['crop_continuity_findings']})", f"SELECT * FROM ({text_queries.S['transcript_findings']})"]
+    + [f"""SELECT job_id, '{check}', 'FAIL', '{message}', count(*), 0.0 FROM ({S['overlay_boxes']}) WHERE verdict = '{verdict}' GROUP BY job_id"""
+       for check, verdict, message in (("overlay_safe_area", "outside", "overlays leave the safe area"), ("overlay_occlusion", "over_caption", "overlays sit on a caption"))]
+    + [f"SELECT job_id, 'cut_mid_word', 'FAIL', 'cuts inside words', n, 0.0 FROM ({interval_queries.S['cut_mid_word']})"]
+)
+
+
+@_q(f"""SELECT job_id, "check", severity, message, round(value, 6) AS value, "limit" FROM ({_ALL})""")
+def every_finding(spark, d):
+    """All checks of the library in one table."""
+    parts = [review_queries.Q[n](spark, d) for n in _PARTS] + [track_queries.Q["crop_continuity_findings"](spark, d), text_queries.Q["transcript_findings"](spark, d)]
+    parts += [_overlay_findings(spark, d), checks.mid_word(interval_queries.cut_mid_word(spark, d))]
+    return checks.verify(*(p.withColumn("value", F.col("value").cast("double")) for p in parts)).withColumn("value", F.round("value", 6))

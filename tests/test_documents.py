@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as tx
@@ -73,3 +74,70 @@ def test_store_tables_append_scan_delete(spark, tmp_path):
     assert [r.job_id for r in store.accepted(back, "p").collect()] == ["a", "b"]
     assert [r.profile for r in store.profiles_of(back).collect()] == ["p", "q"]
     assert store.delete(back, rows.where("id = 1"), ["id"]).count() == 2
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    root = f"file://{tmp_path}"
+    one = store.publish_version(spark.createDataFrame([("a", 1), ("b", 2)], "job_id string, v int"), root, "specs")
+    two = store.publish_version(spark.createDataFrame([("a", 3)], "job_id string, v int"), root, "specs")
+    broken = spark.range(100).select(F.col("id").cast("string").alias("job_id"), F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.lit(1)).cast("int").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        store.publish_version(broken.repartition(8), root, "specs")
+    assert {(r.version, r.n) for r in store.versions(spark, root, "specs").collect()} == {(one, 2), (two, 1)}
+    assert [tuple(r) for r in store.read_version(spark, root, "specs").collect()] == [("a", 3)]
+    assert sorted(tuple(r) for r in store.read_version(spark, root, "specs", one).collect()) == [("a", 1), ("b", 2)]
+    with pytest.raises(LookupError):
+        store.read_version(spark, root, "specs", "none")
+
+
+def test_a_proposal_stands_beside_its_correction_only(spark):
+    p = spark.createDataFrame([("a", "p1"), ("b", "p2")], "job_id string, document string")
+    views = lambda c: sorted(tuple(r) for r in store.document_views(p, spark.createDataFrame(c, "job_id string, document string")).collect())
+    assert views([("a", "c1"), ("z", "c9")]) == [("a", "c1", "p1"), ("b", "p2", None)]
+    assert views([]) == [("a", "p1", None), ("b", "p2", None)]
+
+
+def test_stale_stages(spark):
+    from chronoweave.operators import stages
+
+    cols = "job_id string, asr string, trim string, focus string, profile_encode string, created_at string, extra string"
+    was = spark.createDataFrame([("a", "m", "t", "f", "e", "1", "x"), ("b", "m", "t", "f", "e", "1", "x"), ("c", "m", None, "f", "e", "1", "x")], cols)
+    now = spark.createDataFrame([("a", "m", "t", "f", "e2", "2", "y"), ("b", "m", "t2", "f", "e", "1", "x"), ("c", "m", None, "f", "e", "9", "x"), ("d", "m", "t", "f", "e", "1", "x")], cols)
+    got = {}
+    for r in stages.stale(was, now, "recorded").collect():
+        got.setdefault(r.job_id, {})[r.stage] = r.own
+    assert got["a"] == {"render": True, "verify_transcript": False, "verify": True}
+    assert got["b"] == {"trim": True, "plan_edit": False, "verify": False}
+    assert "c" not in got and set(got["d"]) == set(stages.RECIPES["recorded"]) and all(got["d"].values())
+    with pytest.raises(ValueError, match="follows"):
+        stages.keys(was, "x", stages={"b": stages.Stage((), after=("a",)), "a": stages.Stage(())})
+
+
+def test_sketches_of_runs_merge(spark):
+    from chronoweave.operators import sketches
+
+    v = spark.range(20_000).selectExpr("id % 2 AS job_id", "id % 7 AS run", "CAST(pmod(hash(id), 10007) AS DOUBLE) AS value").cache()
+    q = {(r.job_id, r.fraction): r for r in sketches.quantiles(sketches.merged(sketches.sketched(v, ["job_id", "run"]), ["job_id"]), [0.05, 0.5, 0.95]).collect()}
+    for job in (0, 1):
+        exact = sorted(r.value for r in v.where(f"job_id = {job}").collect())
+        for f in (0.05, 0.5, 0.95):
+            assert q[job, f].n == len(exact) and abs(sum(x <= q[job, f].value for x in exact) / len(exact) - f) < 0.03
+
+
+def test_zoom_below_one_loosens_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from chronoweave.operators import frames
+
+    fit = lambda z: tuple(spark.range(1).select(frames.window_fit(F.lit(1920.0), F.lit(1080.0), F.lit(1080.0), F.lit(1920.0), F.lit(z)).alias("f")).first().f)
+    assert fit(0.5) == fit(1.0) == pytest.approx((0.31640625, 1.0)) and fit(2.0) == pytest.approx((0.158203125, 0.5))
+
+
+def test_prompts(spark):
+    jobs = spark.createDataFrame([(1, "  Show the export. ", 24.0), (2, " ", 3.0), (3, None, 3.0)], "job_id long, brief string, duration double")
+    drafts, without = documents.script_content(jobs, spark.createDataFrame([(1, "cursor activity by 2s bucket:")], "job_id long, active string"))
+    assert drafts.first().content.startswith("Recording length: 24.00s\nWord budget: about 60 words (at 2.5 words/second; going over")
+    assert drafts.first().content.endswith("\n\nBrief, in the author's own words:\nShow the export.\n\ncursor activity by 2s bucket:")
+    assert sorted(r.job_id for r in without.collect()) == [2, 3]
