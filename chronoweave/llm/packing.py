@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, sequence: int = 2048, end_id: int = 0, vocab: str |
     def cut(batches):
         for whole in batches:
             for batch in slices(whole):
-                ids, at = encoder(vocab).encode(batch.column("text").to_pylist())
+                ids, at = encoder(vocab).encode(batch.column("text"))
                 rows = []
                 for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -14,7 +14,7 @@ _HALF = np.uint64(32)
 #: Longer stretches of bytes are hashed one by one.
 LONG = 512
 BLOCK = 1 << 15
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def of_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1
     k = 0
     while len(short):
         left = size[short] - 8 * k
-        h[short] = _step(h[short], view[start[short] + 8 * k] & _MASKS[np.minimum(left, 8)])
+        h[short] = _step(h[short], view[start[short] + 8 * k] & MASKS[np.minimum(left, 8)])
         short = short[left > 8]
         k += 1
     long = np.flatnonzero(size > LONG)

@@ -62,7 +62,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
         n = 0
         for whole in batches:
             for batch in slices(whole):
-                ids, at = encoder(vocab).encode(batch.column("text").to_pylist())
+                ids, at = encoder(vocab).encode(batch.column("text"))
                 size = np.diff(at)
                 with_end = np.insert(ids, at[1:], end_id).astype("<u4")
                 held.append((np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("doc_id").is_null()), size + 1, with_end))

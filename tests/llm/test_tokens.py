@@ -154,3 +154,39 @@ def test_files_and_counts_of_no_rows_null_ids_and_repeated_rows(spark, whole):
     assert sorted(r.n_tokens for r in got) == sorted(len(x) for x in expected(whole, ["b c\r\nd", "a", "a", "<|endoftext|>", None], 2))
     counts = token_counts.section_token_counts(docs).collect()
     assert sorted((str(r.doc_id), r.section, r.n_tokens) for r in counts) == sorted([("None", 0, 1), ("None", 0, 0), ("2", 0, 1), ("4", 0, 4), ("4", 1, 1), ("4", 0, 1)])
+
+
+#: Letters, signs and white space that stand beside each other in all ways.
+ODD = ["a", "Z", "é", "ß", "×", "÷", "中", "…", "—", "'", "'s", "'ll", "’", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\xa0", "\u3000", ",", ".", "!?", "$$$", "_", "12", "3.14", "😀", "<|endoftext|>", "<", "word", "\x00", "\x85", "½", "(", "\x1f", "ﬁ", "l'été", "don't", "I'M", "x" * 300]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_of_columns(seed, monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokens.vocabulary()), tokens.Ids(tokens.vocabulary())
+    monkeypatch.setattr(tokens, "CAPACITY", 3000)  # so that much is forgotten on the way
+    rng = random.Random(seed)
+    for k in range(60):
+        texts = ["".join(rng.choice(ODD) + " " * (rng.random() < 0.4) for _ in range(rng.randint(0, 14))) for _ in range(40)] + [None, ""]
+        texts = [x.strip() if x and k % 3 == 0 else x for x in texts]
+        ids, bounds = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert own.encode([])[1].tolist() == [0] and own.encode([None, ""])[1].tolist() == [0, 0, 0]
+
+
+def test_ids_of_a_tokenizer_that_may_not_be_cut(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.load(open(tokens.vocabulary(), encoding="utf-8"))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    texts = ["a b, c", "", " x", "$$ y\nz"]
+    ids, bounds = tokens.Ids(str(path)).encode(texts)
+    library = Tokenizer.from_file(str(path))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts]
