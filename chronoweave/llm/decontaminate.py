@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, stash, texts
+from .common import ramp, slices, stash, texts
 from .rolling import each, mix
 
 #: Tokens of a window; a shorter item is one window. Items under SHORTEST tokens are found as exact copies only.
@@ -27,6 +27,8 @@ REPLACED_SHARE = 0.6
 BROADCAST_BYTES = 8 << 20
 #: Words whose tokens a worker remembers.
 _MEMORY = 500_000
+#: Meetings of windows that are looked at together.
+PAIRS = 1 << 20
 
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?")
 _MEASURE = re.compile(r"[+-]?[0-9][0-9.,]*[a-zµ°]{1,4}")
@@ -142,27 +144,33 @@ class Benchmark:
         self.place, self.name = np.concatenate(places), np.concatenate(names)
         order = np.argsort(self.name, kind="stable")
         self.place, self.name = self.place[order], self.name[order]
+        self.item = np.searchsorted(self.bounds, self.place, side="right") - 1
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.name >> np.uint64(44)).astype(np.int64)] = True
 
     def matches(self, some: list[str]):
         """(text, item, kind, words matched, first word) for each item that a text holds, at most one for each."""
         number, bounds, words, at = canonical(some)
-        found: dict[tuple[int, int], set[int]] = {}  # (text, item) -> diagonals
+        found = np.zeros((0, 3), np.int64)  # text, item, diagonal: of a text and an item no more than they have tokens together
         for s in self.sizes:
             place, name = windows(number, bounds, s, words, at)
             maybe = np.flatnonzero(self.screen[(name >> np.uint64(44)).astype(np.int64)])
             left = np.searchsorted(self.name, name[maybe], side="left")
-            right = np.searchsorted(self.name, name[maybe], side="right")
-            for i, lo, hi in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-                text = int(np.searchsorted(bounds, place[i], side="right")) - 1
-                for j in self.place[lo:hi].tolist():
-                    item = int(np.searchsorted(self.bounds, j, side="right")) - 1
-                    found.setdefault((text, item), set()).add(int(place[i]) - j)
-        for (text, item), diagonals in sorted(found.items()):
+            n = np.searchsorted(self.name, name[maybe], side="right") - left
+            maybe, left, n = maybe[n > 0], left[n > 0], n[n > 0]
+            owner = np.searchsorted(bounds, place[maybe], side="right") - 1
+            upto, k = np.cumsum(n), 0
+            while k < len(maybe):
+                end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PAIRS, side="right")))
+                some = np.repeat(left[k:end], n[k:end]) + ramp(n[k:end])
+                rows = np.stack([np.repeat(owner[k:end], n[k:end]), self.item[some], np.repeat(place[maybe[k:end]], n[k:end]) - self.place[some]], axis=1)
+                found, k = np.unique(np.concatenate([found, rows]), axis=0), end
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(found[:, :2], axis=0) != 0).any(axis=1)])) if len(found) else np.zeros(0, np.int64)
+        for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(found)]):
+            text, item, diagonals = int(found[b, 0]), int(found[b, 1]), found[b:e, 2].tolist()
             best = None
             a0, a1 = int(self.bounds[item]), int(self.bounds[item + 1])
-            for d in sorted(diagonals):
+            for d in diagonals:
                 lo, hi = max(a0, int(bounds[text]) - d), min(a1, int(bounds[text + 1]) - d)
                 same = self.number[lo:hi] == number[lo + d : hi + d]
                 # the longest stretch of equal tokens

@@ -156,3 +156,94 @@ def test_queries_beside_each_other(spark, sf):
     alone = [queries.QUERIES[n](spark, sf).count() for n in names[:2]] * 2
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(lambda n: queries.QUERIES[n](spark, sf).count(), names)) == alone
+
+
+def every_match(texts, items):
+    """decontaminate.leaks by trying all places against all places."""
+    d = decontaminate
+    out = set()
+    tokens = [d.canonical([x or ""]) for x in texts]
+    for item_id, item in enumerate(items):
+        number, _, words, at = d.canonical([item])
+        own = [d.slot(words[k]) for k in at]
+        least, total = min(d.WINDOW, len(number)), len(number)
+        for doc, (theirs, _, their_words, their_at) in enumerate(tokens):
+            slots = [d.slot(their_words[k]) for k in their_at]
+            best = None
+            for shift in range(-total + 1, len(theirs)):
+                pairs = [(j, j + shift) for j in range(total) if 0 <= j + shift < len(theirs)]
+                runs, run = [], []
+                for j, i in [*pairs, (None, None)]:
+                    if j is not None and number[j] == theirs[i]:
+                        run.append((j, i))
+                    else:
+                        runs.append(run)
+                        run = []
+                for run in runs:
+                    meets = False
+                    for k in range(len(run) - least + 1 if least else 0):
+                        some = run[k : k + least]
+                        literal = sum(number[j] not in d._PLACEHOLDERS for j, _ in some)
+                        meets |= (literal >= d.LITERAL * least and least >= d.SHORTEST) or all(own[j] == slots[i] for j, i in some)
+                    if not meets:
+                        continue
+                    exact, part = [], []
+                    for j, i in [*run, (None, None)]:
+                        if j is not None and (own[j] == slots[i] or number[j] not in d._PLACEHOLDERS):
+                            part.append((j, i))
+                        else:
+                            exact.append(part)
+                            part = []
+                    exact = [x for x in exact if len(x) >= least]
+                    found = [(True, len(x), -x[0][1]) for x in exact]
+                    if not exact and len(run) >= d.REPLACED_SHARE * total:
+                        swaps = {(own[j], slots[i]) for j, i in run if number[j] in d._PLACEHOLDERS}
+                        if len({a for a, _ in swaps}) == len(swaps) == len({b for _, b in swaps}):
+                            found = [(False, len(run), -run[0][1])]
+                    best = max([*found, best], key=lambda x: x or ()) if best else max(found, default=None)
+            if best:
+                out.add((doc, item_id, "exact" if best[0] else "replaced", best[1], -best[2]))
+    return out
+
+
+@pytest.mark.parametrize("seed,limit", [(1, decontaminate.BROADCAST_BYTES), (2, decontaminate.BROADCAST_BYTES), (3, 0)])
+def test_decontamination_tries_every_place(spark, monkeypatch, seed, limit):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "train", "runs", "from", "with", "apples", "costs", "each", "how", "many", "Anna", "Bob", "Paris", "12", "7", "3.5", "km", "kg", "and", "then", "(so)", "--"])
+    items = [" ".join(word() for _ in range(n)) for n in (4, 9, 13, 20, 40)] + ["a b a b a b a b a b a b a b a b", "", "..."]
+    texts = []
+    swap = {"Anna": "Carla", "Bob": "Dora", "Paris": "Rome", "12": "99", "7": "8", "3.5": "4.5", "km": "mi", "kg": "lb"}
+    for item in items:
+        w = item.split()
+        prose = lambda n: [word() for _ in range(n)]
+        texts.append(" ".join(prose(20) + w + prose(5)))
+        texts.append(" ".join(prose(9) + [swap.get(x, x) for x in w] + prose(20)))
+        texts.append(" ".join(prose(3) + [swap.get(x, x) if rng.random() < 0.5 else x for x in w] + prose(3)))
+        texts.append(" ".join(w[: 2 * len(w) // 3] + prose(30)))
+    texts += ["a b " * 200, None, "", " ".join(word() for _ in range(400))]
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(documents(spark, texts), bench, limit).collect()}
+    assert got == every_match(texts, items) and {k for _, _, k, *_ in got} == {"exact", "replaced"}
+
+
+def test_recall_of_replaced_items(spark, sf):
+    """Items with every number and name replaced, between other words: all with a window of enough literal words are found."""
+    rng = random.Random(4)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    items += [f"A train leaves Paris at {h} km with {n} apples and {m} pears so how many pieces of fruit does Anna carry to the next stop if {k} fall" for h, n, m, k in [(9, 12, 7, 3), (8, 40, 2, 1)]]
+    copies = []
+    for item in items:
+        swap: dict[str, str] = {}
+
+        def other(w):
+            kind = decontaminate.token(w)
+            if kind == decontaminate.NUMBER:
+                return swap.setdefault(w, str(1000 + len(swap)))
+            return swap.setdefault(w, f"Name{'abcdefghijklmnopqrstuvwxyz'[len(swap) % 26]}{'x' * (len(swap) // 26)}") if kind == decontaminate.NAME else w
+
+        copies.append(" ".join(["so"] * 5 + [other(w) for w in item.split()] + [rng.choice(["and", "then"]) for _ in range(9)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.leaks(documents(spark, copies), bench).where("doc_id = item_id").collect()}
+    print("replaced items found:", len(found), "of", len(items))
+    assert len(found) >= 0.9 * len(items)
