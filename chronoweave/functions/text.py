@@ -56,6 +56,7 @@ def copy_of(spoken: Column, job_id: Column) -> Column:
     """A struct of title (120 characters at most) and description (5000), from what is said; of the job's name where nothing is."""
     said = F.regexp_replace(F.coalesce(spoken, F.lit("")), r"^\s+|\s+$", "")
     title, told = F.substring(fallback_title(said), 1, 120), F.substring(fallback_description(said), 1, 5000)
+    # fixed text
     none = F.struct(job_id.alias("title"), F.concat(F.lit("Screen recording "), job_id, F.lit(". No narration to describe it.")).alias("description"))
     return F.when(said == "", none).otherwise(F.struct(title.alias("title"), F.when(told == "", title).otherwise(told).alias("description")))
 

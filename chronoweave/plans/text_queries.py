@@ -158,9 +158,41 @@ def transcript_wer(spark, d):
     return ts.word_error_rate(_said(spark, d), _heard(spark, d), cuts)
 
 
-@_q(None)
+_KEY = r"lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}\p{Pc}'']+', '', 'g'))"
+#: A range's longest run that both sides share: runs along diagonals, clipped to the range; of several the first in the script, then in what was heard.
+_LONGEST = """SELECT r.job_id, a0, a1, b0, b1, min({'short': -(least(i0 + n, a1, i0 + b1 - j0) - greatest(i0, a0, i0 + b0 - j0)), 'i': greatest(i0, a0, i0 + b0 - j0), 'd': j0 - i0}) AS best
+  FROM ranges r JOIN runs u ON u.job_id = r.job_id WHERE least(i0 + n, a1, i0 + b1 - j0) > greatest(i0, a0, i0 + b0 - j0) GROUP BY r.job_id, a0, a1, b0, b1"""
+_ALIGNED = f"""WITH RECURSIVE turn_words AS ({ad.CTES["turn_words"]}), said AS ({_TURNS["said"]}), heard AS ({_HEARD}), lengths AS ({_TURNS["lengths"]}),
+script AS MATERIALIZED (SELECT job_id, ix, row_number() OVER (PARTITION BY job_id ORDER BY ix) - 1 AS i, text, {_KEY} AS key, greatest(length({_KEY}), 1) AS size FROM said),
+other AS MATERIALIZED (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ix) - 1 AS j, t_in, t_out, {_KEY} AS key FROM heard),
+met AS (SELECT s.job_id, i, j, i - row_number() OVER (PARTITION BY s.job_id, i - j ORDER BY i) AS island FROM script s JOIN other o ON o.job_id = s.job_id AND o.key = s.key),
+runs AS MATERIALIZED (SELECT job_id, min(i) AS i0, min(j) AS j0, count(*) AS n FROM met GROUP BY job_id, i - j, island),
+ranges AS (
+  SELECT job_id, 0::BIGINT AS a0, count(*) AS a1, 0::BIGINT AS b0, count(*) FILTER (ix % 17 <> 0) AS b1 FROM said GROUP BY job_id
+  UNION ALL
+  SELECT job_id, CASE side WHEN 0 THEN a0 ELSE best.i - best.short END, CASE side WHEN 0 THEN best.i ELSE a1 END, CASE side WHEN 0 THEN b0 ELSE best.i + best.d - best.short END, CASE side WHEN 0 THEN best.i + best.d ELSE b1 END
+  FROM ({_LONGEST}) l, range(2) s(side) WHERE CASE side WHEN 0 THEN a0 < best.i AND b0 < best.i + best.d ELSE best.i - best.short < a1 AND best.i + best.d - best.short < b1 END
+), anchors AS (SELECT job_id, best.i + k AS i, best.i + best.d + k AS j FROM (SELECT job_id, best, unnest(range(-best.short)) AS k FROM ({_LONGEST}) l)),
+heard_at AS (SELECT s.*, o.t_in AS h_in, o.t_out AS h_out FROM script s LEFT JOIN anchors a ON a.job_id = s.job_id AND a.i = s.i LEFT JOIN other o ON o.job_id = a.job_id AND o.j = a.j),
+gaps AS (SELECT h.*, duration, count(h_in) OVER w AS gap, coalesce(last_value(h_out IGNORE NULLS) OVER w, 0.0) AS since, coalesce(first_value(h_in IGNORE NULLS) OVER (PARTITION BY h.job_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), duration) AS upto
+  FROM heard_at h JOIN lengths USING (job_id) WINDOW w AS (PARTITION BY h.job_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+shares AS (SELECT *, sum(CASE WHEN h_in IS NULL THEN size ELSE 0 END) OVER (PARTITION BY job_id, gap ORDER BY i) AS cum, sum(CASE WHEN h_in IS NULL THEN size ELSE 0 END) OVER (PARTITION BY job_id, gap) AS total FROM gaps),
+placed AS MATERIALIZED (SELECT job_id, ix, i, text, h_in IS NOT NULL AS anchored, duration, CASE WHEN h_in IS NOT NULL THEN h_in ELSE since + (greatest(upto, since) - since) * ((cum - size) / total) END AS a,
+  CASE WHEN h_in IS NOT NULL THEN h_out ELSE since + (greatest(upto, since) - since) * (cum / total) END AS b FROM shares),
+clear AS (
+  SELECT job_id, i, a, greatest(b, a + 0.04::DOUBLE) AS b FROM (SELECT job_id, i, greatest(a, 0.0) AS a, b FROM placed WHERE i = 0)
+  UNION ALL SELECT job_id, i, a, greatest(b, a + 0.04::DOUBLE) FROM (SELECT p.job_id, p.i, greatest(p.a, c.b) AS a, p.b FROM clear c JOIN placed p ON p.job_id = c.job_id AND p.i = c.i + 1)
+), cleared AS MATERIALIZED (SELECT * FROM clear),
+wall AS (
+  SELECT job_id, i, greatest(least(a, duration - 0.04::DOUBLE), 0.0) AS a, duration AS b FROM (SELECT c.*, duration, max(c.i) OVER (PARTITION BY c.job_id) AS last FROM cleared c JOIN lengths USING (job_id)) WHERE i = last AND b > duration
+  UNION ALL SELECT c.job_id, c.i, greatest(least(c.a, w.a - 0.04::DOUBLE), 0.0), w.a FROM wall w JOIN cleared c ON c.job_id = w.job_id AND c.i = w.i - 1 AND c.b > w.a
+)
+SELECT p.job_id, CAST(p.ix AS INTEGER) AS ix, p.text, round(coalesce(w.a, c.a), 6) AS t_in, round(coalesce(w.b, c.b), 6) AS t_out, anchored FROM placed p JOIN cleared c ON c.job_id = p.job_id AND c.i = p.i LEFT JOIN wall w ON w.job_id = p.job_id AND w.i = p.i"""
+
+
+@_q(_ALIGNED)
 def align_words(spark, d):
-    return ts.align_words(_said(spark, d).select("job_id", "ix", "text"), _heard(spark, d), _lengths(spark, d))
+    return _rounded(ts.align_words(_said(spark, d).select("job_id", "ix", "text"), _heard(spark, d), _lengths(spark, d)), "t_in", "t_out")
 
 
 @_q(r"""
