@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField
 
 from ..functions.time import EPS, approx_eq, tier_rank
+from . import scan
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -103,13 +105,12 @@ def deterministic_drift(approved: DataFrame, proposed: DataFrame, fields: list[t
 def boundary_drift(approved: DataFrame, proposed: DataFrame, durations: DataFrame) -> DataFrame:
     """job_id, cut, drift: the distance from each approved cut to the nearest proposed one; the duration where there is none.
 
-    Both neighbours come from one window over the union of cuts, not from a join of all with all.
+    Both neighbours come from one pass over the union of cuts, in chunks, not from a join of all with all.
     """
     rows = approved.select("job_id", "cut", F.lit(None).cast("double").alias("p")).distinct().unionByName(proposed.select("job_id", "cut", F.col("cut").alias("p")).distinct())
-    w = Window.partitionBy("job_id").orderBy("cut")
-    before = F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = rows.select("job_id", "cut", "p", F.least(F.col("cut") - before, after - F.col("cut")).alias("d")).where("p IS NULL")
+    near = scan.around(rows, F.col("cut"), ["cut", F.col("p").isNull()], "p")
+    # a proposal at the same time stands before the approved cut
+    near = near.where("p IS NULL").select("job_id", "cut", F.least(F.col("cut") - F.col("before"), F.col("after") - F.col("cut")).alias("d"))
     return near.join(durations, "job_id").select("job_id", "cut", F.coalesce("d", "duration").alias("drift"))
 
 
@@ -132,7 +133,12 @@ CELLS, REFINED = 1024, 3
 
 
 def nearest_rank(values: DataFrame, fraction: float) -> DataFrame:
-    """job_id, value: the element at half-even round(fraction * (n - 1)) of the sorted values, nulls left out (a job of nulls only: null).
+    """job_id, value: the element at half-even round(fraction * (n - 1)) of the sorted values, nulls left out (a job of nulls only: null)."""
+    return at_rank(values, lambda n: F.bround((n - 1) * F.lit(fraction)))
+
+
+def at_rank(values: DataFrame, place_of: Callable[[Column], Column]) -> DataFrame:
+    """job_id, value: of each job's n sorted values the one at place_of(n), from 0, the last one at most; nulls are left out (a job of nulls only: null).
 
     The rank is looked for in a histogram of CELLS cells, then in one of the cell that holds it, REFINED times; what is in the last cell is counted by value. Nothing
     of a job is collected: tables have CELLS rows a job, and only values of one cell go on. NaN is larger than all other values.
@@ -141,7 +147,7 @@ def nearest_rank(values: DataFrame, fraction: float) -> DataFrame:
     finite = (~F.isnan("value")) & (F.abs("value") < float("inf"))
     ends = v.groupBy("job_id").agg(F.count("*").alias("n"), F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi"))
     # left: how many smaller values are still to be passed by
-    place = ends.select("job_id", F.least(F.bround((F.col("n") - 1) * F.lit(fraction)), F.col("n") - 1).cast("long").alias("left"), "lo", "hi")
+    place = ends.select("job_id", F.least(place_of(F.col("n")), F.col("n") - 1).cast("long").alias("left"), "lo", "hi")
     job = Window.partitionBy("job_id")
     rows = v
     for _ in range(REFINED):

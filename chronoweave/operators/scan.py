@@ -34,6 +34,25 @@ def running(rows: DataFrame, at: Column, order: list, values: dict[str, tuple[st
     return out.where(F.col("__turn") == 1).drop("__turn")
 
 
+def around(rows: DataFrame, at: Column, order: list, value: str, by: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """rows with `before` and `after`: the last value that is not null up to the row and the first from the row on, in order; null where there is none."""
+    each = rows.withColumns({"__chunk": chunk_of(at), "__turn": F.lit(1), "__v": F.col(value)})
+    where = F.struct(*order)
+    known = F.col("__v").isNotNull()
+    edges = each.groupBy(*by, "__chunk").agg(F.max_by("__v", F.when(known, where)).alias("last"), F.min_by("__v", F.when(known, where)).alias("first"))
+    chunks = Window.partitionBy(*by).orderBy("__chunk")
+    earlier = F.last("last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first("first", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing))
+    sides = edges.select(*by, "__chunk", earlier.alias("earlier"), later.alias("later"))
+    side = lambda turn, v: F.struct(F.lit(turn).alias("__turn"), F.col(v).alias("__v"))
+    sides = sides.select(*by, "__chunk", F.explode(F.array(side(0, "earlier"), side(2, "later"))).alias("s"))
+    both = each.unionByName(sides.select(*by, "__chunk", "s.*"), allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__chunk").orderBy("__turn", *order)
+    before = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return both.withColumns({"before": before, "after": after}).where(F.col("__turn") == 1).select(*rows.columns, "before", "after")
+
+
 def neighbour(rows: DataFrame, at: Column, order: list[str], values: dict[str, str], back: bool = False, by: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """rows with, for each (name, column) in values, the next row's (back: the last row's) value in order; null at the end. at and order as in running()."""
     each = rows.withColumns({"__chunk": chunk_of(at), "__turn": F.lit(1), "__v": F.struct(*(F.col(c).alias(n) for n, c in values.items()))})

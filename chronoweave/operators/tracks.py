@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import EPS, trapezoid
+from . import review, scan
 from .intervals import near_points
 
 
@@ -18,10 +19,7 @@ def _brackets(queries: DataFrame, track: DataFrame, inclusive: bool) -> DataFram
     q = queries.select("job_id", "t").distinct().withColumn("s", F.lit(None).cast("struct<t:double,x:double,y:double>"))
     rows = q.unionByName(track.select("job_id", "t", F.struct("t", "x", "y").alias("s")))
     turn = F.col("s").isNull().cast("int") if inclusive else F.col("s").isNotNull().cast("int")
-    w = Window.partitionBy("job_id").orderBy("t", turn)
-    before = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.select("job_id", "t", "s", before.alias("before"), after.alias("after")).where("s IS NULL").drop("s")
+    return scan.around(rows.withColumn("turn", turn), F.col("t"), ["t", "turn"], "s").where("s IS NULL").select("job_id", "t", "before", "after")
 
 
 def _between(before: Column, after: Column, t: Column, axis: str) -> Column:
@@ -60,11 +58,16 @@ def resample(track: DataFrame, durations: DataFrame, hz: float = 30.0, hold: flo
     return g.join(position_at(g, track, hold), ["job_id", "t"]).select("job_id", "i", "t", "x", "y")
 
 
+def _gaps(track: DataFrame) -> DataFrame:
+    """The track with `gap`, the time since the sample before; null for the first."""
+    return scan.neighbour(track, F.col("t"), ["t"], {"last_t": "t"}, back=True).withColumn("gap", F.col("t") - F.col("last_t")).drop("last_t")
+
+
 def upper_median_gap(track: DataFrame) -> DataFrame:
     """job_id, gap: the upper middle of the sorted sample gaps; 0.05 for fewer than two samples."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("job_id").orderBy("t"))
-    per = track.select("job_id", gap.alias("gap")).groupBy("job_id").agg(F.array_sort(F.array_compact(F.collect_list("gap"))).alias("g"))
-    return per.select("job_id", F.when(F.size("g") > 0, F.get("g", F.floor(F.size("g") / 2).cast("int"))).otherwise(0.05).alias("gap"))
+    gaps = _gaps(track).select("job_id", F.col("gap").alias("value"))
+    middle = review.at_rank(gaps, lambda n: F.floor(n / 2))
+    return middle.select("job_id", F.coalesce("value", F.lit(0.05)).alias("gap"))
 
 
 def resting(track: DataFrame, radius: float = 0.01, window: float = 0.3) -> DataFrame:
@@ -93,18 +96,22 @@ def classify(track: DataFrame, clicks: DataFrame, click_window: float, radius: f
 
 def sampling_stats(track: DataFrame) -> DataFrame:
     """job_id, n_gaps, mean_gap, median_gap, min_gap, max_gap, p95_gap, normalized: of positive gaps only."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("job_id").orderBy("t"))
-    rows = track.select("job_id", "x", "y", F.when(gap > 0, gap).alias("gap"))
-    per = rows.groupBy("job_id").agg(F.count("gap").alias("n_gaps"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.array_sort(F.collect_list("gap")).alias("g"), F.bool_and(F.col("x").between(0, 1) & F.col("y").between(0, 1)).alias("normalized"))
-    p95 = F.get("g", F.least(F.floor(F.size("g") * 0.95), F.size("g") - 1).cast("int"))
-    return per.withColumn("p95_gap", p95).drop("g")
+    rows = _gaps(track).select("job_id", "x", "y", F.when(F.col("gap") > 0, F.col("gap")).alias("gap"))
+    inside = F.col("x").between(0, 1) & F.col("y").between(0, 1)
+    per = rows.groupBy("job_id").agg(
+        F.count("gap").alias("n_gaps"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.bool_and(inside).alias("normalized")
+    )
+    p95 = review.at_rank(rows.select("job_id", F.col("gap").alias("value")), lambda n: F.floor(n * 0.95)).withColumnRenamed("value", "p95_gap")
+    return per.join(p95, "job_id")
 
 
 def clusters(points: DataFrame, min_gap: float) -> DataFrame:
     """Notable points (click, dwell, manual) with `cluster`: a new one begins after a gap of more than min_gap."""
-    w = Window.partitionBy("job_id").orderBy("t")
-    new = F.coalesce(F.col("t") - F.lag("t").over(w) > min_gap, F.lit(True))
-    return points.where(F.col("kind").isin("click", "dwell", "manual")).withColumn("cluster", F.sum(new.cast("int")).over(w))
+    gaps = _gaps(points.where(F.col("kind").isin("click", "dwell", "manual")))
+    new = F.coalesce(F.col("gap") > min_gap, F.lit(True))
+    # of points at one time the first one has the gap, so it comes first here, too
+    order = ["t", F.col("gap").desc_nulls_first()]
+    return scan.running(gaps, F.col("t"), order, {"cluster": ("sum", new.cast("int"))}, inclusive=True).drop("gap")
 
 
 def zoom_regions(points: DataFrame, min_gap: float, min_dwell: float, zoom: float) -> DataFrame:

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from chronoweave.operators import alignment, intervals, review, scan, tracks, transcripts
 from chronoweave.sources import recordings, schemas
@@ -255,15 +256,14 @@ def test_nearest_rank_of_odd_values(spark, fraction):
 def test_running_values_in_chunks_are_those_of_one_window(spark, monkeypatch):
     import random
 
-    from pyspark.sql import functions as F
-
     rng = random.Random(4)
     rows = [(rng.choice([1, 2, None]), rng.choice([None, rng.uniform(-50, 50), float(rng.randint(-5, 5))]), i, rng.uniform(0, 9)) for i in range(300)]
     df = spark.createDataFrame(rows, "job_id long, t double, i int, x double")
     at, order = F.col("t"), ["t", "i"]
     run = lambda inc: scan.running(df, at, order, {"m": ("max", F.col("x")), "s": ("sum", F.lit(1))}, inc)
     near = lambda back: scan.neighbour(df, at, order, {"o": "i", "y": "x"}, back)
-    results = lambda: [sorted(map(repr, d.collect())) for d in (run(True), run(False), near(True), near(False))]
+    known = df.withColumn("v", F.when(F.col("i") % 7 == 0, F.col("x")))
+    results = lambda: [sorted(map(repr, d.collect())) for d in (run(True), run(False), near(True), near(False), scan.around(known, at, order, "v"))]
     whole = results()
     by_job = {}
     for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
@@ -274,6 +274,26 @@ def test_running_values_in_chunks_are_those_of_one_window(spark, monkeypatch):
     assert results() == whole
 
 
+def test_tracks_in_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    rows = [(j, round(t, 2), rng.random(), rng.random(), rng.choice(["click", "dwell", "movement"])) for j in (1, 2) for t in sorted({rng.uniform(0, 60) for _ in range(90)})]
+    track = spark.createDataFrame([*rows, (3, 1.0, 0.5, 0.5, "click"), (1, rows[5][1], 0.1, 0.1, "click")], "job_id long, t double, x double, y double, kind string")
+    d = spark.createDataFrame([(1, 61.0), (2, 70.0)], "job_id long, duration double")
+    cuts, other = track.where("kind = 'click'").select("job_id", F.col("t").alias("cut")), track.where("kind = 'dwell'").select("job_id", F.col("t").alias("cut"))
+    single = track.dropDuplicates(["job_id", "t"]).cache()
+    results = lambda: [sorted(map(repr, x.collect())) for x in (tracks.resample(single, d, 3.0), tracks.upper_median_gap(single), tracks.sampling_stats(single).drop("mean_gap"), tracks.clusters(track, 0.6).select("job_id", "t", "cluster"), review.boundary_drift(cuts, other, d))]
+    whole = results()
+    gaps = {}
+    for j in (1, 2):
+        t = sorted(r.t for r in single.where(f"job_id = {j}").collect())
+        gaps[j] = sorted(b - a for a, b in zip(t, t[1:]))
+    assert {r.job_id: r.gap for r in tracks.upper_median_gap(single).collect()} == {j: g[len(g) // 2] for j, g in gaps.items()} | {3: 0.05}
+    monkeypatch.setattr(scan, "CHUNK", 1.5)
+    assert results() == whole
+
+
 def test_intervals_in_chunks(spark, monkeypatch):
     import random
 
@@ -290,8 +310,6 @@ def test_intervals_in_chunks(spark, monkeypatch):
 def test_spans_of_any_length(spark):
     import time
 
-    from pyspark.sql import functions as F
-
     left = spans(spark, (0.0, 1e9, "long", 0), (5.0, 6.0, "short", 1), (-1e12, 1e18, "broken", 2), (3e9, 3e9 + 1, "far", 3))
     right = spans(spark, (5.5, 7.0, "x", 0), (2e9, 9e9, "y", 1), (-4e3, 4e3, "z", 2), (8e8, 8e8 + 1, "w", 3)).selectExpr("job_id j", "t_in o_in", "t_out o_out", "kind other")
     began = time.time()
