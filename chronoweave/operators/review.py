@@ -129,7 +129,7 @@ def run_distribution(values: DataFrame, tolerance: float) -> DataFrame:
 
 
 #: Cells of a histogram, and how often one cell is cut up again.
-CELLS, REFINED = 1024, 3
+CELLS, REFINED = 1024, 2
 
 
 def nearest_rank(values: DataFrame, fraction: float) -> DataFrame:

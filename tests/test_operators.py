@@ -1,5 +1,6 @@
 """Small cases with known answers: edges, ties, empty inputs, and what SQL can't say."""
 
+from contextlib import contextmanager
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -253,6 +254,15 @@ def test_nearest_rank_of_odd_values(spark, fraction):
     assert got == {j: sorted(xs)[min(round(fraction * (len(xs) - 1)), len(xs) - 1)] for j, xs in jobs.items()} | {9: None}
 
 
+@contextmanager
+def hot_jobs(spark):
+    spark.conf.set(scan.HOT_JOBS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(scan.HOT_JOBS)
+
+
 def test_running_values_in_chunks_are_those_of_one_window(spark, monkeypatch):
     import random
 
@@ -271,7 +281,8 @@ def test_running_values_in_chunks_are_those_of_one_window(spark, monkeypatch):
     assert {r.i: r.s for r in run(True).collect()} == {i: k + 1 for ids in by_job.values() for k, i in enumerate(ids)}
     assert {r.i: r.o for r in near(False).collect()} == {i: n for ids in by_job.values() for i, n in zip(ids, [*ids[1:], None])}
     monkeypatch.setattr(scan, "CHUNK", 0.75)
-    assert results() == whole
+    with hot_jobs(spark):
+        assert results() == whole
 
 
 def test_tracks_in_chunks(spark, monkeypatch):
@@ -290,8 +301,9 @@ def test_tracks_in_chunks(spark, monkeypatch):
         t = sorted(r.t for r in single.where(f"job_id = {j}").collect())
         gaps[j] = sorted(b - a for a, b in zip(t, t[1:]))
     assert {r.job_id: r.gap for r in tracks.upper_median_gap(single).collect()} == {j: g[len(g) // 2] for j, g in gaps.items()} | {3: 0.05}
-    monkeypatch.setattr(scan, "CHUNK", 1.5)
-    assert results() == whole
+    monkeypatch.setattr(scan, "CHUNK", 6.0)
+    with hot_jobs(spark):
+        assert results() == whole
 
 
 def test_intervals_in_chunks(spark, monkeypatch):
@@ -304,7 +316,8 @@ def test_intervals_in_chunks(spark, monkeypatch):
     results = lambda: [ordered(intervals.merge(s)), ordered(g := intervals.complement(s, d)), ordered(intervals.lay_out(g.withColumnsRenamed({"t_in": "source_in", "t_out": "source_out"})))]
     whole = results()
     monkeypatch.setattr(scan, "CHUNK", 2.0)
-    assert results() == whole and len(whole[0]) > 5
+    with hot_jobs(spark):
+        assert results() == whole and len(whole[0]) > 5
 
 
 def test_spans_of_any_length(spark):
