@@ -40,13 +40,15 @@ def _edges(t_in: Column, t_out: Column) -> tuple[Column, Column, Column]:
 
 def near_points(points: DataFrame, t: Column, spans: DataFrame, t_in: str, t_out: str, condition: Column, how: str = "inner") -> DataFrame:
     """points join spans (with job in the column j) where the condition holds, which must say that t is within the span give or take EPS. A point is looked up
-    in the fine buckets and in the coarse ones, where long spans are; with how="left" a point without a match in either has an empty row for it."""
+    in the fine buckets and in the coarse ones, where long spans are; with how="left" a point without a match in either has an empty row for it.
+
+    A span is many rows here, which Spark's estimate of its size doesn't know of, so the spans are never sent to the driver as a broadcast."""
     lo, hi, long = _edges(F.col(t_in), F.col(t_out))
     both = lambda is_long, b: F.struct(F.lit(is_long).alias("long"), b.alias("b"))
     left = points.withColumn("__bucket", F.explode(F.array(both(False, _fine(t)), both(True, _coarse(t)))))
     every = F.when(long, F.transform(F.sequence(_coarse(lo), _coarse(hi)), lambda b: both(True, b))).otherwise(F.transform(F.sequence(_fine(lo), _fine(hi)), lambda b: both(False, b)))
     right = spans.withColumn("__near", F.explode(every))
-    return left.join(right, (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & condition, how).drop("__bucket", "__near")
+    return left.join(right.hint("merge"), (F.col("job_id") == F.col("j")) & (F.col("__bucket") == F.col("__near")) & condition, how).drop("__bucket", "__near")
 
 
 def _places(t_in: Column, t_out: Column) -> Column:
@@ -58,12 +60,13 @@ def _places(t_in: Column, t_out: Column) -> Column:
 
 
 def meeting(left: DataFrame, a_in: str, a_out: str, right: DataFrame, b_in: str, b_out: str) -> DataFrame:
-    """left join right (with job in the column j) where they overlap. A pair meets once: in fine buckets if both are short, else in coarse ones, and in the first that both have."""
+    """left join right (with job in the column j) where they overlap. A pair meets once: in fine buckets if both are short, else in coarse ones, and in the first that both have.
+    No broadcast, as in near_points."""
     a = left.withColumn("__a", F.explode(_places(F.col(a_in), F.col(a_out))))
     b = right.withColumn("__b", F.explode(_places(F.col(b_in), F.col(b_out))))
     same = (F.col("job_id") == F.col("j")) & (F.col("__a.long") == F.col("__b.long")) & (F.col("__a.b") == F.col("__b.b"))
     once = (F.col("__a.b") == F.greatest("__a.first", "__b.first")) & (F.col("__a.long") == (F.col("__a.own") | F.col("__b.own")))
-    return a.join(b, same & once & overlaps(F.col(a_in), F.col(a_out), F.col(b_in), F.col(b_out))).drop("__a", "__b")
+    return a.join(b.hint("merge"), same & once & overlaps(F.col(a_in), F.col(a_out), F.col(b_in), F.col(b_out))).drop("__a", "__b")
 
 
 def furthest(rows: DataFrame, at: Column, others: DataFrame, t_in: str, t_out: str, at_ties: bool) -> DataFrame:

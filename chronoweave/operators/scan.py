@@ -45,12 +45,16 @@ def running(rows: DataFrame, at: Column, order: list, values: dict[str, tuple[st
     return out.where(F.col("__turn") == 1).drop("__turn")
 
 
-def around(rows: DataFrame, at: Column, order: list, value: str, by: tuple[str, ...] = ("job_id",)) -> DataFrame:
+def _around(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Both values by running forward, once in either order: a frame that ends with the partition would be gone through anew from every row."""
+    up_to = lambda *o: F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumns({"before": up_to(*order), "after": up_to(*(F.desc(c) for c in order))})
+
+
+def around(rows: DataFrame, at: Column, order: list[str], value: str, by: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """rows with `before` and `after`: the last value that is not null up to the row and the first from the row on, in order; null where there is none."""
     if not in_chunks(rows):
-        w = Window.partitionBy(*by).orderBy(*order)
-        before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return rows.select("*", before.alias("before"), F.first(value, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("after"))
+        return _around(rows, list(by), order, value)
     each = rows.withColumns({"__chunk": chunk_of(at), "__turn": F.lit(1), "__v": F.col(value)})
     where = F.struct(*order)
     known = F.col("__v").isNotNull()
@@ -62,10 +66,7 @@ def around(rows: DataFrame, at: Column, order: list, value: str, by: tuple[str,
     side = lambda turn, v: F.struct(F.lit(turn).alias("__turn"), F.col(v).alias("__v"))
     sides = sides.select(*by, "__chunk", F.explode(F.array(side(0, "earlier"), side(2, "later"))).alias("s"))
     both = each.unionByName(sides.select(*by, "__chunk", "s.*"), allowMissingColumns=True)
-    w = Window.partitionBy(*by, "__chunk").orderBy("__turn", *order)
-    before = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumns({"before": before, "after": after}).where(F.col("__turn") == 1).select(*rows.columns, "before", "after")
+    return _around(both, [*by, "__chunk"], ["__turn", *order], "__v").where(F.col("__turn") == 1).select(*rows.columns, "before", "after")
 
 
 def neighbour(rows: DataFrame, at: Column, order: list[str], values: dict[str, str], back: bool = False, by: tuple[str, ...] = ("job_id",)) -> DataFrame:

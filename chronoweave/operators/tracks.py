@@ -15,34 +15,39 @@ from .intervals import near_points
 
 
 def _brackets(queries: DataFrame, track: DataFrame, inclusive: bool) -> DataFrame:
-    """Each query (job_id, t) with the samples around it: before (t < q, or t <= q if inclusive) and after, as structs of t, x, y."""
-    q = queries.select("job_id", "t").distinct().withColumn("s", F.lit(None).cast("struct<t:double,x:double,y:double>"))
-    rows = q.unionByName(track.select("job_id", "t", F.struct("t", "x", "y").alias("s")))
+    """Each query (job_id, t, ...) with the samples around it: before (t < q, or t <= q if inclusive) and after, as structs of t, x, y."""
+    q = queries.withColumn("s", F.lit(None).cast("struct<t:double,x:double,y:double>"))
+    rows = q.unionByName(track.select("job_id", "t", F.struct("t", "x", "y").alias("s")), allowMissingColumns=True)
     turn = F.col("s").isNull().cast("int") if inclusive else F.col("s").isNotNull().cast("int")
-    return scan.around(rows.withColumn("turn", turn), F.col("t"), ["t", "turn"], "s").where("s IS NULL").select("job_id", "t", "before", "after")
+    return scan.around(rows.withColumn("turn", turn), F.col("t"), ["t", "turn"], "s").where("s IS NULL").select(*queries.columns, "before", "after")
 
 
 def _between(before: Column, after: Column, t: Column, axis: str) -> Column:
     return before[axis] + (after[axis] - before[axis]) * ((t - before["t"]) / (after["t"] - before["t"]))
 
 
-def position_at(queries: DataFrame, track: DataFrame, hold: float = 0.15) -> DataFrame:
-    """Positions by holding over gaps longer than `hold` and interpolating over others; the ends clamp. A sample exactly at t is `after`."""
-    b = _brackets(queries, track, inclusive=False)
+def _asked(queries: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """job_id, keep, t. Times that are asked for by themselves are asked once; rows that keep more are all there, so that no table of frames is joined to its own positions."""
+    return queries.where("job_id IS NOT NULL").select("job_id", *keep, "t") if keep else queries.select("job_id", "t").distinct()
+
+
+def position_at(queries: DataFrame, track: DataFrame, hold: float = 0.15, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Positions by holding over gaps longer than `hold` and interpolating over others; the ends clamp. A sample exactly at t is `after`. keep: more columns of the queries."""
+    b = _brackets(_asked(queries, keep), track, inclusive=False)
     gap = F.col("after.t") - F.col("before.t")
     one = F.coalesce("before", "after")
     still = F.col("before").isNull() | F.col("after").isNull() | (gap > hold) | (gap <= 0)
     axis = lambda c: F.when(still, one[c]).otherwise(_between(F.col("before"), F.col("after"), F.col("t"), c))
-    return b.select("job_id", "t", axis("x").alias("x"), axis("y").alias("y"))
+    return b.select("job_id", *keep, "t", axis("x").alias("x"), axis("y").alias("y"))
 
 
-def position_linear(queries: DataFrame, track: DataFrame) -> DataFrame:
-    """Plain linear interpolation, clamped at the ends; without samples the middle of the frame."""
-    b = _brackets(queries, track, inclusive=True)
+def position_linear(queries: DataFrame, track: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Plain linear interpolation, clamped at the ends; without samples the middle of the frame. keep: more columns of the queries."""
+    b = _brackets(_asked(queries, keep), track, inclusive=True)
     one = F.coalesce("before", "after")
     still = F.col("before").isNull() | F.col("after").isNull() | (F.col("after.t") - F.col("before.t") <= 0)
     axis = lambda c: F.coalesce(F.when(still, one[c]).otherwise(_between(F.col("before"), F.col("after"), F.col("t"), c)), F.lit(0.5))
-    return b.select("job_id", "t", axis("x").alias("x"), axis("y").alias("y"))
+    return b.select("job_id", *keep, "t", axis("x").alias("x"), axis("y").alias("y"))
 
 
 def grid(durations: DataFrame, hz: float) -> DataFrame:
@@ -54,8 +59,7 @@ def grid(durations: DataFrame, hz: float) -> DataFrame:
 
 def resample(track: DataFrame, durations: DataFrame, hz: float = 30.0, hold: float = 0.15) -> DataFrame:
     """The track on a fixed grid over the whole duration: job_id, i, t, x, y."""
-    g = grid(durations, hz)
-    return g.join(position_at(g, track, hold), ["job_id", "t"]).select("job_id", "i", "t", "x", "y")
+    return position_at(grid(durations, hz), track, hold, keep=("i",))
 
 
 def _gaps(track: DataFrame) -> DataFrame:
@@ -131,15 +135,15 @@ def separate(regions: DataFrame, ease: float) -> DataFrame:
 
 
 def envelope(times: DataFrame, regions: DataFrame, zoom: float, ease: float) -> DataFrame:
-    """job_id, t, zoom, cx, cy: regions blended at each time by their trapezoids; without any, the whole frame."""
+    """times (job_id, t, ...) with zoom, cx, cy: regions blended at each time by their trapezoids; without any, the whole frame."""
     r = regions.select(F.col("job_id").alias("j"), F.col("t_in").alias("r_in"), F.col("t_out").alias("r_out"), "cx", "cy")
     wide = r.withColumn("lo", F.col("r_in") - ease).withColumn("hi", F.col("r_out") + ease)
     near = near_points(times, F.col("t"), wide, "lo", "hi", F.col("t").between(F.col("lo"), F.col("hi")), "left")
     w = F.coalesce(trapezoid(F.col("t"), F.col("r_in"), F.col("r_out"), ease), F.lit(0.0))
     w = F.when(F.col("j").isNull(), 0.0).otherwise(w)
-    per = near.withColumn("w", w).groupBy("job_id", "t").agg(F.sum("w").alias("w"), F.sum(F.coalesce("cx", F.lit(0.0)) * F.col("w")).alias("x"), F.sum(F.coalesce("cy", F.lit(0.0)) * F.col("w")).alias("y"))
+    per = near.withColumn("w", w).groupBy(*times.columns).agg(F.sum("w").alias("w"), F.sum(F.coalesce("cx", F.lit(0.0)) * F.col("w")).alias("x"), F.sum(F.coalesce("cy", F.lit(0.0)) * F.col("w")).alias("y"))
     rest = 0.5 * F.greatest(F.lit(0.0), 1 - F.col("w"))
-    return per.select("job_id", "t", (1 + (zoom - 1) * F.col("w")).alias("zoom"), (F.col("x") + rest).alias("cx"), (F.col("y") + rest).alias("cy"))
+    return per.select(*times.columns, (1 + (zoom - 1) * F.col("w")).alias("zoom"), (F.col("x") + rest).alias("cx"), (F.col("y") + rest).alias("cy"))
 
 
 def focus_buckets(points: DataFrame, bucket: float = 2.0) -> DataFrame:
@@ -157,7 +161,7 @@ PATH = "job_id long, i int, t double, cx double, cy double"
 def crop_path(track: DataFrame, durations: DataFrame, fps: float = 30.0, lag_ms: float = 250.0, max_step: float = 0.012, half_w: float = 0.158, half_h: float = 0.5) -> DataFrame:
     """A lagging, rate-limited path after the track, kept inside the frame: PATH. State runs from frame to frame, so each job is one group of an Arrow function."""
     frames = durations.select("job_id", F.explode(F.sequence(F.lit(0), F.greatest(F.bround(F.col("duration") * fps), F.lit(1)).cast("int") - 1)).alias("i")).withColumn("t", F.col("i") / F.lit(fps))
-    at = frames.join(position_linear(frames, track), ["job_id", "t"])
+    at = position_linear(frames, track, keep=("i",))
     alpha = 1 - float(np.exp(-(1 / fps) / (max(lag_ms, 1.0) / 1000)))
 
     def follow(pdf):

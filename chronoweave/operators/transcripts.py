@@ -173,7 +173,8 @@ def word_diff(expected: DataFrame, heard: DataFrame) -> DataFrame:
 def word_error_rate(expected: DataFrame, heard: DataFrame, cuts: DataFrame, seam: float = 0.30) -> DataFrame:
     """job_id, expected_words, n_real, n_at_seam, wer: differences within `seam` of a cut (job_id, cut) are the cut's doing."""
     d = word_diff(expected, heard)
-    near = d.join(cuts.select(F.col("job_id").alias("j"), "cut"), (F.col("job_id") == F.col("j")) & (F.col("cut") >= F.col("at") - seam) & (F.col("cut") <= F.col("until") + seam), "left_semi").select("job_id", "step").withColumn("seam", F.lit(True))
+    # a recording's cuts are many rows that Spark's estimate doesn't know of, so they are no broadcast
+    near = d.join(cuts.select(F.col("job_id").alias("j"), "cut").hint("merge"), (F.col("job_id") == F.col("j")) & (F.col("cut") >= F.col("at") - seam) & (F.col("cut") <= F.col("until") + seam), "left_semi").select("job_id", "step").withColumn("seam", F.lit(True))
     per = d.join(near, ["job_id", "step"], "left").groupBy("job_id").agg(F.count_if(F.col("seam").isNull()).alias("n_real"), F.count_if(F.col("seam")).alias("n_at_seam"))
     n = expected.groupBy("job_id").agg(F.count("*").alias("expected_words"))
     j = n.join(per, "job_id", "left")

@@ -130,8 +130,7 @@ def separate_regions(spark, d):
     (SELECT g.job_id, g.i, cx, cy, greatest(0.0, least(1.0, (g.t - (t_in - 0.35)) / 0.35, ((t_out + 0.35) - g.t) / 0.35)) AS w FROM ticks g JOIN regions r ON g.job_id = r.job_id) z ON z.job_id = g.job_id AND z.i = g.i GROUP BY g.job_id, g.i)""",
     ticks=_GRID, **_CLUSTERS))
 def zoom_envelope(spark, d):
-    g = tr.grid(ad.durations(spark, d), 2.0)
-    e = g.join(tr.envelope(g.select("job_id", "t"), _regions(spark, d), 1.35, 0.35), ["job_id", "t"])
+    e = tr.envelope(tr.grid(ad.durations(spark, d), 2.0), _regions(spark, d), 1.35, 0.35)
     return e.select("job_id", "i", *(F.round(c, 6).alias(c) for c in ("zoom", "cx", "cy")))
 
 
