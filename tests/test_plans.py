@@ -16,3 +16,11 @@ def test_rows_that_durations_and_spans_become_are_no_broadcast(spark, sf, name):
                 if depth(below) <= depth(line) or "Aggregate" in below:
                     break
                 assert "Generate explode(sequence" not in below and "Generate explode(CASE" not in below, f"{line.strip()} holds {below.strip()}"
+
+
+def test_findings_of_one_check_are_made_in_one_pass(spark, sf):
+    """Each of a check's findings would align the transcripts anew. The error rate itself asks for the differences twice."""
+    plan = __spark_entry__.queries()["transcript_findings"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2
+    plan = __spark_entry__.queries()["every_finding"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and plan.count("FlatMapGroupsInPandas") == 1
