@@ -1,15 +1,16 @@
-"""Near copies at a similarity: SimHash fingerprints and MinHash bands find candidates, the sets of word shingles decide.
+"""Near copies at a similarity: SimHash fingerprints and MinHash bands find most of them, rare shingles the rest, the sets of word shingles decide.
 
 A text is the set of its shingles of five words (A-Z in lower case). Texts whose sets have a Jaccard similarity of 0.8 or more are
 linked. Equal sets are one before any join. Texts that share a band meet as its smallest and largest member with each other, so
-that a band that very many texts share makes no pairs of all with all; each pair is then verified on the whole sets.
+that a band that very many texts share makes no pairs of all with all; each pair is then verified on the whole sets. What these
+selections leave apart meets by its rarest shingles (_missed), which is exact: no component that links of 0.8 connect stays in two.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import simhash
 from .common import Scratch, buffer_of, keep_firsts, keep_ids, slices, stash, texts
@@ -70,7 +71,7 @@ def _fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, name (of the set), fp (its SimHash), bands (none if the set is empty)."""
+    """doc_id, name (of the set), n (its size), fp (its SimHash), bands (none if the set is empty)."""
 
     def compute(batches):
         for whole in batches:
@@ -80,9 +81,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(have * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_bands(h, bounds).ravel().view(np.int64)))
                 prints = pa.array(_fingerprints(h, bounds).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_names(h, bounds).view(np.int64)), prints, bands], names=["doc_id", "name", "fp", "bands"])
+                size = pa.array(np.diff(bounds).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_names(h, bounds).view(np.int64)), size, prints, bands], names=["doc_id", "name", "n", "fp", "bands"])
 
-    return texts(docs).mapInArrow(compute, "doc_id long, name long, fp long, bands array<long>")
+    return texts(docs).mapInArrow(compute, "doc_id long, name long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -98,16 +100,59 @@ def _sets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(compute, "name long, shingles array<long>")
 
 
+def _postings(docs: DataFrame) -> DataFrame:
+    """name, s: each shingle of each set."""
+
+    def compute(batches):
+        for whole in batches:
+            for b in slices(whole):
+                h, bounds = shingle_sets(b.column("text"))
+                names = np.repeat(_names(h, bounds), np.diff(bounds))
+                for at in range(0, len(h), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (names, h)], names=["name", "s"])
+
+    return texts(docs).mapInArrow(compute, "name long, s long")
+
+
+def _missed(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of all sets (name, n, root): every link (a, b) of similarity 0.8 or more between names of different roots.
+
+    The sets of such a pair share 0.8 of the larger one's shingles. So in any order that is the same for all sets, the first n - ceil(0.8 n) + 1 shingles of the one and of the other have
+    one in common. Shingles of one root only come first: they meet nobody, and a set with enough of them is done. The others follow, the rarest first. They are
+    all that such a pair can share, so they decide without the texts. Pairs that meet are as many as sets of different roots that share their rarest shingles: few, unless very many sets are
+    made of the same frequent shingles and yet are no copies.
+    """
+    by = Window.partitionBy("s")
+    several = lambda c: F.min(c).over(by) != F.max(c).over(by)
+    least = F.ceil(4 * F.col("n") / 5)
+    seen = _postings(docs).select("name", "s", F.count("*").over(by).alias("c"), several("name").alias("several")).where("several")
+    held = seen.groupBy("name").agg(F.collect_set(F.struct("c", "s")).alias("w")).join(sets, "name").where(F.size("w") >= least)
+    held = stash(held.select("name", "n", "root", "w"), "held")
+    seen = held.select("name", "root", F.explode("w").alias("x")).select("name", "root", "x.*").withColumn("several", several("root")).where("several")
+    left = seen.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("w"))
+    left = left.join(held.select("name", "n", "root"), "name").where(F.size("w") >= least)
+    left = stash(left.select("name", "n", "root", F.size("w").alias("k"), F.transform("w", lambda x: x["s"]).alias("w")), "left")
+    # n - k shingles come before those in w
+    firsts = left.select("name", "n", "root", "k", F.explode(F.slice("w", F.lit(1), (F.col("k") - least + 1).cast("int"))).alias("s"))
+    x, y = (firsts.select("s", *(F.col(c).alias(c + i) for c in ("name", "n", "root", "k"))) for i in "xy")
+    fits = (F.col("namex") < F.col("namey")) & (F.col("rootx") != F.col("rooty")) & (9 * F.least("kx", "ky") >= 4 * (F.col("nx") + F.col("ny")))
+    pairs = stash(x.join(y, "s").where(fits).select(F.col("namex").alias("a"), F.col("namey").alias("b")).distinct(), "met")
+    half = stash(pairs.join(left.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("w").alias("x")), "a"), "met-halves")
+    both = half.join(left.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("w").alias("y")), "b")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def near_copies(docs: DataFrame, bits: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of similarity 0.8 or more reach, its own included.
 
-    Candidates are texts whose SimHash differs in `bits` bits at most and texts that share a band; every one is verified on the whole sets, so nothing is linked by fingerprints alone.
+    Candidates are texts whose SimHash differs in `bits` bits at most and texts that share a band, then texts that are still apart and share their rarest shingles, which leaves none out; every one is verified on the whole sets, so
+    nothing is linked by fingerprints alone.
 
     Texts without words are copies of each other. Repeated rows stay; a null doc_id gets a component but names none. An empty table gives no rows.
     """
     with Scratch() as s:
         each = s.keep(stash(_sketches(docs), "sketches"))
-        distinct = stash(each.groupBy("name").agg(F.min("doc_id").alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
+        distinct = stash(each.groupBy("name").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
         filled = distinct.where(F.size("bands") > 0)
         # equal fingerprints meet like those that share a band
         visits = filled.select("name", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("fp"), "fp")))).alias("band"))
@@ -126,7 +171,11 @@ def near_copies(docs: DataFrame, bits: int = 3) -> DataFrame:
         half = stash(pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x"), "halves")
         shared = F.size(F.array_intersect("x", "y"))
         links = half.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b").where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-        tree = components(links).withColumnRenamed("node", "name")
+        found = components(links).withColumnRenamed("node", "name")
+        rooted = filled.select("name", "n").join(found, "name", "left").select("name", "n", F.coalesce("root", "name").alias("root"))
+        missed = _missed(docs, rooted)
+        # each name hangs on its root, so the links found at first need not be gone through again
+        tree = components(found.select(F.col("name").alias("a"), F.col("root").alias("b")).unionByName(missed)).withColumnRenamed("node", "name")
         least = distinct.select("name", "head").join(tree, "name").groupBy("root").agg(F.min("head").alias("least"))
         named = s.keep(stash(distinct.select("name", "head").join(tree.join(least, "root").select("name", "least"), "name", "left").select("name", F.coalesce("least", "head").alias("component_id")), "heads"))
     return each.join(named, "name").select("doc_id", "component_id")

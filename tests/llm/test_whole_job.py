@@ -105,6 +105,23 @@ def test_distinct_documents_of_one_template_stay(spark):
     assert len(kept) - 1500 <= 3  # recall of 0.95
 
 
+def test_no_near_copy_is_missed_beside_a_template(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 30000)}"
+    template = [word() for _ in range(300)]
+    texts = [template[:150] + [word() for _ in range(36)] + template[150:] for _ in range(400)]
+    copies = []
+    for k in range(40):  # of 0.81, among texts of 0.785 to each other, so that what their bands have in common is the template's
+        c = list(texts[10 * k])
+        for at in range(7):
+            c[20 + at * 45] = f"new{k}x{at}"
+        copies.append(c)
+    sets = [shingles(" ".join(x)) for x in (texts[0], copies[0], texts[1])]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.8 > len(sets[0] & sets[2]) / len(sets[0] | sets[2])
+    docs = documents(spark, [" ".join(x) for x in texts + copies])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(range(400))
+
+
 EXTREME = [-(2**63), -(2**62) - 5, -(2**62), 0, 2**62, 2**63 - 1, None]
 
 
