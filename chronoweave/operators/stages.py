@@ -60,8 +60,8 @@ def _columns(docs: DataFrame, names: tuple[str, ...]) -> list[str]:
     return sorted({c for c in docs.columns for n in names if c == n or (n.endswith("*") and c.startswith(n[:-1]))})
 
 
-def keys(docs: DataFrame, recipe: str, by: tuple[str, ...] = ("job_id",), stages: dict[str, Stage] = STAGES) -> DataFrame:
-    """by, stage, cache_key, own_key for each stage of a recipe; own_key covers what the stage reads itself and not what came before. A model's stages cover the columns model_* as parameters."""
+def _keyed(docs: DataFrame, recipe: str, stages: dict[str, Stage]) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with __key_ and __own_ of each stage of a recipe, and the stages in order."""
     out, provided, order = docs, {}, RECIPES.get(recipe, tuple(stages))
     for name in order:
         stage = stages[name]
@@ -74,15 +74,35 @@ def keys(docs: DataFrame, recipe: str, by: tuple[str, ...] = ("job_id",), stages
         key = lambda inputs: content_key(F.lit(name), F.lit(stage.version), inputs or [F.lit(0).alias("none")], params or [F.lit(0).alias("none")])  # noqa: E731, B023
         out = out.withColumns({f"__key_{name}": key([*own, *before]), f"__own_{name}": key(own)})
         provided[stage.provides or name] = f"__key_{name}"
+    return out, order
+
+
+def keys(docs: DataFrame, recipe: str, by: tuple[str, ...] = ("job_id",), stages: dict[str, Stage] = STAGES) -> DataFrame:
+    """by, stage, cache_key, own_key for each stage of a recipe; own_key covers what the stage reads itself and not what came before. A model's stages cover the columns model_* as parameters."""
+    out, order = _keyed(docs, recipe, stages)
     each = [F.struct(F.lit(n).alias("stage"), F.col(f"__key_{n}").alias("cache_key"), F.col(f"__own_{n}").alias("own_key")) for n in order]
     return out.select(*by, F.explode(F.array(*each)).alias("s")).select(*by, "s.*")
 
 
 def stale(before: DataFrame, now: DataFrame, recipe: str, by: tuple[str, ...] = ("job_id",), stages: dict[str, Stage] = STAGES) -> DataFrame:
     """by, stage, own of the stages whose key is another one than before: own if something that the stage itself reads has changed, not only
-    something before it. All stages of a new document are stale; documents that are gone have none. by must name one document, in both tables."""
-    was = keys(before, recipe, by, stages).select(*(F.col(c).alias(f"__{c}") for c in by), F.col("stage").alias("__stage"), F.col("cache_key").alias("__key"), F.col("own_key").alias("__own"))
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
-    j = keys(now, recipe, by, stages).join(was, same & (F.col("stage") == F.col("__stage")), "left")
-    changed = j.where(~F.col("cache_key").eqNullSafe(F.col("__key")))
-    return changed.select(*by, "stage", (~F.col("own_key").eqNullSafe(F.col("__own"))).alias("own"))
+    something before it. All stages of a new document are stale; documents that are gone have none. by must name one document, in both tables.
+
+    Documents meet as one row with the columns that are read; keys, which are longer and of which there are many, are made beside each other after that and never travel.
+    """
+    names = [f"__by{i}" for i in range(len(by))]
+
+    def held(docs: DataFrame, side: str) -> DataFrame:
+        reads = [r for n in RECIPES.get(recipe, tuple(stages)) for r in (*stages[n].reads, *(("model_*",) if stages[n].model else ()))]
+        whole = F.struct(F.lit(True).alias("__there"), *_columns(docs, tuple(reads)))
+        return docs.select(*(F.col(c).alias(f"{n}{side}") for c, n in zip(by, names)), whole.alias(f"__{side}"))
+
+    same = reduce(lambda x, y: x & y, (F.col(f"{n}now").eqNullSafe(F.col(f"{n}was")) for n in names))
+    j = held(now, "now").join(held(before, "was"), same, "left").select(*(F.col(f"{n}now").alias(n) for n in names), "__now", "__was")
+    new, order = _keyed(j.select(*names, "__was", "__now.*").drop("__there"), recipe, stages)
+    new = new.select(*names, "__was", F.struct(*(F.col(f"__{k}_{n}").alias(f"{k}_{n}") for n in order for k in ("key", "own"))).alias("__new"))
+    old, _ = _keyed(new.select(*names, "__new", "__was.*"), recipe, stages)
+    differs = lambda key: F.col("__there").isNull() | (F.col(f"__new.{key}") != F.col(f"__{key}"))
+    each = F.array(*(F.when(differs(f"key_{n}"), F.struct(F.lit(n).alias("stage"), differs(f"own_{n}").alias("own"))) for n in order))
+    found = old.select(*names, F.explode(F.array_compact(each)).alias("s"))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, by)), "s.*")

@@ -115,6 +115,14 @@ def test_stale_stages(spark):
         stages.keys(was, "x", stages={"b": stages.Stage((), after=("a",)), "a": stages.Stage(())})
 
 
+def test_stale_stages_meet_as_documents(spark):
+    from chronoweave.operators import stages
+
+    docs = spark.createDataFrame([("a", "m", "t", "f")], "job_id string, asr string, trim string, focus string")
+    plan = stages.stale(docs, docs, "recorded")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Join") and "sha2" not in plan[plan.index("Join") :]
+
+
 def test_sketches_of_runs_merge(spark):
     from chronoweave.operators import sketches
 
