@@ -365,3 +365,22 @@ def test_migration_quarantines_what_it_does_not_know(spark):
     good, bad = recordings.migrate(s)
     assert sorted((r.job_id, r.spec_version, r.provenance) for r in good.collect()) == [(1, 3, "unknown"), (2, 3, None)]
     assert sorted(r.job_id for r in bad.collect()) == [3, 4]
+
+
+def test_short_sequences_are_aligned_without_names(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from chronoweave.operators import alignment
+
+    rng = random.Random(3)
+    pairs = [tuple(np.array([rng.randint(0, most) for _ in range(rng.randint(0, 120))], np.int64) for _ in "ab") for most in (1, 5, 40, 200) for _ in range(60)]
+    pairs += [(a, np.delete(a, slice(0, None, 17))) for a, _ in pairs]
+    want = [alignment.runs_by_names(a, b) for a, b in pairs]
+    made = []
+    names = alignment._Names
+    monkeypatch.setattr(alignment, "_Names", lambda a, b: made.append(len(a)) or names(a, b))
+    assert [alignment.common_runs(a, b) for a, b in pairs] == want and not made
+    alignment.common_runs(np.arange(2000), np.arange(2000))
+    assert made == [2000]
