@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import simhash
-from .common import Scratch, buffer_of, keep_firsts, keep_ids, slices, stash, texts
+from .common import Scratch, buffer_of, keep_firsts, keep_ids, ramp, slices, stash, texts
 from .components import components
 from .rolling import each, mix, of_bytes, of_numbers, words
 
@@ -100,14 +100,18 @@ def _sets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(compute, "name long, shingles array<long>")
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    """name, s: each shingle of each set."""
+def _postings(docs: DataFrame, begin: bool = False) -> DataFrame:
+    """name, s: each shingle of each set (begin: of its n shingles the smallest n - ceil(0.8 n) + n // 10 + 1 only)."""
 
     def compute(batches):
         for whole in batches:
             for b in slices(whole):
                 h, bounds = shingle_sets(b.column("text"))
-                names = np.repeat(_names(h, bounds), np.diff(bounds))
+                n = np.diff(bounds)
+                names = np.repeat(_names(h, bounds), n)
+                if begin:
+                    first = ramp(n) < np.repeat(n - (4 * n + 4) // 5 + n // 10 + 1, n)
+                    names, h = names[first], h[first]
                 for at in range(0, len(h), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (names, h)], names=["name", "s"])
 
@@ -115,18 +119,22 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 def _missed(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of all sets (name, n, root): every link (a, b) of similarity 0.8 or more between names of different roots.
+    """Of all sets (name, head, n, root): every link (a, b) of similarity 0.8 or more between names of different roots.
 
-    The sets of such a pair share 0.8 of the larger one's shingles. So in any order that is the same for all sets, the first n - ceil(0.8 n) + 1 shingles of the one and of the other have
-    one in common. Shingles of one root only come first: they meet nobody, and a set with enough of them is done. The others follow, the rarest first. They are
+    The sets of such a pair share 0.8 of the larger one's shingles. So in any order that is the same for all sets, the first n - ceil(0.8 n) + t shingles of the one and of the other have
+    t in common, for any t. By their size, with t = n // 10 + 1, that tells which sets can have a partner at all: those that share that many of their first ones (as many as the smallest partner has to) with anybody.
+    Of these, shingles of one root only come first: they meet nobody, and a set with enough of them is done. The others follow, the rarest first, with t = 1. They are
     all that such a pair can share, so they decide without the texts. Pairs that meet are as many as sets of different roots that share their rarest shingles: few, unless very many sets are
     made of the same frequent shingles and yet are no copies.
     """
     by = Window.partitionBy("s")
     several = lambda c: F.min(c).over(by) != F.max(c).over(by)
     least = F.ceil(4 * F.col("n") / 5)
-    seen = _postings(docs).select("name", "s", F.count("*").over(by).alias("c"), several("name").alias("several")).where("several")
-    held = seen.groupBy("name").agg(F.collect_set(F.struct("c", "s")).alias("w")).join(sets, "name").where(F.size("w") >= least)
+    some = _postings(docs, begin=True).withColumn("several", several("name")).where("several").select("name", "s").distinct().groupBy("name").count()
+    asked = stash(sets.join(some, "name").where(F.col("count") >= F.floor(least / 10) + 1).select("name", "head", "n", "root"), "asked")
+    heads = asked.select(F.col("head").alias("doc_id")).distinct()
+    seen = _postings(keep_ids(texts(docs), heads)).select("name", "s", F.count("*").over(by).alias("c"), several("name").alias("several")).where("several")
+    held = seen.groupBy("name").agg(F.collect_set(F.struct("c", "s")).alias("w")).join(asked, "name").where(F.size("w") >= least)
     held = stash(held.select("name", "n", "root", "w"), "held")
     seen = held.select("name", "root", F.explode("w").alias("x")).select("name", "root", "x.*").withColumn("several", several("root")).where("several")
     left = seen.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("w"))
@@ -172,7 +180,7 @@ def near_copies(docs: DataFrame, bits: int = 3) -> DataFrame:
         shared = F.size(F.array_intersect("x", "y"))
         links = half.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b").where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
         found = components(links).withColumnRenamed("node", "name")
-        rooted = filled.select("name", "n").join(found, "name", "left").select("name", "n", F.coalesce("root", "name").alias("root"))
+        rooted = filled.select("name", "head", "n").join(found, "name", "left").select("name", "head", "n", F.coalesce("root", "name").alias("root"))
         missed = _missed(docs, rooted)
         # each name hangs on its root, so the links found at first need not be gone through again
         tree = components(found.select(F.col("name").alias("a"), F.col("root").alias("b")).unionByName(missed)).withColumnRenamed("node", "name")
