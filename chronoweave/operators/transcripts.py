@@ -29,22 +29,71 @@ def trim_proposals(silences: DataFrame, words: DataFrame, fillers: DataFrame, du
     return merged.select("job_id", lo.alias("t_in"), hi.alias("t_out"), "kind").where(F.col("t_out") - F.col("t_in") > EPS)
 
 
-#: Words that are looked at together.
-PIECE = 256
+def _follows(n: np.ndarray, stops: np.ndarray, last: np.ndarray, limit: int, min_words: int) -> np.ndarray:
+    """Where the block after one that begins with each word begins; last: the place of the last word of the word's job. n: letters of a word."""
+    at, reach = np.arange(len(n)), np.cumsum(n + 1)
+    fits = np.searchsorted(reach, reach - n + limit, "right")
+    stop = np.append(np.flatnonzero(stops), len(n) + min_words)
+    return np.clip(np.minimum(fits, stop[np.searchsorted(stop, at + min_words - 1)] + 1), at + 1, last + 1)
 
 
 def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: int = 2) -> DataFrame:
     """The words with `block`: full blocks end; else, from min_words (2 or more) on, sentences and pauses end them, but never before the last word.
 
-    Where the next block begins depends on where this one does and on nothing before it. So each word gets the place where a block that began with it would
-    be followed by another; a piece of PIECE words is then a table, for each place of its head where a block may begin first, of where the first
-    block beyond it begins and how many begin within; the pieces of a job are gone through from table to table, and each piece is numbered from where it is entered.
-    A job is its words in pieces and one row of tables; a word's text is not carried. ix: places in order, as they are counted; ties are broken by t_in.
+    Where the next block begins depends on where this one does and on nothing before it. A job's words come in order, a batch at a time, and every job of a batch goes from block to block at once; what is
+    kept from batch to batch is the block that is still open, so a job may have any length. With scan.HOT_JOBS a job's words are looked at in pieces, in many tasks. ix: places in order, as they are counted;
+    ties are broken by t_in.
     """
     if min_words < 2:
         raise ValueError("a block ends early with two words at least")
+    n, full = F.length("text").cast("long"), F.col("text").rlike("[.!?…]['\")\\]]*$")
+    if scan.in_chunks(words):
+        return _blocks_in_pieces(words, n, full, limit, pause, min_words)
+    others = [c for c in words.columns if c not in ("job_id", "ix")]
+
+    def run(batches):
+        held, block = None, 0  # the words of the block that is open where the last batch ended, and its number
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = b.select(["job_id", "t_in", "t_out", "__n", "__full"])
+            k = held.num_rows if held else 0
+            w = pa.concat_batches([held, w]) if k else w
+            size, ends = np.asarray(w.column("__n").fill_null(0)), np.asarray(w.column("__full").fill_null(False))
+            (t_in, has_in), (t_out, has_out) = ((np.asarray(w.column(c).cast(pa.float64()).fill_null(0.0)), np.asarray(w.column(c).is_valid())) for c in ("t_in", "t_out"))
+            job = w.column("job_id")
+            new = np.append(True, np.asarray(pc.not_equal(job[1:], job[:-1])))
+            begin, of = np.flatnonzero(new), np.cumsum(new) - 1
+            last = np.append(begin[1:], len(size))[of] - 1
+            stops = np.append(~new[1:] & has_in[1:] & (ends[:-1] | has_out[:-1] & ~(t_in[1:] - t_out[:-1] < pause)), False)
+            follows, starts, at = _follows(size, stops, last, limit, min_words), np.zeros(len(size), bool), begin
+            while len(at):
+                starts[at] = True
+                at = follows[at][follows[at] <= last[at]]
+            count = np.cumsum(starts)
+            number = count - count[begin][of]
+            number[: last[0] + 1] += block
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("ix"), pa.array(number[k:].astype(np.int32)), *(b.column(c) for c in others)], names=["job_id", "ix", "block", *others])
+            held, block = w.slice(np.flatnonzero(starts)[-1]), number[-1]
+
+    kinds = words.select("job_id", "ix", F.lit(None).cast("int").alias("block"), *others).schema
+    placed = words.where("job_id IS NOT NULL AND ix IS NOT NULL").select("job_id", "ix", *others, n.alias("__n"), full.alias("__full"))
+    return placed.repartition("job_id").sortWithinPartitions("job_id", "ix", "t_in").mapInArrow(run, kinds)
+
+
+#: Words that are looked at together.
+PIECE = 256
+
+
+def _blocks_in_pieces(words: DataFrame, n: Column, full: Column, limit: int, pause: float, min_words: int) -> DataFrame:
+    """pack_blocks for hot jobs.
+
+    Each word gets the place where a block that began with it would be followed by another; a piece of PIECE words is then a table, for each place of its head where a block may begin first, of where the first
+    block beyond it begins and how many begin within; the pieces of a job are gone through from table to table, and each piece is numbered from where it is entered.
+    A job is its words in pieces and one row of tables; a word's text is not carried.
+    """
     at = F.col("ix") / F.lit(PIECE) * scan.CHUNK  # a chunk of the scans is a piece of places
-    slim = words.select("job_id", "ix", "t_in", "t_out", F.length("text").cast("long").alias("n"), F.col("text").rlike("[.!?…]['\")\\]]*$").alias("full"))
+    slim = words.select("job_id", "ix", "t_in", "t_out", n.alias("n"), full.alias("full"))
     order = ["ix", "t_in"]
     placed = scan.running(scan.neighbour(slim, at, order, {"next_in": "t_in"}), at, order, {"r": ("sum", F.lit(1)), "q": ("sum", F.col("n") + 1)})
     stops = F.when(F.col("next_in").isNull(), False).otherwise(F.col("full") | (F.col("next_in") - F.col("t_out") >= pause))

@@ -241,6 +241,51 @@ def test_blocks_by_jumps(spark, monkeypatch, limit, least):
     assert transcripts.pack_blocks(df.where("false"), limit).count() == 0
 
 
+WORDS = "job_id long, ix int, t_in double, t_out double, text string"
+
+
+@pytest.mark.parametrize("batch", [1, 5, 64])
+def test_blocks_go_on_from_batch_to_batch(spark, batch):
+    import random
+
+    rng = random.Random(batch)
+    jobs = {j: [(i * 0.5, i * 0.5 + rng.choice([0.0, 0.1, 0.4]), "x" * rng.choice([0, 1, 3, 8, 50]) + rng.choice(["", "", "."])) for i in range(n)] for j, n in enumerate([1, 2, 5, 6, 64, 65, 300])}
+    rows = [(j, i, *w) for j, ws in jobs.items() for i, w in enumerate(ws)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {}
+        for r in transcripts.pack_blocks(spark.createDataFrame(rows, WORDS), 20, min_words=3).orderBy("job_id", "ix").collect():
+            got.setdefault(r.job_id, []).append(r.block)
+            assert (r.t_in, r.t_out, r.text) == jobs[r.job_id][r.ix]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {j: plain_blocks(ws, 20, 0.45, 3) for j, ws in jobs.items()}
+
+
+def test_blocks_are_made_in_one_pass(spark):
+    df = spark.range(4000).selectExpr("id % 40 AS job_id", "CAST(id AS int) AS ix", "id * 0.4D AS t_in", "id * 0.4D + 0.3 AS t_out", "'word' AS text")
+    plan = transcripts.pack_blocks(df, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Range (") == 1
+
+
+def test_words_at_one_place_stay_as_many_as_they_are(spark):
+    words = [(0.0, 0.3, "aa"), (0.1, 0.4, "bb"), (0.2, 0.5, "cc"), (0.3, 0.6, "dd")]
+    df = spark.createDataFrame([(1, i // 2, *w) for i, w in enumerate(words)] + [(1, None, 0.0, 0.1, "x"), (None, 0, 0.0, 0.1, "x")], WORDS)
+    got = [(r.text, r.block) for r in transcripts.pack_blocks(df, 8).orderBy("t_in").collect()]
+    assert got == list(zip(["aa", "bb", "cc", "dd"], plain_blocks(words, 8, 0.45, 2))) and got[-1][1] == 1
+
+
+@pytest.mark.parametrize("limit", [10, 42])
+def test_blocks_of_hot_jobs(spark, monkeypatch, limit):
+    rows = [(j, i, i * 0.4, i * 0.4 + 0.3 - i % 3 * 0.2, "x" * (i * 7 % 11) + "." * (i % 13 == 0)) for j, n in ((1, 3), (2, 700)) for i in range(n)]
+    df = spark.createDataFrame(rows, WORDS)
+    want = sorted(map(repr, transcripts.pack_blocks(df, limit).collect()))
+    monkeypatch.setattr(transcripts, "PIECE", 64)
+    with hot_jobs(spark):
+        assert sorted(map(repr, transcripts.pack_blocks(df, limit).collect())) == want
+
+
 def test_aligned_words_stay_in_order_and_inside(spark):
     script = spark.createDataFrame([(1, i, t) for i, t in enumerate("a b c d e f".split())], "job_id long, ix int, text string")
     heard = spark.createDataFrame([(1, 0, 0.1, 0.2, "b"), (1, 1, 0.5, 0.6, "e")], "job_id long, ix int, t_in double, t_out double, text string")
