@@ -37,32 +37,21 @@ def _follows(n: np.ndarray, stops: np.ndarray, last: np.ndarray, limit: int, min
     return np.clip(np.minimum(fits, stop[np.searchsorted(stop, at + min_words - 1)] + 1), at + 1, last + 1)
 
 
-def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: int = 2) -> DataFrame:
-    """The words with `block`: full blocks end; else, from min_words (2 or more) on, sentences and pauses end them, but never before the last word.
-
-    Where the next block begins depends on where this one does and on nothing before it. A job's words come in order, a batch at a time, and every job of a batch goes from block to block at once; what is
-    kept from batch to batch is the block that is still open, so a job may have any length. With scan.HOT_JOBS a job's words are looked at in pieces, in many tasks. ix: places in order, as they are counted;
-    ties are broken by t_in.
-    """
-    if min_words < 2:
-        raise ValueError("a block ends early with two words at least")
-    n, full = F.length("text").cast("long"), F.col("text").rlike("[.!?…]['\")\\]]*$")
-    if scan.in_chunks(words):
-        return _blocks_in_pieces(words, n, full, limit, pause, min_words)
-    others = [c for c in words.columns if c not in ("job_id", "ix")]
+def _numbered(words: DataFrame, by: list[str], order: list[str], limit: int, pause: float, min_words: int) -> DataFrame:
+    """words less __letters and __full, with `block`: the blocks of each group from its first word on. The words of a group come in order, a batch at a time; what is kept is the block that is still open."""
+    others = [c for c in words.columns if c not in ("__letters", "__full")]
 
     def run(batches):
         held, block = None, 0  # the words of the block that is open where the last batch ended, and its number
         for b in batches:
             if not b.num_rows:
                 continue
-            w = b.select(["job_id", "t_in", "t_out", "__n", "__full"])
+            w = b.select([*by, "t_in", "t_out", "__letters", "__full"])
             k = held.num_rows if held else 0
             w = pa.concat_batches([held, w]) if k else w
-            size, ends = np.asarray(w.column("__n").fill_null(0)), np.asarray(w.column("__full").fill_null(False))
+            size, ends = np.asarray(w.column("__letters")), np.asarray(w.column("__full").fill_null(False))
             (t_in, has_in), (t_out, has_out) = ((np.asarray(w.column(c).cast(pa.float64()).fill_null(0.0)), np.asarray(w.column(c).is_valid())) for c in ("t_in", "t_out"))
-            job = w.column("job_id")
-            new = np.append(True, np.asarray(pc.not_equal(job[1:], job[:-1])))
+            new = np.append(True, np.any([np.asarray(pc.not_equal(w.column(c)[1:], w.column(c)[:-1])) for c in by], axis=0))
             begin, of = np.flatnonzero(new), np.cumsum(new) - 1
             last = np.append(begin[1:], len(size))[of] - 1
             stops = np.append(~new[1:] & has_in[1:] & (ends[:-1] | has_out[:-1] & ~(t_in[1:] - t_out[:-1] < pause)), False)
@@ -73,60 +62,69 @@ def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: in
             count = np.cumsum(starts)
             number = count - count[begin][of]
             number[: last[0] + 1] += block
-            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("ix"), pa.array(number[k:].astype(np.int32)), *(b.column(c) for c in others)], names=["job_id", "ix", "block", *others])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(number[k:].astype(np.int32))], names=[*others, "block"])
             held, block = w.slice(np.flatnonzero(starts)[-1]), number[-1]
 
-    kinds = words.select("job_id", "ix", F.lit(None).cast("int").alias("block"), *others).schema
-    placed = words.where("job_id IS NOT NULL AND ix IS NOT NULL").select("job_id", "ix", *others, n.alias("__n"), full.alias("__full"))
-    return placed.repartition("job_id").sortWithinPartitions("job_id", "ix", "t_in").mapInArrow(run, kinds)
+    kinds = words.select(*others, F.lit(None).cast("int").alias("block")).schema
+    return words.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, kinds)
+
+
+def pack_blocks(words: DataFrame, limit: int, pause: float = 0.45, min_words: int = 2) -> DataFrame:
+    """The words with `block`: full blocks end; else, from min_words (2 or more) on, sentences and pauses end them, but never before the last word.
+
+    Where the next block begins depends on where this one does and on nothing before it. A job's words come in order, a batch at a time, and every job of a batch goes from block to block at once; what is
+    kept from batch to batch is the block that is still open, so a job may have any length. With scan.HOT_JOBS a job's words are numbered in pieces, in many tasks. ix: places in order, as they are counted;
+    ties are broken by t_in, t_out and text.
+    """
+    if min_words < 2:
+        raise ValueError("a block ends early with two words at least")
+    others, order = [c for c in words.columns if c not in ("job_id", "ix")], ["ix", "t_in", "t_out", "text"]
+    full = F.col("text").rlike("[.!?…]['\")\\]]*$")
+    sized = words.where("job_id IS NOT NULL AND ix IS NOT NULL").select("*", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("__letters"), full.alias("__full"))
+    if scan.in_chunks(words):
+        numbered = _in_pieces(sized, order, limit, pause, min_words)
+    else:
+        numbered = _numbered(sized, ["job_id"], order, limit, pause, min_words)
+    return numbered.select("job_id", "ix", "block", *others)
 
 
 #: Words that are looked at together.
 PIECE = 256
 
 
-def _blocks_in_pieces(words: DataFrame, n: Column, full: Column, limit: int, pause: float, min_words: int) -> DataFrame:
-    """pack_blocks for hot jobs.
+def _in_pieces(words: DataFrame, order: list[str], limit: int, pause: float, min_words: int) -> DataFrame:
+    """_numbered for hot jobs.
 
-    Each word gets the place where a block that began with it would be followed by another; a piece of PIECE words is then a table, for each place of its head where a block may begin first, of where the first
-    block beyond it begins and how many begin within; the pieces of a job are gone through from table to table, and each piece is numbered from where it is entered.
-    A job is its words in pieces and one row of tables; a word's text is not carried.
+    A piece of PIECE words is a table, for each place of its head where a block may begin first, of where the first block beyond it begins and how many begin within; the pieces of a job are gone through from table
+    to table, and each piece is numbered from where it is entered. A job is its words in pieces and one row of tables; a word's text is not in them.
     """
     at = F.col("ix") / F.lit(PIECE) * scan.CHUNK  # a chunk of the scans is a piece of places
-    slim = words.select("job_id", "ix", "t_in", "t_out", n.alias("n"), full.alias("full"))
-    order = ["ix", "t_in"]
-    placed = scan.running(scan.neighbour(slim, at, order, {"next_in": "t_in"}), at, order, {"r": ("sum", F.lit(1)), "q": ("sum", F.col("n") + 1)})
-    stops = F.when(F.col("next_in").isNull(), False).otherwise(F.col("full") | (F.col("next_in") - F.col("t_out") >= pause))
-    # r: words before, q: letters and spaces before
-    word = placed.select("job_id", "ix", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("q", F.lit(0)).alias("q"), "n", stops.alias("stops"))
+    placed = scan.running(words, at, order, {"__r": ("sum", F.lit(1))}).withColumn("__r", F.coalesce("__r", F.lit(0)))  # words before
     # a piece sees the head of the next one, as far as a block that begins within it may reach: words have no less than no letters
     size, reach = max(PIECE, limit + 2), limit + 2
-    own = F.floor(F.col("r") / size)
-    pieces = F.when(F.col("r") % size < reach, F.array(own, own - 1)).otherwise(F.array(own))
-    seen = word.select("*", F.explode(pieces).alias("piece")).where("piece >= 0")
-    each = F.struct("r", "q", "n", "stops", "ix", (own == F.col("piece")).alias("own"))
-    per = seen.groupBy("job_id", "piece").agg(F.array_sort(F.collect_list(each)).alias("w"))
-    per = per.select("job_id", "piece", "w", F.size(F.filter("w", lambda x: x["own"])).alias("m"))
-
-    def follows(x: Column, k: Column) -> Column:
-        """How far after place k, where x stands, the next block begins."""
-        ahead = F.slice("w", k + 2, limit + 1)
-        fits = F.filter(ahead, lambda y: y["q"] + y["n"] - x["q"] <= limit)
-        ends = F.transform(fits, lambda y, i: F.when(y["stops"] & (i + 2 >= min_words), i + 2))
-        return F.coalesce(F.array_min(ends), F.size(fits) + 1)
-
-    jumps = per.select("job_id", "piece", "m", F.transform(F.filter("w", lambda x: x["own"]), lambda x: x["ix"]).alias("ix"), F.transform(F.filter("w", lambda x: x["own"]), lambda x, k: (k + follows(x, k)).cast("int")).alias("next"))
-    # from the last place back: (where the first block beyond the piece begins, how many begin from here on)
-    way = "struct<out: int, n: int>"
-
-    def back(acc: Column, k: Column) -> Column:
-        to = F.element_at("next", k + 1)
-        beyond = F.struct((to - F.col("m")).cast("int").alias("out"), F.lit(1).alias("n"))
-        further = F.get(acc, to - k - 1)
-        return F.concat(F.array(F.when(to >= F.col("m"), beyond).otherwise(F.struct(further["out"].alias("out"), (further["n"] + 1).alias("n")))), acc)
-
-    ways = F.aggregate(F.sequence(F.col("m") - 1, F.lit(0), F.lit(-1)), F.array().cast(f"array<{way}>"), back)
-    tables = jumps.select("job_id", "piece", F.slice(ways, 1, reach).alias("ways"))
+    own = F.floor(F.col("__r") / size)
+    slim = scan.neighbour(placed.select("job_id", "ix", "t_in", "t_out", "__letters", "__full", "__r"), at, ["ix", "__r"], {"__next": "t_in"})
+    stops = F.when(F.col("__next").isNull(), False).otherwise(F.col("__full") | (F.col("__next") - F.col("t_out") >= pause))
+    pieces = F.when(F.col("__r") % size < reach, F.array(own, own - 1)).otherwise(F.array(own))
+    seen = slim.select("job_id", F.struct(F.col("__r").alias("r"), F.col("__letters").alias("n"), F.coalesce(stops, F.lit(False)).alias("stops")).alias("w"), F.explode(pieces).alias("piece")).where("piece >= 0")
+    per = seen.groupBy("job_id", "piece").agg(F.array_sort(F.collect_list("w")).alias("w"))
+
+    def tables(batches):
+        for b in batches:
+            w, length = b.column("w").flatten(), np.asarray(pc.list_value_length(b.column("w"))).astype(np.int64)
+            n, stops = (np.asarray(pc.struct_field(w, f)) for f in ("n", "stops"))
+            begin = np.cumsum(length) - length
+            to = _follows(n, stops, np.repeat(begin + length - 1, length), limit, min_words)
+            beyond, blocks = np.repeat(begin + np.minimum(length, size), length), np.ones(len(n), np.int64)
+            # from block to block within a piece, twice as far each time
+            while len(on := np.flatnonzero(to < beyond)):
+                blocks[on], to[on] = blocks[on] + blocks[to[on]], to[to[on]]
+            head = np.arange(len(n)) - np.repeat(begin, length) < np.repeat(np.minimum(size, reach), len(n))
+            ways = pa.StructArray.from_arrays([pa.array((to - beyond)[head].astype(np.int32)), pa.array(blocks[head])], ["out", "n"])
+            ends = np.append(0, np.cumsum(np.minimum(length, reach))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("piece"), pa.ListArray.from_arrays(pa.array(ends), ways)], names=["job_id", "piece", "ways"])
+
+    kinds = per.select("job_id", "piece", F.lit(None).cast("array<struct<out: int, n: bigint>>").alias("ways")).schema
     start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("block"), F.array().cast("array<struct<piece: bigint, at: int, block: bigint>>").alias("all"))
 
     def enter(acc: Column, t: Column) -> Column:
@@ -135,18 +133,14 @@ def _blocks_in_pieces(words: DataFrame, n: Column, full: Column, limit: int, pau
         # a block may reach over a short last piece: then nothing begins in it
         return F.struct(F.coalesce(way_on["out"], F.lit(0)).alias("at"), (acc["block"] + F.coalesce(way_on["n"], F.lit(0))).alias("block"), F.concat(acc["all"], F.array(here)).alias("all"))
 
-    entries = tables.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ways"))).alias("t")).select("job_id", F.explode(F.aggregate("t", start, enter)["all"]).alias("e"))
-    entered = jumps.join(entries.select("job_id", "e.piece", "e.at", "e.block"), ["job_id", "piece"])
-    first = F.struct(F.col("at").alias("next"), (F.col("block") - 1).alias("block"), F.array().cast("array<bigint>").alias("all"))
-
-    def number(acc: Column, k: Column) -> Column:
-        begins = acc["next"] == k
-        block = F.when(begins, acc["block"] + 1).otherwise(acc["block"])
-        return F.struct(F.when(begins, F.element_at("next", k + 1)).otherwise(acc["next"]).alias("next"), block.alias("block"), F.concat(acc["all"], F.array(block)).alias("all"))
-
-    blocks = F.aggregate(F.sequence(F.lit(0), F.col("m") - 1), first, number)["all"]
-    numbered = entered.select("job_id", F.explode(F.arrays_zip("ix", blocks.alias("block"))).alias("z")).select("job_id", "z.ix", F.col("z.block").cast("int").alias("block"))
-    return numbered.join(words, ["job_id", "ix"])
+    entries = per.mapInArrow(tables, kinds).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ways"))).alias("t")).select("job_id", F.explode(F.aggregate("t", start, enter)["all"]).alias("e"))
+    entries = entries.select("job_id", F.col("e.piece").alias("__piece"), F.col("e.at").alias("__at"), F.col("e.block").alias("__first"))
+    entered = placed.withColumn("__piece", own).join(entries, ["job_id", "__piece"])
+    # words before the entry are of the block that was open
+    before = F.col("__r") % size < F.col("__at")
+    open_ = entered.where(before).withColumn("block", F.lit(-1))
+    later = _numbered(entered.where(~before), ["job_id", "__piece"], ["__r"], limit, pause, min_words)
+    return later.unionByName(open_.select(*later.columns)).withColumn("block", (F.col("__first") + F.col("block")).cast("int"))
 
 
 def active_windows(blocks: DataFrame, words: DataFrame) -> DataFrame:

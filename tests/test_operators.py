@@ -276,14 +276,20 @@ def test_words_at_one_place_stay_as_many_as_they_are(spark):
     assert got == list(zip(["aa", "bb", "cc", "dd"], plain_blocks(words, 8, 0.45, 2))) and got[-1][1] == 1
 
 
-@pytest.mark.parametrize("limit", [10, 42])
-def test_blocks_of_hot_jobs(spark, monkeypatch, limit):
-    rows = [(j, i, i * 0.4, i * 0.4 + 0.3 - i % 3 * 0.2, "x" * (i * 7 % 11) + "." * (i % 13 == 0)) for j, n in ((1, 3), (2, 700)) for i in range(n)]
-    df = spark.createDataFrame(rows, WORDS)
-    want = sorted(map(repr, transcripts.pack_blocks(df, limit).collect()))
+@pytest.mark.parametrize("limit,least", [(10, 2), (42, 3), (100, 2)])
+def test_blocks_of_hot_jobs(spark, monkeypatch, limit, least):
+    import random
+
+    rng = random.Random(limit)
+    jobs = {j: [(i * 0.5, i * 0.5 + rng.choice([0.0, 0.1, 0.4]), "x" * rng.choice([0, 0, 1, 3, 8, 120]) + rng.choice(["", "", "."])) for i in range(n)] for j, n in enumerate([1, 63, 64, 65, 102, 103, 130, 900])}
+    # every other place holds two words
+    rows = [(j, i - i % 4 % 3 // 2, *w) for j, ws in jobs.items() for i, w in enumerate(ws)]
     monkeypatch.setattr(transcripts, "PIECE", 64)
     with hot_jobs(spark):
-        assert sorted(map(repr, transcripts.pack_blocks(df, limit).collect())) == want
+        got = {}
+        for r in transcripts.pack_blocks(spark.createDataFrame(rows, WORDS), limit, min_words=least).orderBy("job_id", "t_in").collect():
+            got.setdefault(r.job_id, []).append((r.t_in, r.t_out, r.text, r.block))
+    assert got == {j: [(*w, k) for w, k in zip(ws, plain_blocks(ws, limit, 0.45, least))] for j, ws in jobs.items()}
 
 
 def test_aligned_words_stay_in_order_and_inside(spark):
